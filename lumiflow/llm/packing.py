@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .rank import gapless_rank
 from .shared import stored
-from .tokens import Encoder, default_tokenizer
+from .tokens import default_tokenizer, encoder
 from .words import slices
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -42,12 +42,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             for part in slices(batch, "text"):
                 row, start, length, crc, total, kept = [], [], [], [], [], []
-                for i, ids in enumerate(encoder.encode(texts_column(part, "text").to_pylist())):
+                for i, ids in enumerate(encode(texts_column(part, "text").to_pylist())):
                     ids += end
                     n = len(ids) // 4
                     for at in range(0, n, capacity):

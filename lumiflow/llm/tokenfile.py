@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import file_system, shared_dir, stored
-from .tokens import Encoder, default_tokenizer
+from .tokens import default_tokenizer, encoder
 from .words import slices, texts_column
 
 BATCH_ROWS = 64
@@ -122,22 +122,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"{path}/part-{context.partitionId():08d}"
-        encoder = writer = index = None
+        tokens = writer = index = None
         end = end_id.to_bytes(4, "little")
         n_docs = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 if writer is None:
-                    encoder = Encoder(tokenizer)
+                    tokens = encoder(tokenizer)
                     fs, base = file_system(name)
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
                     mine = f"{base}.attempt-{context.taskAttemptId()}"
                     token_sink, doc_sink = fs.open_output_stream(f"{mine}.tokens"), fs.open_output_stream(f"{mine}.docs")
-                    writer = TokenWriter(token_sink, length, "<u2" if max(encoder.vocabulary - 1, end_id) < 1 << 16 else "<u4")
+                    writer = TokenWriter(token_sink, length, "<u2" if max(tokens.vocabulary - 1, end_id) < 1 << 16 else "<u4")
                     schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                     index = pa.ipc.new_file(doc_sink, schema)
                 at, sizes, first = writer.total, [], []
-                for ids in encoder.encode(texts_column(part, "text").to_pylist()):
+                for ids in tokens.encode(texts_column(part, "text").to_pylist()):
                     ids = np.frombuffer(ids + end, dtype="<u4")
                     writer.append(ids.astype(writer.dtype))
                     first.append(at)

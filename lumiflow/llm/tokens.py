@@ -7,8 +7,8 @@ import os
 
 import numpy as np
 
-END_OF_CACHE = 400_000
-LONG_PIECE = 48
+#: Bounds of the cache: entries of each of two generations, and characters of a piece that is kept. Pieces in one call.
+GENERATION, LONG_PIECE, AT_ONCE = 300_000, 48, 2000
 
 
 def default_tokenizer() -> str:
@@ -38,11 +38,24 @@ def drops_white_space(spec: dict) -> bool:
     return fine and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and bare and bool(pattern) and added
 
 
+#: Encoders of this process by file: Python workers are used again, and so are their caches.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the library's ``encode(text, add_special_tokens=False)``.
 
-    Words recur, so each distinct run between blanks is encoded once and kept; the cache is
-    emptied when it passes ``END_OF_CACHE`` entries.  Other tokenizers encode whole texts.
+    Words recur, so each distinct run between blanks is encoded once and kept.  New runs shed
+    a tail of punctuation (a pre-token of its own after a letter) and ASCII capitals, and words
+    of letters alone are encoded together: each ends in the one token with the end-of-word
+    suffix, by which the ids are parted.  Two generations bound the cache: the older is
+    dropped when the younger is full.  Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,20 +67,62 @@ class Encoder:
             self.by_piece = drops_white_space(json.load(f))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.final = np.zeros(self.vocabulary, dtype=bool)
+        suffix = self.tokenizer.model.end_of_word_suffix if self.by_piece else None
+        if suffix:
+            self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """As ``_raw``, by one call for all words; only for words of letters."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) != len(words) or not len(ids) or ends[-1] != len(ids):
+            return self._raw(words)
+        raw = ids.tobytes()
+        hi = (ends * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *hi[:-1]], hi, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Put ids of pieces into the cache."""
+        cut = {}
+        words, odd = set(), []
+        for p in new:
+            old = self.older.get(p)
+            if old is not None:
+                self.cache[p] = old
+                continue
+            word = p.rstrip(".,;:!?")
+            if word.isascii():
+                word = word.lower()
+            if word.isalpha() and len(p) <= LONG_PIECE:
+                cut[p] = word, p[len(word) :] if word.isascii() or len(word) < len(p) else ""
+                words.add(word)
+            else:
+                odd.append(p)
+        words.difference_update(self.cache)
+        fresh = list(words)
+        for call, pieces in ((self._words, fresh), (self._raw, odd)):
+            for i in range(0, len(pieces), AT_ONCE):
+                part = pieces[i : i + AT_ONCE]
+                self.cache.update(zip(part, call(part), strict=True))
+        tails = list({t for _, t in cut.values()}.difference(self.cache))
+        self.cache.update(zip(tails, self._raw(tails), strict=True))
+        for p, (word, tail) in cut.items():
+            self.cache[p] = self.cache[word] + self.cache[tail]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [t or "" for t in texts]
         if not self.by_piece:
             return self._raw(whole)
-        if len(self.cache) > END_OF_CACHE:
-            self.cache = {"": b""}
+        if len(self.cache) > GENERATION:
+            self.cache, self.older = {"": b""}, self.cache
         cut = [t.replace("\n", " ").split(" ") for t in whole]
-        new = list(set().union(*cut).difference(self.cache)) if cut else []
-        ids = dict(zip(new, self._raw(new), strict=True)) if new else {}
-        self.cache.update(ids)
+        new = set().union(*cut).difference(self.cache) if cut else set()
+        self._learn(new)
         get = self.cache.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in cut]
         for p in new:

@@ -4,28 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import contamination_report
+from .dedup import near_duplicates
+from .langid import language_report
+from .license_scan import license_report
+from .packing import pack_documents
+from .quality_rules import quality_report, quality_sql
+from .sharding import shard_documents
+from .tokenfile import tokens_round_trip
+from .toxicity import toxicity_report
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack_documents
-
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tokenfile import tokens_round_trip
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(spark, table(spark, sf_dir, "documents"))
 
 
-def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard_documents
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
 
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op8_token_files, op10_sharding)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_decontamination, op4_near_dedup, op5_toxicity, op6_quality_rules, op8_token_files, op9_language_id, op10_sharding)}
+ORACLE = {"op6_quality_rules": quality_sql()}

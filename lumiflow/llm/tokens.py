@@ -8,7 +8,7 @@ import os
 import numpy as np
 
 #: Bounds of the cache: entries of each of two generations, and characters of a piece that is kept. Pieces in one call.
-GENERATION, LONG_PIECE, AT_ONCE = 300_000, 48, 2000
+GENERATION, LONG_PIECE, AT_ONCE = 700_000, 48, 2000
 
 
 def default_tokenizer() -> str:

@@ -64,7 +64,7 @@ def superminhash(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         key = base + slot
         free = sig[key] == _EMPTY
         key = key[free]
-        value = (np.uint64(level) << np.uint64(56)) | (mix(h[free] + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8))
+        value = (np.uint64(level) << np.uint64(56)) | (mix(h[free] + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(8))
         np.minimum.at(sig, key, value)
         full += np.bincount(np.unique(key) // SLOTS, minlength=n)
         go = full[base // SLOTS] < SLOTS

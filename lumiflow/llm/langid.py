@@ -1,6 +1,6 @@
 """Language identification by compressed size under per-language dictionaries.
 
-Each language has a raw-content zstandard dictionary, filled from a bounded sample of
+Texts are lower-cased.  Each language has a raw-content zstandard dictionary, filled from a bounded sample of
 labelled rows.  A whole text is cut into chunks of ``CHUNK`` bytes, each compressed alone
 under each dictionary (so a long text can't become its own dictionary), and the
 language with the smallest sum is chosen.  ``rejected`` marks narrow margins: the runner-up is
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .words import slices, texts_column
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 1000, 112_000
-CHUNK, LEVEL, MARGIN, TEMPERATURE = 400, 3, 0.01, 12.0
+CHUNK, LEVEL, MARGIN, TEMPERATURE = 400, 9, 0.01, 12.0
 
 
 def fit_dictionaries(rows: DataFrame, lang: str = "lang") -> dict[str, bytes]:
@@ -45,7 +45,7 @@ def fit_dictionaries(rows: DataFrame, lang: str = "lang") -> dict[str, bytes]:
     for name in sorted(counts):
         parts, held = [], 0
         for r in sorted((r for r in sample if r["lang"] == name), key=lambda r: (r["key"], r["window"])):
-            raw = r["window"].encode()
+            raw = r["window"].lower().encode()
             if held + len(raw) > DICTIONARY_BYTES:
                 break
             parts.append(raw)
@@ -77,7 +77,7 @@ class Classifier:
         """(language, score, rejected)."""
         if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        chunks = list(_chunks(text.encode()))
+        chunks = list(_chunks(text.lower().encode()))
         sizes = [sum(len(t.compress(c)) for c in chunks) for t in self.tools]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         score = 1.0 / sum(math.exp(max(-700.0, (sizes[best] - s) / TEMPERATURE)) for s in sizes)

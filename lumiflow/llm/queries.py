@@ -9,6 +9,7 @@ from .dedup import near_duplicates
 from .langid import language_report
 from .license_scan import license_report
 from .packing import pack_documents
+from .quality_lm import quality_scores
 from .quality_rules import quality_report, quality_sql
 from .sharding import shard_documents
 from .tokenfile import tokens_round_trip
@@ -43,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(spark, table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_decontamination, op4_near_dedup, op5_toxicity, op6_quality_rules, op8_token_files, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_decontamination, op4_near_dedup, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_language_id, op10_sharding)}
 ORACLE = {"op6_quality_rules": quality_sql()}

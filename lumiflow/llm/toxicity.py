@@ -193,16 +193,23 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -50, 50)))
 
 
-def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by ridge-held Newton steps."""
+def _logistic(m: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Slope and shift by Newton steps, each halved until the penalised loss falls."""
     x = np.stack([m, np.ones(len(m))], axis=1)
-    w = np.array([4.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 1e-2 * (w - np.array([4.0, 0.0]))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), g)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * w @ w)
+
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (p - y) + ridge * w)
+        t = 1.0
+        while t > 1e-6 and loss(w - t * step) > loss(w):
+            t /= 2
+        w = w - t * step
+        if np.abs(t * step).max() < 1e-7:
             break
     return float(max(w[0], 1e-3)), float(w[1])
 
@@ -258,7 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         rated = _best_words(sample, scorer)
         if turn == 0:
             negative = sorted((set(negative) | {r["word"] for r in rated if r["toxic"] == 0 and len(r["word"]) > 2}) - set(positive))
-    scorer.slope, scorer.shift = _logistic(np.array([r["margin"] for r in rated]), np.array([r["toxic"] for r in rated], dtype=float))
+    margin, toxic = np.array([r["margin"] for r in rated]), np.array([r["toxic"] for r in rated], dtype=float)
+    # toxic rows in which no word stands out say nothing about where the score should rise
+    told = (toxic == 0) | (margin > np.quantile(margin[toxic == 0], 0.95))
+    scorer.slope, scorer.shift = _logistic(margin[told], toxic[told])
     return scorer
 
 

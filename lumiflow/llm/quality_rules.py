@@ -109,8 +109,11 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_low_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that pass the base rule and every rule of the cascade."""
-    measured = _measures(_words(docs, text_col))
-    return measured.where(~base_failed()).where(cascade(order_rules(measured, rules)).isNull()).select(*docs.columns)
+    # A predicate would be pushed below the measures and repeat them inside its lambdas for every
+    # word; Spark leaves it above a projection with a column that isn't deterministic.
+    measured = _measures(_words(docs, text_col)).withColumn("__q_task", F.spark_partition_id())
+    passed = (F.col("__q_task") >= 0) & ~base_failed() & cascade(order_rules(measured, rules)).isNull()
+    return measured.where(passed).select(*docs.columns)
 
 
 def quality_sql(table: str = "documents") -> str:

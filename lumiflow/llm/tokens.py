@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -38,6 +39,24 @@ def drops_white_space(spec: dict) -> bool:
     return fine and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and bare and bool(pattern) and added
 
 
+#: A point or comma at the end of a run whose last character before it isn't a letter.
+_TAIL = re.compile(r"(?<![a-zß-öø-ÿ])[.,] ")
+
+
+def _runs(text: str) -> list[str]:
+    """Runs between blanks. In Latin-1 texts (their own normal form) they are lower-cased, and where
+    every point or comma before a blank follows a letter it is a run of its own, as it is a pre-token."""
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split(" ")
+    text = text.lower()
+    if not _TAIL.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
 #: Encoders of this process by file: Python workers are used again, and so are their caches.
 _encoders: dict[str, Encoder] = {}
 
@@ -120,7 +139,7 @@ class Encoder:
             return self._raw(whole)
         if len(self.cache) > GENERATION:
             self.cache, self.older = {"": b""}, self.cache
-        cut = [t.replace("\n", " ").split(" ") for t in whole]
+        cut = [_runs(t) for t in whole]
         new = set().union(*cut).difference(self.cache) if cut else set()
         self._learn(new)
         get = self.cache.__getitem__

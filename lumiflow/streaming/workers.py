@@ -31,7 +31,7 @@ class WorkerPool(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("worker", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         known = self.state.get() if self.state.exists() else None
         for part in rows:
@@ -50,7 +50,7 @@ class WorkerPool(StatefulProcessor):
                 self.handle.registerTimer(known[2] + self.gap_ms + 1)
         yield pd.DataFrame(out, columns=["worker", "event", "exist", "queue_length", "last_beat_ms"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = self.state.get()
         self.state.clear()
         yield pd.DataFrame([(key[0], "removed", False, known[0], known[2])], columns=["worker", "event", "exist", "queue_length", "last_beat_ms"])

@@ -156,7 +156,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
 
-    def compare(key, group: pa.Table) -> pa.Table:
+    def compare(key, group):  # (pa.Scalar, ...), pa.Table -> pa.Table
         rep, label, mine = (group.column(c).to_numpy() for c in ("rep", "label", "mine"))
         bands = np.stack(group.column("buckets").to_pylist())
         x, y = key[1].as_py(), key[2].as_py()

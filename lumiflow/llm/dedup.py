@@ -179,7 +179,7 @@ def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
     members = stored(rows.join(shared, "bucket"), "members")
     if members.isEmpty():
         return None
-    packed = stored(_packed(own.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "texts")
+    packed = stored(_packed(own.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "texts")
     links = tested = None
     for turn in range(PIVOTS + 1):
         if links is None:
@@ -227,5 +227,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one document of each group stays (the smallest id)."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct().hint("merge")
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

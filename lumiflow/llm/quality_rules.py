@@ -37,39 +37,38 @@ class Rule:
 #: Beyond the base rule. Shares are of words, lines or letters of the text.
 RULES = (
     Rule("symbols", "10 * __q_symbols > __q_n"),
-    Rule("repeated_lines", "10 * __q_dup_lines > 3 * size(__q_lines)"),
+    Rule("repeated_lines", "10 * __q_dup_lines > 3 * __q_lines"),
     Rule("long_words", "__q_chars > 15 * __q_n"),
     Rule("short_words", "2 * __q_chars < 3 * __q_n"),
     Rule("capitals", "2 * regexp_count(__q_text, '\\\\p{Lu}') > regexp_count(__q_text, '\\\\p{L}')"),
     Rule("exclamations", "4 * regexp_count(__q_text, '!') > __q_n"),
     Rule("no_letters", "2 * regexp_count(__q_text, '\\\\p{L}') < __q_chars"),
-    Rule("ellipses", "size(__q_lines) >= 3 and 10 * size(filter(__q_lines, x -> x rlike '(\\\\.\\\\.\\\\.|\\u2026)[\\\\x20\\\\x09-\\\\x0D]*$')) > 3 * size(__q_lines)"),
+    Rule("ellipses", "__q_lines >= 3 and 10 * size(filter(split(__q_text, '\\n'), x -> x rlike '(\\\\.\\\\.\\\\.|\\u2026)[\\\\x20\\\\x09-\\\\x0D]*$')) > 3 * __q_lines"),
 )
 
 
-def _words(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"__q_text": text, "__q_words": F.array_remove(F.split(text, SEPARATORS), "")})
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``: it is made once, wherever the optimizer moves the expression."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _measures(docs: DataFrame) -> DataFrame:
-    """Measures of ``__q_words`` and ``__q_text``.
+# A 3-word window is a 64-bit hash; sorted with their places, equal neighbours are windows found
+# twice, and each adds the words that the one before it didn't cover.
+_WINDOWS = "if(size(ws) < 4, cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(sequence(0, size(ws) - 3), i -> struct(xxhash64(get(ws, i), get(ws, i + 1), get(ws, i + 2)) as h, i as i))))"
+_PLACES = "sort_array(transform(filter(wins, (x, k) -> x.h = get(wins, k - 1).h or x.h = get(wins, k + 1).h), x -> x.i))"
+_REPEAT = _let(_WINDOWS, "wins", f"aggregate({_PLACES}, named_struct('n', 0L, 'last', -3), (a, i) -> named_struct('n', a.n + least(3, i - a.last), 'last', i), a -> a.n)")
+_WORDS = _let(f"array_remove(split(__q_text, '{SEPARATORS.replace(chr(92), chr(92) * 2)}'), '')", "ws", f"named_struct('n', cast(size(ws) as bigint), 'chars', cast(length(array_join(ws, '')) as bigint), 'rep', {_REPEAT})")
+_LINES = _let(r"filter(split(__q_text, '\n'), x -> trim(both ' \t\n\u000b\f\r' from x) <> '')", "ls", "named_struct('n', cast(size(ls) as bigint), 'dup', cast(size(ls) - size(array_distinct(ls)) as bigint))")
 
-    A 3-word window is a 64-bit hash; sorted with their places, equal neighbours are
-    windows found twice, and each adds the words that the one before it didn't cover.
-    """
-    first = docs.withColumns({
-        "__q_n": F.size("__q_words").cast("long"),
-        "__q_chars": F.length(F.array_join("__q_words", "")).cast("long"),
+
+def _measures(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the measures of a text column."""
+    made = docs.withColumn("__q_text", F.coalesce(F.col(text_col), F.lit(""))).withColumns({
+        "__q_w": F.expr(_WORDS),
+        "__q_l": F.expr(_LINES),
         "__q_symbols": F.regexp_count("__q_text", F.lit(SYMBOLS)).cast("long"),
-        "__q_lines": F.expr(r"filter(split(__q_text, '\n'), x -> trim(both ' \t\n\u000b\f\r' from x) <> '')"),
-        "__q_windows": F.expr("if(size(__q_words) < 4, cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(sequence(0, size(__q_words) - 3), i -> struct(xxhash64(get(__q_words, i), get(__q_words, i + 1), get(__q_words, i + 2)) as h, i as i))))"),
     })
-    second = first.withColumns({
-        "__q_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
-        "__q_places": F.expr("sort_array(transform(filter(__q_windows, (x, k) -> x.h = get(__q_windows, k - 1).h or x.h = get(__q_windows, k + 1).h), x -> x.i))"),
-    })
-    return second.withColumn("__q_repeat", F.expr("aggregate(__q_places, named_struct('n', 0L, 'last', -3), (a, i) -> named_struct('n', a.n + least(3, i - a.last), 'last', i), a -> a.n)"))
+    return made.withColumns({f"__q_{name}": F.col(f"__q_{of}") for name, of in (("n", "w.n"), ("chars", "w.chars"), ("repeat", "w.rep"), ("lines", "l.n"), ("dup_lines", "l.dup"))})
 
 
 def base_failed() -> Column:
@@ -102,16 +101,16 @@ def cascade(rules: list[Rule]) -> Column:
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: base measures, the base verdict and the cascade's."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    measured = _measures(_words(own, "text"))
+    measured = _measures(own, "text")
     judged = measured.withColumn("__q_base", base_failed()).withColumn("__q_kept", F.when(F.col("__q_base"), False).otherwise(cascade(order_rules(measured, rules)).isNull()))
     return judged.select("doc_id", *(F.col(f"__q_{a}").alias(b) for a, b in (("n", "n_words"), ("chars", "word_chars"), ("symbols", "n_symbols"), ("dup_lines", "n_dup_lines"), ("repeat", "n_repeat_words"), ("base", "base_failed"), ("kept", "kept"))))
 
 
 def without_low_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that pass the base rule and every rule of the cascade."""
-    # A predicate would be pushed below the measures and repeat them inside its lambdas for every
-    # word; Spark leaves it above a projection with a column that isn't deterministic.
-    measured = _measures(_words(docs, text_col)).withColumn("__q_task", F.spark_partition_id())
+    # A predicate would be pushed below the measures and make them again for each of its terms; Spark
+    # leaves it above a projection with a column that isn't deterministic.
+    measured = _measures(docs, text_col).withColumn("__q_task", F.spark_partition_id())
     passed = (F.col("__q_task") >= 0) & ~base_failed() & cascade(order_rules(measured, rules)).isNull()
     return measured.where(passed).select(*docs.columns)
 

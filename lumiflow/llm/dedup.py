@@ -9,11 +9,11 @@ between two documents with probability equal to their Jaccard similarity.
 Links.  Documents with one shingle set are one class (grouped by a 128-bit set hash) and
 its smallest id stands for it.  Representatives that agree on a band of 5 of 250 slots
 share a bucket; at 0.8 a pair shares none of 50 buckets with probability 2e-9.  A bucket is
-worked off by pivots, never by all its pairs: its smallest member is compared with all
-others, links found so far join members into components, buckets inside one component are
+worked off by pivots, never by all its pairs: its hub (the member that shares its buckets with most
+rows, so nearest to the others) is compared with all others, links found so far join members into components, buckets inside one component are
 done, the pivot leaves, and what is left goes on.  Buckets that are down to ``SMALL``
 members compare the rest, and those still mixed after ``PIVOTS`` rounds are compared in
-dealt blocks that emit only pairs sharing two bands.  So no link between different texts is
+dealt blocks that emit only pairs sharing two bands, each in the first bucket it shares.  So no link between different texts is
 lost and the rows made stay near the rows read.  Every candidate is confirmed on the full
 shingle sets, made again from the texts.
 
@@ -38,7 +38,7 @@ from .words import SPACED, mix, shingle_hashes, slices, texts_column, words_of
 
 #: Slots (a prime), of which BANDS x ROWS are used.
 SLOTS, BANDS, ROWS = 251, 50, 5
-SMALL, PIVOTS, BLOCK = 8, 4, 512
+SMALL, PIVOTS, BLOCK = 8, 8, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -157,17 +157,20 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
 
     def compare(key, group):  # (pa.Scalar, ...), pa.Table -> pa.Table
+        group = group.combine_chunks()
         rep, label, mine = (group.column(c).to_numpy() for c in ("rep", "label", "mine"))
-        bands = np.stack(group.column("buckets").to_pylist())
-        x, y = key[1].as_py(), key[2].as_py()
+        bands = group.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        here, x, y = (k.as_py() for k in key)
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
-            j = right[(rep[right] > rep[i]) & (label[right] != label[i])] if x == y else right[label[right] != label[i]]
-            j = j[(bands[j] == bands[i]).sum(axis=1) >= 2]
-            a += [min(rep[i], r) for r in rep[j]]
-            b += [max(rep[i], r) for r in rep[j]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            j = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if x == y else True)]
+            same = bands[j] == bands[i]
+            # of the buckets that a pair shares only the first gives it
+            j = j[(same.sum(axis=1) >= 2) & (bands[i][same.argmax(axis=1)] == here)] if len(j) else j
+            a.append(np.minimum(rep[i], rep[j]))
+            b.append(np.maximum(rep[i], rep[j]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
@@ -175,10 +178,11 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
     """All links needed for the components of representatives (doc_id, n_shingles, buckets)."""
     rows = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1").drop("g")
-    members = stored(rows.join(shared, "bucket"), "members")
-    if members.isEmpty():
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
+    rows = stored(rows.join(shared, "bucket"), "shared")
+    if rows.isEmpty():
         return None
+    members = rows.drop("g").join(rows.groupBy("rep").agg(F.sum("g").alias("near")), "rep")
     packed = stored(_packed(own.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "texts")
     links = tested = None
     for turn in range(PIVOTS + 1):
@@ -187,13 +191,14 @@ def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
         else:
             labels = components(links)
             now = members.join(labels, F.col("rep") == F.col("vertex"), "left").withColumn("label", F.coalesce("component", "rep")).drop("vertex", "component")
-        mixed = now.groupBy("bucket").agg(F.min(F.struct("rep", "n", "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("bucket", "pivot", "g")
+        mixed = now.groupBy("bucket").agg(F.max(F.struct("near", "rep", "n", "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("bucket", "pivot", "g")
         now = stored(now.join(mixed, "bucket"), "mixed")
         if now.isEmpty():
             break
         fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
         if turn < PIVOTS:
-            found = now.where((F.col("label") != F.col("pivot.label")) & fits(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"))
+            one, two = F.col("pivot.rep"), F.col("rep")
+            found = now.where((F.col("label") != F.col("pivot.label")) & fits(F.col("n"), F.col("pivot.n"))).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
             if turn:
                 few = now.where(F.col("g") <= SMALL).select("bucket", "rep", "n", "label")
                 other = few.withColumnsRenamed({"rep": "rep2", "n": "n2", "label": "label2"})
@@ -207,7 +212,7 @@ def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
         tested = found if tested is None else tested.union(found)
         new = stored(confirmed(found, packed, k, percent), "confirmed")
         links = new if links is None else links.union(new)
-        members = now.where((F.col("rep") != F.col("pivot.rep")) & (F.col("g") > (SMALL if turn else 2))).select("rep", "n", "bucket")
+        members = now.where((F.col("rep") != F.col("pivot.rep")) & (F.col("g") > (SMALL if turn else 2))).select("rep", "n", "bucket", "near")
     return links
 
 

@@ -2,16 +2,18 @@
 
 Kernel.  A word's features are its subsequences of four symbols inside six positions, each
 weighing ``DECAY`` to the power of the span, so characters inserted in an insult cost weight
-but not the match; word ends are symbols too.  Letters are folded (case, accents, digits that stand
-for letters), other characters are dropped from words, and single letters in a row are one word.
+but not the match; word ends are symbols too.  Letters are folded (case, digits that stand
+for letters; letters beyond a-z into 13 symbols), other characters are dropped from words, and
+single letters in a row are one word.
 
 Fit.  Labels are of documents; the words of a bounded sample of labelled rows (``TOXIC_ROWS``
 and ``CLEAN_ROWS``, by a hash of the id) are counted by label on the executors, words that
-stand in toxic rows (almost) alone are positives, and others, among them the words of
+stand in toxic rows (almost) alone, and between different neighbours (a rare word of a text with many
+copies has the same ones), are positives, and others, among them the words of
 clean rows that the first fit rates highest, negatives.  Landmarks are a subset of
 both; Nyström features are K(word, landmarks) K(landmarks)^-1/2, and the SVM is linear in them.  As
-each landmark's kernel is linear in subsequences, the machine folds into one table of 32^4
-weights (4 MB at any size), so scoring a word is a sum of lookups.
+each landmark's kernel is linear in subsequences, the machine folds into one table of 41^4
+weights (11 MB at any size), so scoring a word is a sum of lookups.
 
 A text's score is the logistic of its highest-rated word in any sentence, calibrated on the sample;
 all words of whole texts are rated.
@@ -25,7 +27,7 @@ extra columns are not read.
 from __future__ import annotations
 
 import itertools
-import unicodedata
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +39,12 @@ from .langid import held_out
 from .words import slices, texts_column
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 12_000
-POSITIVES, NEGATIVES, LANDMARKS = 1500, 6000, 256
+POSITIVES, NEGATIVES, LANDMARKS, CANDIDATES = 1500, 6000, 256, 5000
 DECAY, SPAN, THRESHOLD = 0.7, 6, 0.7
-EDGE = 27
+EDGE, OTHERS = 27, 13
+BASE = EDGE + 1 + OTHERS
+#: Folded letters beyond a-z are written as characters of the private use area.
+PRIVATE = 0xE000
 _STEPS = [s for s in itertools.combinations(range(1, SPAN), 3)]
 
 #: Digits and signs that stand for letters.
@@ -47,7 +52,7 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 
 
 def _symbols() -> np.ndarray:
-    """Symbol of each code point of the basic plane: 1-26 letters, 27 blank, 0 dropped."""
+    """Symbol of each code point of the basic plane: 1-26 letters, 27 blank, then other letters, 0 dropped."""
     table = np.zeros(1 << 16, dtype=np.int32)
     for c in range(1 << 16):
         if 0xD800 <= c < 0xE000:
@@ -58,11 +63,17 @@ def _symbols() -> np.ndarray:
         elif ch in LOOKALIKES:
             table[c] = ord(LOOKALIKES[ch]) - 96
         elif ch.isalpha():
-            base = unicodedata.normalize("NFKD", ch.lower())[0]
-            table[c] = ord(base) - 96 if "a" <= base <= "z" else 28 + c % 4
+            low = ch.lower()[0]
+            table[c] = ord(low) - 96 if "a" <= low <= "z" else EDGE + 1 + ord(low) % OTHERS
+    table[PRIVATE + EDGE + 1 : PRIVATE + BASE] = np.arange(EDGE + 1, BASE)
     return table
 
 
+def _letters(symbols) -> str:
+    """Folded letters as text that folds to them again; blanks stay blanks."""
+    return "".join(chr(96 + c) if c < EDGE else " " if c == EDGE else chr(PRIVATE + c) for c in symbols.tolist())
+
+
 _table: list[np.ndarray] = []
 
 
@@ -101,7 +112,7 @@ def word_features(sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, flo
         if n <= c:
             continue
         m = n - c
-        code = ((sym[:m] * 32 + sym[a : a + m]) * 32 + sym[b : b + m]) * 32 + sym[c : c + m]
+        code = ((sym[:m] * BASE + sym[a : a + m]) * BASE + sym[b : b + m]) * BASE + sym[c : c + m]
         yield np.flatnonzero(before[c : c + m] == before[1 : 1 + m]), code, DECAY ** (c + 1)
 
 
@@ -120,7 +131,7 @@ def word_margins(sym: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _table_of(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Sum of the words' normed features, each by its weight."""
-    table = np.zeros(1 << 20, dtype=np.float64)
+    table = np.zeros(BASE**4, dtype=np.float64)
     sym, text = stream(words)
     scale = weights / _norms(np.bincount(text[sym != EDGE], minlength=len(words)))
     for at, code, weight in word_features(sym):
@@ -157,7 +168,9 @@ def train_words(positive: list[str], negative: list[str], landmarks: list[str])
     """(weights of all subsequences, bias)."""
     kmm = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
-    root = vectors @ np.diag(np.where(values > 1e-6, np.maximum(values, 1e-6) ** -0.5, 0.0)) @ vectors.T
+    # directions in which landmarks hardly differ are left out: their weights would be large and cancel
+    known = values > 3e-3 * values.max()
+    root = vectors @ np.diag(np.where(known, np.maximum(values, 1e-9) ** -0.5, 0.0)) @ vectors.T
     x = kernel(positive + negative, landmarks) @ root
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative))) * len(y) / 10
@@ -186,7 +199,7 @@ class Scorer:
                 end = first[i]
                 while end < len(sym) and sym[end] != EDGE:
                     end += 1
-                words[t] = "".join(chr(96 + c) if c <= 26 else "" for c in sym[first[i] : end])
+                words[t] = _letters(sym[first[i] : end])
         return out, words
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
@@ -238,16 +251,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         by = (Counter(), Counter())
         for batch in batches:
             for toxic, text in zip(texts_column(batch, "toxic").to_pylist(), texts_column(batch, "text").to_pylist(), strict=True):
-                sym, _ = stream([text])
-                line = "".join(chr(96 + c) if c <= 26 else " " if c == EDGE else "" for c in sym.tolist())
-                by[toxic].update({w for w in line.split() if 3 <= len(w) <= 40})
+                by[toxic].update({w for w in _letters(stream([text])[0]).split(" ") if 3 <= len(w) <= 40})
         for toxic in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array(list(by[toxic]), pa.string()), pa.array([toxic] * len(by[toxic]), pa.int32()), pa.array(list(by[toxic].values()), pa.int64())], names=["word", "toxic", "n"])
 
     counted = sample.mapInArrow(words, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).persist()
     try:
-        rated = counted.where("t >= 3 and c * 25 <= t").orderBy(F.desc("t"), "word").limit(POSITIVES).collect()
-        positive = [r["word"] for r in rated]
+        # so many toxic rows that a word of chance hardly has them alone, and eight times the clean share
+        rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        toxic_rows, clean_rows = rows.get(1, 0), rows.get(0, 0)
+        share = min(max(toxic_rows / max(1, toxic_rows + clean_rows), 0.01), 0.9)
+        least = math.ceil(math.log(20_000) / -math.log(share))
+        chosen = [r["word"] for r in counted.where((F.col("t") >= least) & (8 * F.col("c") * toxic_rows <= F.col("t") * clean_rows)).orderBy(F.desc("t"), "word").limit(CANDIDATES).collect()]
+        places = _contexts(sample.where("toxic = 1"), chosen)
+        positive = [w for w in chosen if places.get(w, 0) >= least][:POSITIVES]
         clean = counted.where("c > 0 and c * 2 >= t").withColumn("h", F.xxhash64("word"))
         negative = [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(NEGATIVES // 3).collect()]
         negative += [r["word"] for r in clean.orderBy("h", "word").limit(NEGATIVES).collect()]
@@ -272,6 +289,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     return scorer
 
 
+def _contexts(rows: DataFrame, words: list[str]) -> dict[str, int]:
+    """Number of different pairs of neighbours that each of ``words`` has in ``rows``."""
+    known = set(words)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
+        for batch in batches:
+            for text in texts_column(batch, "text").to_pylist():
+                w = ["", *_letters(stream([text])[0]).split(), ""]
+                found.update((w[i], w[i - 1], w[i + 1]) for i in range(1, len(w) - 1) if w[i] in known)
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["word", "before", "after"])
+
+    out = rows.mapInArrow(pairs, "word string, before string, after string").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    return {r["word"]: r["n"] for r in out.collect()}
+
+
 def _best_words(sample: DataFrame, scorer: Scorer) -> list:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,10 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .words import slices, texts_column
+from .shared import stored
+from .words import SPACED, shingle_hashes, slices, texts_column, words_of
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 12_000
 POSITIVES, NEGATIVES, LANDMARKS, CANDIDATES = 1500, 6000, 256, 5000
+#: Log likelihood that a word must have against chance: one in 200,000.
+EVIDENCE = math.log(200_000)
 DECAY, SPAN, THRESHOLD = 0.7, 6, 0.7
 EDGE, OTHERS = 27, 13
 BASE = EDGE + 1 + OTHERS
@@ -228,7 +231,7 @@ def _logistic(m: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """(doc_id, toxic, text) of at most about TOXIC_ROWS and CLEAN_ROWS labelled rows."""
+    """(toxic, text) of at most about TOXIC_ROWS and CLEAN_ROWS labelled rows."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
@@ -236,7 +239,18 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     most = F.when(F.col("toxic") == 1, int(min(1.0, TOXIC_ROWS / counts[1]) * (1 << 30))).otherwise(int(min(1.0, CLEAN_ROWS / counts[0]) * (1 << 30)))
     rows = known.where(key < most)
-    return docs.join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")  # bounded: two caps of a few thousand ids
+    known = docs.join(F.broadcast(rows), "doc_id").select("toxic", "text")  # bounded: two caps of a few thousand ids
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, text = shingle_hashes(words_of(texts_column(part, "text"), SPACED), 3)
+                least = np.full(part.num_rows, np.uint64(0xFFFFFFFFFFFFFFFF))
+                np.minimum.at(least, text, h)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], names=["toxic", "text", "h"])
+
+    # copies say one thing many times: rows of one label and least shingle hash count once
+    return stored(known.mapInArrow(marked, "toxic int, text string, h long").groupBy("toxic", "h").agg(F.min("text").alias("text")).drop("h"), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -257,14 +271,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     counted = sample.mapInArrow(words, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).persist()
     try:
-        # so many toxic rows that a word of chance hardly has them alone, and eight times the clean share
         rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         toxic_rows, clean_rows = rows.get(1, 0), rows.get(0, 0)
         share = min(max(toxic_rows / max(1, toxic_rows + clean_rows), 0.01), 0.9)
-        least = math.ceil(math.log(20_000) / -math.log(share))
-        chosen = [r["word"] for r in counted.where((F.col("t") >= least) & (8 * F.col("c") * toxic_rows <= F.col("t") * clean_rows)).orderBy(F.desc("t"), "word").limit(CANDIDATES).collect()]
-        places = _contexts(sample.where("toxic = 1"), chosen)
-        positive = [w for w in chosen if places.get(w, 0) >= least][:POSITIVES]
+        least = math.ceil(EVIDENCE / -math.log(share))
+        # evidence against chance (log likelihood ratio), and eight times the clean share
+        t, c = F.col("t"), F.col("c")
+        evidence = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+        chosen = {r["word"]: r["t"] for r in counted.where((t > 1) & (evidence >= EVIDENCE) & (8 * c * toxic_rows <= t * clean_rows)).orderBy(F.desc("t"), "word").limit(CANDIDATES).collect()}
+        places = _contexts(sample.where("toxic = 1"), list(chosen))
+        positive = [w for w, t in chosen.items() if places.get(w, 0) >= max(least, t / 2)][:POSITIVES]
         clean = counted.where("c > 0 and c * 2 >= t").withColumn("h", F.xxhash64("word"))
         negative = [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(NEGATIVES // 3).collect()]
         negative += [r["word"] for r in clean.orderBy("h", "word").limit(NEGATIVES).collect()]

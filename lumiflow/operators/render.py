@@ -71,6 +71,16 @@ def condition(x: Column, k: Column, method: str) -> Column:
     raise ValueError(f"no such condition: {method}")
 
 
+def attention(query: Column, keys: Column, values: Column) -> Column:
+    """Softmax of scaled products with ``keys`` (array<array<double>>), applied to ``values``."""
+    scores = F.transform(keys, lambda k: dot(query, k) / F.sqrt(F.size(query).cast("double")))
+    top = F.array_max(scores)
+    weights = F.transform(scores, lambda s: F.exp(s - top))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    zero = F.transform(values[0], lambda v: F.lit(0.0))
+    return F.aggregate(F.zip_with(weights, values, lambda w, v: F.transform(v, lambda x: w * x / total)), zero, lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
+
+
 def delta_features(before: Column, after: Column, eps: float = 1e-6) -> tuple[Column, Column]:
     """(difference, ratio) of two pixel vectors."""
     return F.zip_with(before, after, lambda a, b: b - a), F.zip_with(before, after, lambda a, b: b / (a + eps))

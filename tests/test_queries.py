@@ -3,7 +3,7 @@
 import pytest
 from oracle import connection, difference
 
-from lumiflow.plans import chat_queries, data_queries, flagship, system_queries  # noqa: F401
+from lumiflow.plans import chat_queries, data_queries, flagship, more_queries, system_queries  # noqa: F401
 from lumiflow.plans.catalog import ORACLE, QUERIES
 
 

@@ -231,6 +231,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of which one document of each group stays (the smallest id)."""
+    """The rows of ``docs``, all columns as they are, of which one document of each group stays (the smallest id), and of rows that share an id the one with the smallest text."""
     gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct().hint("merge")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    again = stored(again, "repeated")
+    if again.isEmpty():
+        return kept
+    one = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("__row")
+    rows = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").groupBy(F.col(id_col).alias("__again")).agg(one)
+    return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(rows.select("__row.*"))

@@ -83,6 +83,8 @@ def test_odd_cases(spark):
     kept = dedup.without_near_duplicates(docs(spark), k=2)
     assert kept.columns == docs(spark).columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "6", "7", "8", "9", "None", "None"])
+    twice = dedup.without_near_duplicates(docs(spark, [(4, "one two three four five six", "x")] * 3 + [(9, None, "x")]), k=5)
+    assert sorted(r["doc_id"] for r in twice.collect()) == [4, 9]
     assert dedup.near_duplicates(empty(spark)).count() == 0 and dedup.without_near_duplicates(empty(spark)).count() == 0
 
 

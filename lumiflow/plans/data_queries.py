@@ -14,7 +14,11 @@ from ..operators import params as pm
 from .catalog import query, quoted
 from .chat_queries import TURNS, _prompt_sql
 
-HAS = F.col("conv_id") % 3 == 0
+
+
+def has_image():
+    return F.col("conv_id") % 3 == 0
+
 WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
 LENGTHS = f"l AS (SELECT conv_id, CAST(sum({WORDS}) AS BIGINT) AS words FROM conversations GROUP BY conv_id)"
 
@@ -23,19 +27,19 @@ LENGTHS = f"l AS (SELECT conv_id, CAST(sum({WORDS}) AS BIGINT) AS words FROM con
 
 @query("a01_lengths", f"WITH {LENGTHS} SELECT conv_id, words + CASE WHEN conv_id % 3 = 0 THEN 128 ELSE 0 END AS length FROM l")
 def a01(d):
-    return bt.conversation_lengths(d.conversations, HAS).select("conv_id", "length")
+    return bt.conversation_lengths(d.conversations, has_image()).select("conv_id", "length")
 
 
 @query("a02_modality_lengths", f"WITH {LENGTHS} SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN words ELSE -words END AS modality_length FROM l")
 def a02(d):
-    return bt.conversation_lengths(d.conversations, HAS).select("conv_id", "modality_length")
+    return bt.conversation_lengths(d.conversations, has_image()).select("conv_id", "modality_length")
 
 
 MEGA = f"WITH {LENGTHS}, s AS (SELECT conv_id, words, row_number() OVER (ORDER BY md5(CAST(conv_id AS VARCHAR)), conv_id) - 1 AS pos FROM l), m AS (SELECT *, pos // 16 AS megabatch FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY megabatch ORDER BY words DESC, pos) - 1 AS rank FROM m)"
 
 
 def _lengths(d):
-    return bt.conversation_lengths(d.conversations, HAS)
+    return bt.conversation_lengths(d.conversations, has_image())
 
 
 @query("t06_permutation", f"{MEGA} SELECT conv_id, CAST(pos AS BIGINT) AS pos FROM r")
@@ -184,7 +188,7 @@ def j05(d):
     from pyspark.sql import Window
 
     # a batch is what one step holds, so its window is small; here batches are told by nothing and the table is one batch
-    rows = d.conversations.select("conv_id").distinct().withColumn("n", F.when(HAS, 2).otherwise(0)).withColumn("batch", F.floor(F.col("conv_id") / 64))
+    rows = d.conversations.select("conv_id").distinct().withColumn("n", F.when(has_image(), 2).otherwise(0)).withColumn("batch", F.floor(F.col("conv_id") / 64))
     own = F.sum(F.greatest("n", F.lit(1))).over(Window.partitionBy("batch").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1))
     sums = rows.groupBy("batch").agg(F.sum(F.greatest("n", F.lit(1))).alias("all"))
     before = sums.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
@@ -250,7 +254,10 @@ def w04(d):
 # ---- geometry, at synthetic sizes
 
 SIZES = "s AS (SELECT p_partkey, CAST(64 + p_partkey * 37 % 4000 AS INTEGER) AS w, CAST(64 + p_partkey * 91 % 3000 AS INTEGER) AS h FROM part)"
-W, H = F.col("w"), F.col("h")
+
+
+def size_columns():
+    return F.col("w"), F.col("h")
 
 
 def _sizes(d):
@@ -260,7 +267,7 @@ def _sizes(d):
 
 @query("g01_short_edge", f"WITH {SIZES} SELECT p_partkey, CASE WHEN w <= h THEN 512 ELSE CAST(trunc(w * (512.0::DOUBLE / h)) AS INTEGER) END AS new_w, CASE WHEN w <= h THEN CAST(trunc(h * (512.0::DOUBLE / w)) AS INTEGER) ELSE 512 END AS new_h FROM s")
 def g01(d):
-    a, b = g.short_edge(W, H)
+    a, b = g.short_edge(*size_columns())
     return _sizes(d).select("p_partkey", a.alias("new_w"), b.alias("new_h"))
 
 
@@ -271,20 +278,20 @@ f AS (SELECT *, least(CAST(trunc(w * scale) AS BIGINT) * CAST(trunc(h * scale) A
 
 @query("g02_best_resolution", f"WITH {BEST} SELECT p_partkey, cw AS best_w, ch AS best_h FROM best")
 def g02(d):
-    return _sizes(d).withColumn("b", g.best_resolution(W, H)).select("p_partkey", F.col("b.w").alias("best_w"), F.col("b.h").alias("best_h"))
+    return _sizes(d).withColumn("b", g.best_resolution(*size_columns())).select("p_partkey", F.col("b.w").alias("best_w"), F.col("b.h").alias("best_h"))
 
 
 @query("t09_resolution_ranking", f"WITH {BEST} SELECT p_partkey, i, CAST(eff AS BIGINT) AS effective, CAST(cw * ch - eff AS BIGINT) AS waste FROM f")
 def t09(d):
     rows = d.spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(g.RESOLUTIONS)], "i int, cw int, ch int")
-    e, waste = g.resolution_fit(W, H, F.col("cw"), F.col("ch"))
+    e, waste = g.resolution_fit(*size_columns(), F.col("cw"), F.col("ch"))
     return _sizes(d).crossJoin(F.broadcast(rows)).select("p_partkey", "i", e.alias("effective"), waste.alias("waste"))  # a fixed list of candidates
 
 
 @query("j03_best_by_join", f"WITH {BEST} SELECT p_partkey, cw AS best_w, ch AS best_h FROM best")
 def j03(d):
     rows = d.spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(g.RESOLUTIONS)], "i int, cw int, ch int")
-    e, waste = g.resolution_fit(W, H, F.col("cw"), F.col("ch"))
+    e, waste = g.resolution_fit(*size_columns(), F.col("cw"), F.col("ch"))
     fits = _sizes(d).crossJoin(F.broadcast(rows)).withColumn("k", F.struct((-e).alias("e"), waste.alias("waste"), F.col("i").alias("i")))
     return fits.groupBy("p_partkey").agg(F.min_by(F.struct("cw", "ch"), "k").alias("b")).select("p_partkey", F.col("b.cw").alias("best_w"), F.col("b.ch").alias("best_h"))
 
@@ -294,42 +301,42 @@ FIT = """x AS (SELECT *, CAST(cw AS DOUBLE) / w AS sw, CAST(ch AS DOUBLE) / h AS
 
 @query("g03_resize_and_pad", f"WITH {BEST}, {FIT} SELECT p_partkey, new_w, new_h, (cw - new_w) // 2 AS paste_x, (ch - new_h) // 2 AS paste_y FROM y")
 def g03(d):
-    rows = _sizes(d).withColumn("b", g.best_resolution(W, H))
-    return rows.select("p_partkey", *(c.alias(n) for n, c in g.fit(W, H, F.col("b.w"), F.col("b.h")).items()))
+    rows = _sizes(d).withColumn("b", g.best_resolution(*size_columns()))
+    return rows.select("p_partkey", *(c.alias(n) for n, c in g.fit(*size_columns(), F.col("b.w"), F.col("b.h")).items()))
 
 
 @query("g04_tiles", f"WITH {SIZES} SELECT p_partkey, CAST(xs AS INTEGER) AS x0, CAST(ys AS INTEGER) AS y0, CAST(xs + 336 AS INTEGER) AS x1, CAST(ys + 336 AS INTEGER) AS y1 FROM s, unnest(range(0, w, 336)) a(xs), unnest(range(0, h, 336)) b(ys) WHERE p_partkey <= 500")
 def g04(d):
-    return _sizes(d).where("p_partkey <= 500").select("p_partkey", F.inline(g.tiles(W, H, 336)))
+    return _sizes(d).where("p_partkey <= 500").select("p_partkey", F.inline(g.tiles(*size_columns(), 336)))
 
 
 @query("g05_grid_shape", f"WITH {BEST} SELECT p_partkey, cw // 336 AS grid_w, ch // 336 AS grid_h FROM best")
 def g05(d):
-    a, b = g.grid_shape(W, H)
+    a, b = g.grid_shape(*size_columns())
     return _sizes(d).select("p_partkey", a.alias("grid_w"), b.alias("grid_h"))
 
 
 @query("g06_anyres_patches", f"WITH {BEST} SELECT p_partkey, CAST(1 + (cw // 336) * (ch // 336) AS BIGINT) AS patches FROM best")
 def g06(d):
-    rows = _sizes(d).withColumn("b", g.best_resolution(W, H))
+    rows = _sizes(d).withColumn("b", g.best_resolution(*size_columns()))
     return rows.select("p_partkey", (1 + F.size(g.tiles(F.col("b.w"), F.col("b.h"), g.TILE))).cast("long").alias("patches"))
 
 
 @query("g07_square", f"WITH {SIZES} SELECT p_partkey, greatest(w, h) AS side, (greatest(w, h) - w) // 2 AS x, (greatest(w, h) - h) // 2 AS y, 122 AS background FROM s")
 def g07(d):
-    side, x, y = g.square(W, H)
+    side, x, y = g.square(*size_columns())
     return _sizes(d).select("p_partkey", side.alias("side"), x.alias("x"), y.alias("y"), F.lit(int(0.48145466 * 255)).alias("background"))
 
 
 @query("g08_serving_size", f"WITH {SIZES}, q AS (SELECT *, greatest(w, h) AS hi, least(w, h) AS lo FROM s), r AS (SELECT *, CAST(hi AS DOUBLE) / lo AS ratio FROM q), u AS (SELECT *, CAST(trunc(least(1344.0::DOUBLE / ratio, 672.0::DOUBLE, CAST(lo AS DOUBLE))) AS INTEGER) AS low FROM r), v AS (SELECT *, CAST(trunc(low * ratio) AS INTEGER) AS high FROM u) SELECT p_partkey, CASE WHEN hi <= 1344 THEN w WHEN h > w THEN low ELSE high END AS new_w, CASE WHEN hi <= 1344 THEN h WHEN h > w THEN high ELSE low END AS new_h FROM v")
 def g08(d):
-    a, b = g.serving_size(W, H)
+    a, b = g.serving_size(*size_columns())
     return _sizes(d).select("p_partkey", a.alias("new_w"), b.alias("new_h"))
 
 
 @query("g09_unpad_window", f"WITH {SIZES} SELECT p_partkey, CASE WHEN CAST(w AS DOUBLE) / h > 1.0 THEN 0 ELSE (336 - CAST(trunc(w * (336.0::DOUBLE / h)) AS INTEGER)) // 2 END AS x0, CASE WHEN CAST(w AS DOUBLE) / h > 1.0 THEN (336 - CAST(trunc(h * (336.0::DOUBLE / w)) AS INTEGER)) // 2 ELSE 0 END AS y0 FROM s")
 def g09(d):
-    x0, y0, _, _ = g.unpad_window(F.lit(336), F.lit(336), W, H)
+    x0, y0, _, _ = g.unpad_window(F.lit(336), F.lit(336), *size_columns())
     return _sizes(d).select("p_partkey", x0.alias("x0"), y0.alias("y0"))
 
 
@@ -357,9 +364,9 @@ def g16(d):
 
 @query("z01_image_modes", f"WITH {BEST} SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN greatest(w, h) WHEN 1 THEN cw ELSE w END AS out_w, CASE p_partkey % 3 WHEN 0 THEN greatest(w, h) WHEN 1 THEN ch ELSE h END AS out_h FROM best")
 def z01(d):
-    rows = _sizes(d).withColumn("b", g.best_resolution(W, H))
-    mode, side = F.col("p_partkey") % 3, g.square(W, H)[0]
-    return rows.select("p_partkey", F.when(mode == 0, side).when(mode == 1, F.col("b.w")).otherwise(W).alias("out_w"), F.when(mode == 0, side).when(mode == 1, F.col("b.h")).otherwise(H).alias("out_h"))
+    rows = _sizes(d).withColumn("b", g.best_resolution(*size_columns()))
+    mode, side = F.col("p_partkey") % 3, g.square(*size_columns())[0]
+    return rows.select("p_partkey", F.when(mode == 0, side).when(mode == 1, F.col("b.w")).otherwise(F.col("w")).alias("out_w"), F.when(mode == 0, side).when(mode == 1, F.col("b.h")).otherwise(F.col("h")).alias("out_h"))
 
 
 @query("a09_same_shapes", f"WITH {SIZES} SELECT p_partkey % 40 AS batch, count(DISTINCT w * 10000 + h) = 1 AS stack FROM s GROUP BY p_partkey % 40")

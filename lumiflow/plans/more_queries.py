@@ -12,7 +12,7 @@ from ..operators import render as rn
 from ..sources.readers import CORPUS, corpus_turns
 from .catalog import query
 from .chat_queries import TURNS
-from .data_queries import _PADDED, SIZES, H, W, _batch, _sizes, j05
+from .data_queries import _PADDED, SIZES, _batch, _sizes, j05, size_columns
 from .system_queries import _H, B1, B2, W1, W2, WZ, _lin, _out_sql, _pixels, _round
 
 
@@ -44,7 +44,7 @@ query("w08_feature_index", "WITH c AS (SELECT DISTINCT conv_id, CASE WHEN conv_i
 
 @query("z02_always_pad", f"WITH {SIZES} SELECT p_partkey, greatest(w, h) AS side FROM s")
 def z02(d):
-    return _sizes(d).select("p_partkey", g.square(W, H)[0].alias("side"))
+    return _sizes(d).select("p_partkey", g.square(*size_columns())[0].alias("side"))
 
 
 @query("z06_collate", f"{_PADDED}, f AS (SELECT conv_id, bool_and(turn % 2 = 0) AS images FROM conversations WHERE turn = 0 GROUP BY conv_id) SELECT conv_id, turn, list_concat(ids, list_transform(range(m - len(ids)), lambda i: CAST(0 AS BIGINT))) AS input_ids, list_transform(range(m), lambda i: i < len(ids)) AS attention_mask, images FROM b JOIN f USING (conv_id)")

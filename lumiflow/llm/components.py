@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
+#: Links of which one task holds the forest (400,000 vertices at most).
+ONE_TASK = 200_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Links of a partition, replaced by (vertex, root) of union-find; emptied when it holds ``limit`` vertices."""
     parent: dict[int, int] = {}
@@ -46,13 +50,17 @@ def _forest(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(vertex, component) of every linked vertex; the component is its smallest vertex. ``links``: long columns a, b."""
-    e = stored(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
+    """(vertex, component) of every linked vertex; the component is its smallest vertex. ``links``: long columns a, b, of a stored table.
+
+    Up to ``ONE_TASK`` links are one partition, whose forest is the answer.
+    """
+    links = links.select("a", "b").where("a <> b")
+    if links.count() <= ONE_TASK:
+        return _labels(stored(links.coalesce(1).mapInArrow(_forest, "a long, b long"), "links"))
+    e = stored(links.mapInArrow(_forest, "a long, b long").distinct(), "links")
     for _ in range(rounds):
         if _are_stars(e):
-            leaf = e.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-            root = e.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
-            return stored(leaf.union(root), "components")
+            return _labels(e)
         both = e.union(e.select("b", "a"))
         least = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: larger neighbours of v go to the smallest that v knows
@@ -65,6 +73,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _labels(stars: DataFrame) -> DataFrame:
+    leaf = stars.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    return leaf.union(stars.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
+
+
 def _are_stars(e: DataFrame) -> bool:
     """No vertex is both root and leaf, and each leaf has one root."""
     leaves = e.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n"))

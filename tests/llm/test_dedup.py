@@ -88,7 +88,9 @@ def test_odd_cases(spark):
     assert dedup.near_duplicates(empty(spark)).count() == 0 and dedup.without_near_duplicates(empty(spark)).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(cc, "ONE_TASK", one_task)
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(200) if i % 40 != 39] + [(1000, i) for i in range(1001, 1100)]
     rng.shuffle(links)

@@ -60,8 +60,3 @@ def common_prefix(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     differ = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(a, i) != F.get(b, i)))
     return F.array_min(differ).cast("long")
-
-
-def masked(ids: Column, spans: Column) -> Column:
-    """Labels: ids, with IGNORE in every [lo, hi) of ``spans``, an array<struct<lo, hi>>."""
-    return F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["lo"]) & (i < s["hi"])), F.lit(IGNORE).cast("long")).otherwise(x))

@@ -61,6 +61,16 @@ def test_content_is_stored_once(spark):
     assert [r["content"] for r in wr.new_content(items, stored).collect()] == ["a"]
 
 
+def test_weights_and_events(spark, tmp_path):
+    w = spark.createDataFrame([("a", [1, 2], [0.5, 1.5])], rd.WEIGHTS)
+    wr.write_weights(w, str(tmp_path / "w"))
+    assert rd.read_weights(spark, str(tmp_path / "w")).collect() == w.collect()
+    (tmp_path / "e.json").write_text('{"event": "register", "worker": "w", "model_names": ["m"], "speed": 1}')
+    row = rd.read_events(spark, str(tmp_path / "e.json")).first()
+    assert row["model_names"] == ["m"] and row["ts"] is None
+    assert rd.read_events(spark, str(tmp_path), streaming=True).isStreaming
+
+
 def test_fallback_repeats_the_first_record(spark):
     df = spark.createDataFrame([(1, "a", False), (2, "b", True)], "k long, v string, bad boolean")
     assert sorted((r["asked"], r["v"]) for r in rd.with_fallback(df, "bad", "k").collect()) == [(1, "a"), (2, "a")]

@@ -88,11 +88,6 @@ class Words:
         return _mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def hash_of(word: str) -> int:
-    """The hash that :meth:`Words.hashes` gives this word."""
-    return int(words_of(pa.array([word]), _word_bytes([])).hashes()[0])
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of a string array; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,7 +125,7 @@ def image_to_front(text: Column, tagged: bool = False, start_end: bool = False)
 def template_of_model(name: Column, web: bool = False) -> Column:
     """Template for a model's name, by the order of the rules of the terminal or the web client; unregistered ones are null."""
     low = F.lower(name)
-    has = lambda *parts: __import__("functools").reduce(lambda a, b: a | b, (low.contains(p) for p in parts))
+    has = lambda *parts: reduce(or_, (low.contains(p) for p in parts))
     if not web:
         return F.when(has("llama-2"), "llava_llama_2").when(has("mistral"), "mistral_instruct").when(has("v1.6-34b"), "chatml_direct").when(has("v1"), "llava_v1").when(has("mpt"), "mpt").otherwise("llava_v0")
     tagged = has("mmtag") | (has("plain") & ~has("finetune"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,18 @@ def prompts(turns: DataFrame, template: Template, open_end: bool = False, conv:
     return rows.withColumn("messages", said).select(conv, render(template, F.col("messages")).alias("prompt"))
 
 
+def all_prompts(turns: DataFrame, templates: Iterable[Template], conv: str = "conv_id") -> DataFrame:
+    """(conv, template, prompt) of each conversation by each template: turns are ordered once for all of them."""
+    rows = messages(usable_turns(turns, conv), ("0", "1"), conv)
+
+    def named(t: Template) -> Column:
+        said = F.transform("messages", lambda m: F.struct(F.when(m["role"] == "0", t.roles[0]).otherwise(t.roles[1]).alias("role"), m["text"].alias("text")))
+        shots = [F.struct(F.lit(t.roles[i % 2]).alias("role"), F.lit(s).alias("text")) for i, s in enumerate(t.shots)]
+        return F.concat(F.array(*shots), said) if shots else said
+
+    return rows.select(conv, F.inline(F.array(*(F.struct(F.lit(t.name).alias("template"), render(t, named(t)).alias("prompt")) for t in templates))))
+
+
 def chat_pairs(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     """(conv, pair, asked, answered): turns folded in twos by position."""
     pair = F.floor(F.col("pos") / 2).cast("long")

@@ -76,7 +76,9 @@ def label_masks(prompts: DataFrame, t: Template, prompt: str = "prompt", images:
         parts = F.split(r, _literal(rule.split))
         asked = F.concat(parts[0], F.lit(rule.split))
         add = F.when(i > 0, rule.later).otherwise(0) if rule.later else F.lit(0)
-        instruction = common_prefix(of(r), of(asked)) if rule.cut == "pairs" else size(asked) - rule.back
+        # both id arrays are bound before the comparison, which would else make them again at each place
+        both = F.array(F.struct(of(r).alias("round"), of(asked).alias("asked")))
+        instruction = F.transform(both, lambda z: common_prefix(z["round"], z["asked"]))[0] if rule.cut == "pairs" else size(asked) - rule.back
         return F.struct(((r != "") & (F.size(parts) == 2)).alias("ok"), (size(r) + rule.extra + add).cast("long").alias("n"), (instruction + add).cast("long").alias("asked"))
 
     rows = rows.withColumn("__each", F.transform("__rounds", one))

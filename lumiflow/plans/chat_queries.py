@@ -55,7 +55,7 @@ for _name, _t in STYLES.items():
     query(_name, f"WITH {TURNS} {_prompt_sql(_t)}")(lambda d, t=_t: chat.prompts(d.conversations, t))
 
 query("f_all_templates", f"WITH {TURNS} " + " UNION ALL ".join(f"SELECT '{t.name}' AS template, conv_id, md5(prompt) AS prompt_md5 FROM ({_prompt_sql(t)})" for t in tp.TEMPLATES.values()))(
-    lambda d: __import__("functools").reduce(lambda a, b: a.unionByName(b), [chat.prompts(d.conversations, t).select(F.lit(t.name).alias("template"), "conv_id", F.md5("prompt").alias("prompt_md5")) for t in tp.TEMPLATES.values()])
+    lambda d: chat.all_prompts(d.conversations, tp.TEMPLATES.values()).select("template", "conv_id", F.md5("prompt").alias("prompt_md5"))
 )
 
 

@@ -12,8 +12,10 @@ share a bucket; at 0.8 a pair shares none of 50 buckets with probability 2e-9.
 worked off by pivots, never by all its pairs: its hub (the member that shares its buckets with most
 rows, so nearest to the others) is compared with all others, links found so far join members into components, buckets inside one component are
 done, the pivot leaves, and what is left goes on.  Buckets that are down to ``SMALL``
-members compare the rest, and those still mixed after ``PIVOTS`` rounds are compared in
-dealt blocks that emit only pairs sharing two bands, each in the first bucket it shares.  So no link between different texts is
+members compare the rest.  Those still mixed after ``PIVOTS`` rounds are compared in dealt
+blocks: in ``NEAREST`` rounds what lies outside a bucket's main component is held against
+those it shares most bands with, and what then is still mixed gives all its pairs that
+share two bands, each in the first bucket it shares.  So no link between different texts is
 lost and the rows made stay near the rows read.  Every candidate is confirmed on the full
 shingle sets, made again from the texts.
 
@@ -38,7 +40,7 @@ from .words import SPACED, mix, shingle_hashes, slices, texts_column, words_of
 
 #: Slots (a prime), of which BANDS x ROWS are used.
 SLOTS, BANDS, ROWS = 251, 50, 5
-SMALL, PIVOTS, BLOCK = 8, 4, 512
+SMALL, PIVOTS, NEAREST, BLOCK = 8, 2, 2, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -150,26 +152,42 @@ def confirmed(pairs: DataFrame, packed: DataFrame, k: int, percent: int) -> Data
     return one.select("a", "b", "za", "zb").mapInArrow(confirm, "a long, b long")
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of large mixed buckets, found in dealt blocks: pairs of two labels that share two bands at least."""
+def _block_pairs(members: DataFrame, nearest: int = 0) -> DataFrame:
+    """Candidate pairs of mixed buckets (bucket, rep, label, main, buckets), found in dealt blocks: pairs of two labels that share two bands at least.
+
+    With ``nearest``, only rows outside the bucket's main component give pairs, and each only the
+    so many others with which it shares most bands.
+    """
     rows = members.groupBy("bucket").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb")).join(members, "bucket")
     mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
 
     def compare(key, group):  # (pa.Scalar, ...), pa.Table -> pa.Table
         group = group.combine_chunks()
-        rep, label, mine = (group.column(c).to_numpy() for c in ("rep", "label", "mine"))
+        rep, label, main, mine = (group.column(c).to_numpy() for c in ("rep", "label", "main", "mine"))
         bands = group.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
         here, x, y = (k.as_py() for k in key)
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in left:
-            j = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if x == y else True)]
-            same = bands[j] == bands[i]
-            # of the buckets that a pair shares only the first gives it
-            j = j[(same.sum(axis=1) >= 2) & (bands[i][same.argmax(axis=1)] == here)] if len(j) else j
+
+        def give(i, j) -> None:
             a.append(np.minimum(rep[i], rep[j]))
             b.append(np.maximum(rep[i], rep[j]))
+
+        if nearest:
+            for from_, to in ((left, right), (right, left))[: 1 if x == y else 2]:
+                for i in from_[label[from_] != main[from_]]:
+                    j = to[label[to] != label[i]]
+                    n = (bands[j] == bands[i]).sum(axis=1)
+                    j, n = j[n >= 2], n[n >= 2]
+                    give(i, j[np.argsort(-n, kind="stable")[:nearest]])
+        else:
+            for i in left:
+                j = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if x == y else True)]
+                if len(j):
+                    same = bands[j] == bands[i]
+                    # of the buckets that a pair shares only the first gives it
+                    give(i, j[(same.sum(axis=1) >= 2) & (bands[i][same.argmax(axis=1)] == here)])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
@@ -185,7 +203,7 @@ def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
     members = rows.drop("g").join(rows.groupBy("rep").agg(F.sum("g").alias("near")), "rep")
     packed = stored(_packed(own.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "texts")
     links = tested = None
-    for turn in range(PIVOTS + 1):
+    for turn in range(PIVOTS + NEAREST + 1):
         if links is None:
             now = members.withColumn("label", F.col("rep"))
         else:
@@ -204,7 +222,8 @@ def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
                 other = few.withColumnsRenamed({"rep": "rep2", "n": "n2", "label": "label2"})
                 found = found.union(few.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & fits(F.col("n"), F.col("n2"))).select("rep", "rep2"))
         else:
-            found = _block_pairs(now.select("bucket", "rep", "label").join(reps.select(F.col("doc_id").alias("rep"), "buckets"), "rep"))
+            rest = now.select("bucket", "rep", "label", F.col("pivot.label").alias("main"))
+            found = _block_pairs(rest.join(reps.select(F.col("doc_id").alias("rep"), "buckets"), "rep"), 2 if turn < PIVOTS + NEAREST else 0)
         found = found.distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
@@ -212,7 +231,9 @@ def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
         tested = found if tested is None else tested.union(found)
         new = stored(confirmed(found, packed, k, percent), "confirmed")
         links = new if links is None else links.union(new)
-        members = now.where((F.col("rep") != F.col("pivot.rep")) & (F.col("g") > (SMALL if turn else 2))).select("rep", "n", "bucket", "near")
+        if turn < PIVOTS:
+            members = now.where((F.col("rep") != F.col("pivot.rep")) & (F.col("g") > (SMALL if turn else 2)))
+        members = (members if turn < PIVOTS else now).select("rep", "n", "bucket", "near")
     return links
 
 

@@ -8,9 +8,10 @@ from .decontam import contamination_report
 from .dedup import near_duplicates
 from .langid import language_report
 from .license_scan import license_report
+from .oracles import ORACLE  # noqa: F401
 from .packing import pack_documents
 from .quality_lm import quality_scores
-from .quality_rules import quality_report, quality_sql
+from .quality_rules import quality_report
 from .sharding import shard_documents
 from .tokenfile import tokens_round_trip
 from .toxicity import toxicity_report
@@ -61,4 +62,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_decontamination, op4_near_dedup, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_language_id, op10_sharding)}
-ORACLE = {"op6_quality_rules": quality_sql()}

@@ -55,8 +55,10 @@ def test_brute_force(spark, k):
     assert run(spark, rows, k) == brute(rows, k)
 
 
-def test_blocks_alone_find_all_links(spark, monkeypatch):
+@pytest.mark.parametrize("nearest", [0, 2])
+def test_blocks_alone_find_all_links(spark, monkeypatch, nearest):
     monkeypatch.setattr(dedup, "PIVOTS", 0)
+    monkeypatch.setattr(dedup, "NEAREST", nearest)
     monkeypatch.setattr(dedup, "BLOCK", 5)
     rows = near_copies(9, groups=3, copies=20)
     assert run(spark, rows, 2) == brute(rows, 2)

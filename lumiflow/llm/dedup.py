@@ -14,8 +14,8 @@ rows, so nearest to the others) is compared with all others, links found so far
 done, the pivot leaves, and what is left goes on.  Buckets that are down to ``SMALL``
 members compare the rest.  Those still mixed after ``PIVOTS`` rounds are compared in dealt
 blocks: in ``NEAREST`` rounds what lies outside a bucket's main component is held against
-those it shares most bands with, and what then is still mixed gives all its pairs that
-share two bands, each in the first bucket it shares.  So no link between different texts is
+those it shares most bands with, and of what then is still mixed all pairs that share
+two bands are confirmed inside the blocks, each in the first bucket it shares, and only links leave them.  So no link between different texts is
 lost and the rows made stay near the rows read.  Every candidate is confirmed on the full
 shingle sets, made again from the texts.
 
@@ -152,11 +152,26 @@ def confirmed(pairs: DataFrame, packed: DataFrame, k: int, percent: int) -> Data
     return one.select("a", "b", "za", "zb").mapInArrow(confirm, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, nearest: int = 0) -> DataFrame:
-    """Candidate pairs of mixed buckets (bucket, rep, label, main, buckets), found in dealt blocks: pairs of two labels that share two bands at least.
+def _sets(z: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted shingle hashes of packed texts."""
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    out = []
+    for at in range(0, len(z), 64):
+        texts = [d.decompress(x).decode() for x in z[at : at + 64].to_pylist()]
+        h, text = distinct(*shingle_hashes(words_of(pa.array(texts, pa.large_string()), SPACED), k))
+        cut = np.searchsorted(text, np.arange(len(texts) + 1))
+        out += [h[cut[i] : cut[i + 1]] for i in range(len(texts))]
+    return out
+
+
+def _block_pairs(members: DataFrame, k: int, percent: int, nearest: int = 0) -> DataFrame:
+    """Pairs of mixed buckets (bucket, rep, label, main, buckets, z), found in dealt blocks: pairs of two labels that share two bands at least.
 
     With ``nearest``, only rows outside the bucket's main component give pairs, and each only the
-    so many others with which it shares most bands.
+    so many others with which it shares most bands, to be confirmed.  Without it every pair is confirmed on
+    the full sets inside its block, and only links leave it.
     """
     rows = members.groupBy("bucket").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb")).join(members, "bucket")
     mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
@@ -182,12 +197,17 @@ def _block_pairs(members: DataFrame, nearest: int = 0) -> DataFrame:
                     j, n = j[n >= 2], n[n >= 2]
                     give(i, j[np.argsort(-n, kind="stable")[:nearest]])
         else:
+            sets = _sets(group.column("z").combine_chunks(), k)
+            size = np.array([len(x) for x in sets])
             for i in left:
                 j = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if x == y else True)]
                 if len(j):
                     same = bands[j] == bands[i]
                     # of the buckets that a pair shares only the first gives it
-                    give(i, j[(same.sum(axis=1) >= 2) & (bands[i][same.argmax(axis=1)] == here)])
+                    j = j[(same.sum(axis=1) >= 2) & (bands[i][same.argmax(axis=1)] == here)]
+                    j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+                    both = np.array([len(np.intersect1d(sets[i], sets[x], assume_unique=True)) for x in j], dtype=np.int64)
+                    give(i, j[100 * both >= percent * (size[i] + size[j] - both)])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
@@ -222,8 +242,14 @@ def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
                 other = few.withColumnsRenamed({"rep": "rep2", "n": "n2", "label": "label2"})
                 found = found.union(few.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & fits(F.col("n"), F.col("n2"))).select("rep", "rep2"))
         else:
-            rest = now.select("bucket", "rep", "label", F.col("pivot.label").alias("main"))
-            found = _block_pairs(rest.join(reps.select(F.col("doc_id").alias("rep"), "buckets"), "rep"), 2 if turn < PIVOTS + NEAREST else 0)
+            last = turn == PIVOTS + NEAREST
+            rest = now.select("bucket", "rep", "label", F.col("pivot.label").alias("main")).join(reps.select(F.col("doc_id").alias("rep"), "buckets"), "rep")
+            rest = rest.join(packed.withColumnRenamed("doc_id", "rep"), "rep") if last else rest
+            found = _block_pairs(rest, k, percent, 0 if last else 2)
+            if last:
+                new = stored(found, "confirmed")
+                links = new if links is None else links.union(new)
+                break
         found = found.distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")

@@ -1,34 +1,41 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-Units are bytes folded to ``SYMBOLS`` classes (letters, capitals as one class, digits, kinds of
-punctuation and of UTF-8 bytes), in n-grams of ``ORDER``.  Word n-grams would make a shuffled
-row of nearly every word of the corpus; with folded bytes the count tables of all orders
-have at most 48^4 rows at any size, while what is counted is still every n-gram of every
-trusted text.
-
-Counts are summed in tasks, then sharded by n-gram over the reducers.  Totals and
-continuation counts of contexts, discounts from counts of counts, and interpolation with the
-next lower order are joins and aggregates of those shards.  The result is laid out as one array of
-48^4 32-bit log probabilities (21 MB, a proven bound), which tasks look texts up in.
-
-A document's perplexity is that of its symbols; it is accepted up to its language's
-threshold, the ``QUANTILE`` of trusted documents of that language times ``SLACK``.
+Units are whole bytes in n-grams of ``DEPTH``, so what is counted grows with trusted text and no
+script or case is folded.  One task's documents of one chunk (``CHUNK`` rows of a file) give each
+distinct n-gram once, with how often trusted text of theirs has it.  Counts are summed by
+n-gram over the reducers.  Totals and continuation counts of contexts, discounts from counts of counts, and
+interpolation with the next lower order are joins and aggregates of those shards, and so are the
+probabilities of all n-grams that documents ask for.  The answers go back by chunk as files in
+the shared folder; a scoring task holds those of one chunk.
+
+A document's perplexity is that of its bytes.  One trusted document of ``HELD`` isn't counted: counted
+text is likelier than other good text.  A document is accepted up to its language's threshold, the
+``QUANTILE`` of that language's trusted documents times ``SLACK``: of those held out or of all, whichever is higher
+(in small tables the few held out say little).
 
 Defined cases: null and empty texts have no perplexity (null) and are rejected; a null
 language, or one without trusted documents, takes the threshold of all trusted documents;
+where no trusted text is left to count, the one held out is counted too;
 without trusted text nothing is judged and every text that isn't empty is accepted; rows with
 a null id or label aren't trusted; repeated rows are judged each; an empty table gives no
 rows; extra columns are kept by the filter.
+
+``ngram_codes``, ``ngram_counts`` and ``log_table`` are the dense form over ``SYMBOLS`` classes of
+bytes, which tests hold ``kneser_ney`` against; the classifier doesn't use them.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import file_system, shared_dir, stored
 from .words import buffers, slices, texts_column
@@ -36,6 +43,10 @@ from .words import buffers, slices, texts_column
 SYMBOLS, ORDER, START = 48, 4, 47
 QUANTILE, SLACK = 0.99, 1.4
 SIZE = SYMBOLS**ORDER
+#: Of the classifier's model: length of n-grams, rows of a chunk, one trusted document of so many is held out.
+DEPTH, CHUNK, HELD = 5, 8192, 5
+#: Fixed: no byte of UTF-8; and so many n-grams are held before repeats among them are summed.
+BEGIN, PENDING = 0xFF, 4_000_000
 
 
 def _classes() -> np.ndarray:
@@ -94,15 +105,15 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.05), i - 0.05)) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def kneser_ney(counts: DataFrame, symbols: int = SYMBOLS, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """From the lowest order up: ((code, p: the discounted part), (context, back: the weight of the order below))."""
     orders = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        orders.append(orders[-1].groupBy(F.pmod(F.col("code"), F.lit(SYMBOLS**k)).cast("int").alias("code")).agg(F.count("*").alias("n")))
+    for k in range(order - 1, 0, -1):
+        orders.append(stored(orders[-1].groupBy(F.pmod(F.col("code"), F.lit(symbols**k)).alias("code")).agg(F.count("*").alias("n")), "counts"))
     out = []
     for own in reversed(orders):
         d1, d2, d3 = _discounts(own)
-        rows = own.withColumn("context", F.floor(F.col("code") / SYMBOLS).cast("int"))
+        rows = own.withColumn("context", F.floor(F.col("code") / symbols))
         sums = rows.groupBy("context").agg(F.sum("n").alias("total"), *(F.count_if(c).alias(f"m{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") >= 3))))
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         p = rows.join(sums, "context").select("code", ((F.col("n") - discount) / F.col("total")).alias("p"))
@@ -127,50 +138,193 @@ def log_table(counts: DataFrame) -> np.ndarray | None:
     return np.log(np.maximum(below, 1e-12)).astype(np.float32)
 
 
-_tables: dict[str, np.ndarray] = {}
+def byte_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each byte with the ``DEPTH`` - 1 before it, text of each byte); texts begin after BEGIN bytes."""
+    offsets, raw = buffers(texts)
+    sizes = np.diff(offsets)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    padded = np.full(len(raw) + (DEPTH - 1) * len(sizes), BEGIN, dtype=np.int64)
+    at = np.arange(len(raw)) + (DEPTH - 1) * (text + 1)
+    padded[at] = raw
+    whole = padded.copy()
+    for j in range(1, DEPTH):
+        whole[j:] |= padded[:-j] << (8 * j)
+    return whole[at], text
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``__chunk``: the same for rows that stand together in a file, at each reading."""
+    chunk = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / CHUNK)).alias("__chunk")
+    try:
+        return docs.select("*", chunk)
+    except AnalysisException:  # not read from Parquet files
+        return stored(docs, "docs").select("*", chunk)
+
+
+def _by_chunk(rows: DataFrame, name: str) -> str:
+    """Write ``rows`` to a folder for each ``chunk``; the path above them."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}"
+    rows.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
+    return path
 
 
-def _table(path: str) -> np.ndarray:
-    if path not in _tables:
-        fs, p = file_system(path)
-        with fs.open_input_file(p) as f:
-            _tables.clear()
-            _tables[path] = np.frombuffer(f.read(), dtype=np.float32)
-    return _tables[path]
+def _read_chunk(path: str, chunk: int) -> pa.Table | None:
+    from pyarrow import fs as pafs
+    from pyarrow import parquet
+
+    fs, p = file_system(f"{path}/chunk={chunk}")
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)) if f.path.endswith(".parquet")]
+    return pa.concat_tables([parquet.ParquetFile(f, filesystem=fs).read() for f in sorted(found)]) if found else None
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows of it) in the order of reading."""
+    for batch in batches:
+        for part in slices(batch, text_col):
+            chunk = texts_column(part, "__chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                yield int(chunk[i]), part.slice(i, j - i)
+
+
+@functools.lru_cache(maxsize=1)
+def _known(path: str, chunk: int) -> pa.Table | None:
+    return _read_chunk(path, chunk)
+
+
+def _marks(path: str, chunk: int, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(trusted, held out) of each id."""
+    known = _known(path, chunk)
+    if known is None:
+        return np.zeros(len(ids), dtype=bool), np.zeros(len(ids), dtype=bool)
+    held = known.column("held")
+    is_in = lambda t: pc.is_in(ids, value_set=t.column("doc_id").combine_chunks().cast(ids.type)).to_numpy(zero_copy_only=False)
+    return is_in(known), is_in(known.filter(held))
+
+
+def _grams(docs: DataFrame, marks: str, text_col: str, id_col: str) -> DataFrame:
+    """(chunk, code, n: occurrences in counted text, m: in trusted text) of the n-grams of ``docs``, by task."""
+
+    def summed(found: list) -> list:
+        code = np.concatenate([f[0] for f in found])
+        codes, at = np.unique(code, return_inverse=True)
+        return [(codes, *(np.bincount(at, np.concatenate([f[i] for f in found]), len(codes)).astype(np.int64) for i in (1, 2)))]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            for codes, n, m in summed(found):
+                for i in range(0, len(codes), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[i : i + 100_000]), last)), *(pa.array(x[i : i + 100_000]) for x in (codes, n, m))], names=["chunk", "code", "n", "m"])
+
+        found, last, held_now = [], None, 0
+        for chunk, part in _parts(batches, text_col):
+            if found and chunk != last:
+                yield from out()
+                found, held_now = [], 0
+            last = chunk
+            codes, text = byte_codes(texts_column(part, text_col))
+            if not len(codes):
+                continue
+            trusted, held = _marks(marks, chunk, texts_column(part, id_col))
+            # a n-gram's code has 40 bits; the next two say whose it is
+            code, n = np.unique(codes << 2 | (trusted.astype(np.int64) + held)[text], return_counts=True)
+            whose, code = code & 3, code >> 2
+            found.append((code, np.where(whose == 1, n, 0), np.where(whose > 0, n, 0)))
+            held_now += len(code)
+            if held_now > PENDING:
+                found = summed(found)
+                held_now = len(found[0][0])
+                if held_now > PENDING // 2:
+                    yield from out()
+                    found, held_now = [], 0
+        if found:
+            yield from out()
+
+    return docs.select("__chunk", F.col(id_col), F.col(text_col)).mapInArrow(find, "chunk long, code long, n long, m long")
+
+
+def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(code, p) of each of the n-grams ``wanted`` (code, distinct), seen in trusted text or not."""
+    levels = [wanted]
+    for k in range(len(model) - 1, 0, -1):
+        levels.append(stored(levels[-1].select(F.pmod("code", F.lit(256**k)).alias("code")).distinct(), "wanted"))
+    below = None
+    for k, (own, back) in enumerate(model, 1):
+        rows = levels[-k].join(own, "code", "left").withColumn("context", F.floor(F.col("code") / 256)).join(back, "context", "left")
+        if below is None:
+            rows = rows.withColumn("q", F.lit(1 / 256))
+        else:
+            rows = rows.withColumn("rest", F.pmod("code", F.lit(256 ** (k - 1)))).join(below.select(F.col("code").alias("rest"), F.col("p").alias("q")), "rest")
+        below = stored(rows.select("code", (F.coalesce("p", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("q")).alias("p")), "p")
+    return below
+
+
+def _perplexities(part: pa.RecordBatch, text_col: str, table: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    codes, text = byte_codes(texts_column(part, text_col))
+    n = np.bincount(text, minlength=part.num_rows)
+    at = np.minimum(np.searchsorted(table[0], codes), max(0, len(table[0]) - 1))
+    if len(codes) and not (len(table[0]) and (table[0][at] == codes).all()):
+        raise ValueError("texts changed between two readings: n-grams without a probability")
+    total = np.bincount(text, weights=table[1][at], minlength=part.num_rows) if len(codes) else np.zeros(part.num_rows)
+    return pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64(), mask=n == 0)
+
+
+def _chunk_table(path: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams in order, natural log of each one's probability)."""
+    t = _read_chunk(path, chunk)
+    if t is None:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    code, first = np.unique(t.column("code").to_numpy(), return_index=True)
+    return code, t.column("log_p").to_numpy()[first].astype(np.float64)
 
 
 def with_perplexity(docs: DataFrame, path: str, text_col: str = "text", name: str = "perplexity") -> DataFrame:
-    """``docs`` with a column of perplexities by the table at ``path``."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    """Chunked ``docs`` with a column of perplexities by the answers at ``path`` in place of the chunk."""
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "__chunk"), T.StructField(name, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
-        for batch in batches:
-            for part in slices(batch, text_col):
-                codes, text = ngram_codes(texts_column(part, text_col))
-                n = np.bincount(text, minlength=part.num_rows)
-                total = np.bincount(text, weights=table[codes], minlength=part.num_rows)
-                ppl = np.exp(-total / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ppl, pa.float64(), mask=n == 0)], names=[*part.schema.names, name])
+        last, table = None, None
+        for chunk, part in _parts(batches, text_col):
+            if chunk != last:
+                last, table = chunk, _chunk_table(path, chunk)
+            rows = part.drop_columns(["__chunk"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, _perplexities(part, text_col, table)], names=[*rows.schema.names, name])
 
     return docs.mapInArrow(score, schema)
 
 
-def train(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> str | None:
-    """Fit on all rows of ``docs`` whose id is in ``trusted`` (doc_id); the path of the table in the shared folder."""
-    # both sides grow with the corpus: a merge join at every size
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''").join(trusted.hint("merge"), "doc_id", "left_semi")
-    table = log_table(stored(ngram_counts(known), "counts"))
-    if table is None:
+def trusted_perplexities(docs: DataFrame, path: str, marks: str, text_col: str, lang_col: str, id_col: str) -> DataFrame:
+    """(lang, held, perplexity) of the trusted rows of chunked ``docs``; other texts aren't scored."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, table = None, None
+        for chunk, part in _parts(batches, text_col):
+            trusted, held = _marks(marks, chunk, texts_column(part, id_col))
+            if not trusted.any():
+                continue
+            if chunk != last:
+                last, table = chunk, _chunk_table(path, chunk)
+            part = part.filter(pa.array(trusted))
+            yield pa.RecordBatch.from_arrays([texts_column(part, lang_col).cast(pa.string()), pa.array(held[trusted]), _perplexities(part, text_col, table)], names=["lang", "held", "perplexity"])
+
+    return docs.select("__chunk", id_col, lang_col, text_col).mapInArrow(score, "lang string, held boolean, perplexity double")
+
+
+def train(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[str, str] | None:
+    """Fit on the rows of chunked ``docs`` whose id is in ``trusted`` (doc_id); the paths of the answers and of the trusted ids."""
+    ids = docs.where(F.col(text_col) != "").select(F.col("__chunk").alias("chunk"), F.col(id_col).alias("doc_id"))
+    # both sides grow with the corpus: a merge join at every size, of ids alone
+    known = ids.join(trusted.hint("merge"), "doc_id", "left_semi").distinct()
+    marks = _by_chunk(known.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0), "trusted")
+    grams = stored(_grams(docs, marks, text_col, id_col), "ngrams")
+    some = grams.agg(F.max("n"), F.max("m")).first()
+    if not some[1]:
         return None
-    path = f"{shared_dir(docs.sparkSession)}/model.f32"
-    fs, p = file_system(path)
-    fs.create_dir(p.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(p) as f:
-        f.write(table.tobytes())
-    return path
+    n = "n" if some[0] else "m"
+    counts = stored(grams.where(F.col(n) > 0).groupBy("code").agg(F.sum(n).alias("n")), "counts")
+    wanted = stored(grams.select("code").distinct(), "wanted")
+    p = probabilities(wanted, kneser_ney(counts, 256, DEPTH)).select("code", F.log("p").cast("float").alias("log_p"))
+    return _by_chunk(grams.select("chunk", "code").join(p, "code"), "answers"), marks
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -178,10 +332,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count_if(F.col("quality").isNull()).alias("u")).where("q = 1 and u = 0").select("doc_id")
 
 
-def thresholds(scored: DataFrame, trusted: DataFrame) -> tuple[dict[str, float], float]:
-    """(threshold by language, threshold of all) of trusted rows of (doc_id, lang, perplexity)."""
-    known = scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
-    found = known.rollup("lang").agg(F.grouping("lang").alias("all"), (F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("t")).collect()
+def thresholds(known: DataFrame) -> tuple[dict[str, float], float]:
+    """(threshold by language, threshold of all) of trusted rows of (lang, held, perplexity)."""
+    quantile = lambda x: F.percentile_approx(x, QUANTILE, 10_000)
+    held = F.when(F.col("held"), F.col("perplexity"))
+    found = known.where("perplexity is not null").rollup("lang").agg(F.grouping("lang").alias("all"), (F.greatest(quantile(held), quantile(F.col("perplexity"))) * SLACK).alias("t")).collect()
     return {r["lang"]: r["t"] for r in found if not r["all"] and r["lang"] is not None}, next((r["t"] for r in found if r["all"] and r["t"] is not None), float("inf"))
 
 
@@ -193,23 +348,20 @@ def _limit(by: dict[str, float], rest: float, lang_col: str):
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, perplexity, threshold, accepted."""
-    own = docs.select("doc_id", "text", "lang")
-    trusted = trusted_ids(labels)
-    path = train(own, trusted)
-    if path is None:
+    own = chunked(docs.select("doc_id", "text", "lang"))
+    paths = train(own, trusted_ids(labels))
+    if paths is None:
         return own.select("doc_id", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.coalesce(F.col("text") != "", F.lit(False)).alias("accepted"))
-    scored = stored(with_perplexity(own, path).drop("text"), "scores")
-    limit = _limit(*thresholds(scored, trusted), "lang")
+    limit = _limit(*thresholds(trusted_perplexities(own, *paths, "text", "lang", "doc_id")), "lang")
+    scored = with_perplexity(own, paths[0]).drop("text")
     return scored.select("doc_id", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("accepted"))
 
 
 def without_unlikely(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the model accepts."""
-    trusted = trusted_ids(labels)
-    path = train(docs, trusted, text_col, id_col)
-    if path is None:
+    own = chunked(docs)
+    paths = train(own, trusted_ids(labels), text_col, id_col)
+    if paths is None:
         return docs.where(F.col(text_col) != "")
-    scored = with_perplexity(docs, path, text_col, "__perplexity")
-    known = scored.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col("__perplexity").alias("perplexity"))
-    limit = _limit(*thresholds(known, trusted), lang_col)
-    return scored.where(F.col("__perplexity") <= limit).drop("__perplexity")
+    limit = _limit(*thresholds(trusted_perplexities(own, *paths, text_col, lang_col, id_col)), lang_col)
+    return with_perplexity(own, paths[0], text_col, "__perplexity").where(F.col("__perplexity") <= limit).drop("__perplexity")

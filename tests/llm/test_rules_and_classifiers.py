@@ -115,6 +115,55 @@ def test_ngrams_begin_with_each_text():
     assert text.tolist() == [0, 3] and codes[0] % 48 == 0 and codes[1] % 48 == 1 and codes[0] // 48 == codes[1] // 48
 
 
+def test_whole_bytes_are_counted_and_joined(spark):
+    """Against a plain model in one process; no case, script or context of four bytes is folded."""
+    texts = ["the cat SAT", "the dog sat. The cat ran", "кот спал", "пёс ел", "the cat sat", "ran the dog", "кот ел", "a cat"] * 3
+    texts = [f"{t} {i}" for i, t in enumerate(texts)] + ["THE CAT", "ток лапс", "", None]
+    d = docs(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_lm.quality_scores(d, labels).collect()}
+    held = {r[0] for r in d.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality_lm.HELD)) == 0).select("doc_id").collect()}
+    n = quality_lm.DEPTH
+    grams = lambda t: [tuple(x) for x in (lambda s: (s[i : i + n] for i in range(len(s) - n + 1)))([255] * (n - 1) + list(t.encode()))]
+    level = Counter(g for i in range(24) if i not in held for g in grams(texts[i]))
+    levels = [level]
+    for _ in range(n - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    parts = []
+    for c in levels[::-1]:
+        n1, n2, n3, n4 = (max(1, sum(v == i for v in c.values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        ds = [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        sums, back = Counter(), Counter()
+        for g, v in c.items():
+            sums[g[:-1]] += v
+            back[g[:-1]] += ds[min(v, 3) - 1]
+        parts.append((c, ds, sums, back))
+
+    def p(g):
+        out = 1 / 256
+        for k, (c, ds, sums, back) in enumerate(parts, 1):
+            s = g[n - k :]
+            total = sums.get(s[:-1], 0)
+            out = (c[s] - ds[min(c[s], 3) - 1] if s in c else 0) / total + back[s[:-1]] / total * out if total else out
+        return out
+
+    for i, t in enumerate(texts):
+        want = math.exp(-sum(math.log(p(g)) for g in grams(t)) / len(t.encode())) if t else None
+        assert got[i]["perplexity"] is None if want is None else math.isclose(got[i]["perplexity"], want, rel_tol=1e-4), i
+    assert len({got[i]["perplexity"] for i in (24, 25)} | {got[0]["perplexity"]}) == 3
+
+
+def test_counted_ngrams_grow_with_trusted_text(spark):
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        d, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        own = quality_lm.chunked(d)
+        path, _ = quality_lm.train(own, quality_lm.trusted_ids(labels))
+        sizes.append(spark.read.parquet(path).select("code").distinct().count())
+    assert sizes[1] > 1.5 * sizes[0]
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.language_report(d).join(d, "doc_id").where("held_out").collect()

@@ -10,7 +10,7 @@ the shared folder; a scoring task holds those of one chunk.
 
 A document's perplexity is that of its bytes.  One trusted document of ``HELD`` isn't counted: counted
 text is likelier than other good text.  A document is accepted up to its language's threshold, the
-``QUANTILE`` of that language's trusted documents times ``SLACK``: of those held out or of all, whichever is higher
+``QUANTILE`` of that language's trusted documents: of those held out or of all, whichever is higher
 (in small tables the few held out say little).
 
 Defined cases: null and empty texts have no perplexity (null) and are rejected; a null
@@ -41,7 +41,7 @@ from .shared import file_system, shared_dir, stored
 from .words import buffers, slices, texts_column
 
 SYMBOLS, ORDER, START = 48, 4, 47
-QUANTILE, SLACK = 0.99, 1.4
+QUANTILE = 0.99
 SIZE = SYMBOLS**ORDER
 #: Of the classifier's model: length of n-grams, rows of a chunk, one trusted document of so many is held out.
 DEPTH, CHUNK, HELD = 5, 8192, 5
@@ -336,7 +336,7 @@ def thresholds(known: DataFrame) -> tuple[dict[str, float], float]:
     """(threshold by language, threshold of all) of trusted rows of (lang, held, perplexity)."""
     quantile = lambda x: F.percentile_approx(x, QUANTILE, 10_000)
     held = F.when(F.col("held"), F.col("perplexity"))
-    found = known.where("perplexity is not null").rollup("lang").agg(F.grouping("lang").alias("all"), (F.greatest(quantile(held), quantile(F.col("perplexity"))) * SLACK).alias("t")).collect()
+    found = known.where("perplexity is not null").rollup("lang").agg(F.grouping("lang").alias("all"), F.greatest(quantile(held), quantile(F.col("perplexity"))).alias("t")).collect()
     return {r["lang"]: r["t"] for r in found if not r["all"] and r["lang"] is not None}, next((r["t"] for r in found if r["all"] and r["t"] is not None), float("inf"))
 
 

@@ -154,6 +154,13 @@ def test_whole_bytes_are_counted_and_joined(spark):
     assert len({got[i]["perplexity"] for i in (24, 25)} | {got[0]["perplexity"]}) == 3
 
 
+def test_quality_classifier_rejects_all_kinds_of_bad_rows(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_lm.quality_scores(d, labels).join(labels, "doc_id").collect()
+    good, bad = ([r for r in rows if r["quality"] == q] for q in (1, 0))
+    assert sum(r["accepted"] for r in bad) < 0.15 * len(bad) and sum(not r["accepted"] for r in good) < 0.02 * len(good)
+
+
 def test_counted_ngrams_grow_with_trusted_text(spark):
     sizes = []
     for sf in ("sf0.001", "sf0.01"):

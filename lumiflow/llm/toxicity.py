@@ -20,7 +20,7 @@ all words of whole texts are rated.
 
 Defined cases: null, empty and wordless texts get the score of the bias alone; ties among words
 change nothing; repeated rows are scored each; rows without a label or with a null label teach
-nothing; without toxic or clean labels every score is 0; an empty table gives no rows;
+nothing; without toxic or clean labels, or where no word reaches ``EVIDENCE`` (small tables), every score is 0; an empty table gives no rows;
 extra columns are not read.
 """
 

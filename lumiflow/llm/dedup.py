@@ -8,14 +8,15 @@ between two documents with probability equal to their Jaccard similarity.
 
 Links.  Documents with one shingle set are one class (grouped by a 128-bit set hash) and
 its smallest id stands for it.  Representatives that agree on a band of 5 of 250 slots
-share a bucket; at 0.8 a pair shares none of 50 buckets with probability 2e-9.  A bucket is
+share a bucket; at 0.8 a pair shares none of 50 buckets with probability 2e-9
+(in large buckets left mixed, where pairs need two bands, none or one with 6e-8).  A bucket is
 worked off by pivots, never by all its pairs: its hub (the member that shares its buckets with most
 rows, so nearest to the others) is compared with all others, links found so far join members into components, buckets inside one component are
 done, the pivot leaves, and what is left goes on.  Buckets that are down to ``SMALL``
 members compare the rest.  Those still mixed after ``PIVOTS`` rounds are compared in dealt
 blocks: in ``NEAREST`` rounds what lies outside a bucket's main component is held against
 those it shares most bands with, and of what then is still mixed all pairs that share
-two bands are confirmed inside the blocks, each in the first bucket it shares, and only links leave them.  So no link between different texts is
+two bands are confirmed inside the blocks, each in the first bucket it shares, and only links leave them.  So, but for pairs that share one band only, no link between different texts is
 lost and the rows made stay near the rows read.  Every candidate is confirmed on the full
 shingle sets, made again from the texts.
 

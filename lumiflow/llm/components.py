@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-#: Links of which one task holds the forest (400,000 vertices at most).
-ONE_TASK = 200_000
+#: Links of a partition, whose forest a task holds (400,000 vertices at most).
+PARTITION_LINKS = 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -52,12 +52,11 @@ def _forest(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(vertex, component) of every linked vertex; the component is its smallest vertex. ``links``: long columns a, b, of a stored table.
 
-    Up to ``ONE_TASK`` links are one partition, whose forest is the answer.
+    Partitions have ``PARTITION_LINKS`` links; the forest of a single one is the answer.
     """
     links = links.select("a", "b").where("a <> b")
-    if links.count() <= ONE_TASK:
-        return _labels(stored(links.coalesce(1).mapInArrow(_forest, "a long, b long"), "links"))
-    e = stored(links.mapInArrow(_forest, "a long, b long").distinct(), "links")
+    parts = -(-links.count() // PARTITION_LINKS) or 1
+    e = stored(links.coalesce(parts).mapInArrow(_forest, "a long, b long").distinct(), "links")
     for _ in range(rounds):
         if _are_stars(e):
             return _labels(e)

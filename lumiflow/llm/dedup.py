@@ -8,22 +8,21 @@ between two documents with probability equal to their Jaccard similarity.
 
 Links.  Documents with one shingle set are one class (grouped by a 128-bit set hash) and
 its smallest id stands for it.  Representatives that agree on a band of 5 of 250 slots
-share a bucket; at 0.8 a pair shares none of 50 buckets with probability 2e-9
-(in large buckets left mixed, where pairs need two bands, none or one with 6e-8).  A bucket is
-worked off by pivots, never by all its pairs: its hub (the member that shares its buckets with most
-rows, so nearest to the others) is compared with all others, links found so far join members into components, buckets inside one component are
-done, the pivot leaves, and what is left goes on.  Buckets that are down to ``SMALL``
-members compare the rest.  Those still mixed after ``PIVOTS`` rounds are compared in dealt
-blocks: in ``NEAREST`` rounds what lies outside a bucket's main component is held against
-those it shares most bands with, and of what then is still mixed all pairs that share
-two bands are confirmed inside the blocks, each in the first bucket it shares, and only links leave them.  So, but for pairs that share one band only, no link between different texts is
-lost and the rows made stay near the rows read.  Every candidate is confirmed on the full
-shingle sets, made again from the texts.
+share a bucket; at 0.8 a pair shares none of 50 buckets with probability 2e-9.  A bucket is
+never expanded into all its pairs.  First its hub (the member that shares its buckets with most rows,
+so nearest to the others) is compared with all others, and links join members into
+components.  Members of buckets that still hold two components (without the hub, which is
+done) then go through an exact prefix-filtered join, the same for groups of any size: a set's shingles are
+ordered by how few of these sets hold them; of a pair at ``percent`` the smaller set's first
+n - ceil(2p / (1 + p) n) + 1 and the larger one's first n - ceil(p n) + 1 must share one, at places that
+leave room for the overlap, and only pairs of two components count.  So
+postings are read, not pairs, no candidate is dropped, and a frequent shingle's postings can be
+split as any skewed join.  Every candidate is confirmed on the full shingle sets, made again from the texts.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing;
-a text of fewer words than a shingle is one shingle; rows that share an id count as linked; rows
-with a null id belong to no group and are kept; an empty table gives no rows; extra
-columns don't matter.
+a text of fewer words than a shingle is one shingle; rows that share an id count as linked, whatever
+their texts; rows with a null id belong to no group and are kept; ids are integers (others raise
+``TypeError``); an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,8 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import stored
@@ -41,7 +41,6 @@ from .words import SPACED, mix, shingle_hashes, slices, texts_column, words_of
 
 #: Slots (a prime), of which BANDS x ROWS are used.
 SLOTS, BANDS, ROWS = 251, 50, 5
-SMALL, PIVOTS, NEAREST, BLOCK = 8, 2, 2, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -88,7 +87,7 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set hash (f1, f2), buckets of each row of (doc_id, text)."""
+    """doc_id, th, n_shingles, set hash (f1, f2), buckets of each row of (doc_id, th, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,22 +101,22 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     run = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
                     prints.append(mix(run[first[1:]] - run[first[:-1]] + size.astype(np.uint64)).view(np.int64))
                 buckets = band_hashes(superminhash(h, text, n))
-                yield pa.RecordBatch.from_arrays([texts_column(part, "doc_id"), pa.array(size, pa.int64()), *(pa.array(x) for x in prints), pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), BANDS).cast(pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "f1", "f2", "buckets"])
+                yield pa.RecordBatch.from_arrays([texts_column(part, "doc_id"), texts_column(part, "th"), pa.array(size, pa.int64()), *(pa.array(x) for x in prints), pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), BANDS).cast(pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "f1", "f2", "buckets"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, buckets array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, th long, n_shingles long, f1 long, f2 long, buckets array<long>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): texts compressed, for the joins of confirmation."""
+    """(doc_id, th, z): texts compressed, for the joins of confirmation."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([texts_column(batch, "doc_id"), pa.array([c.compress((t or "").encode()) for t in texts_column(batch, "text").to_pylist()], pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([texts_column(batch, "doc_id"), texts_column(batch, "th"), pa.array([c.compress((t or "").encode()) for t in texts_column(batch, "text").to_pylist()], pa.binary())], names=["doc_id", "th", "z"])
 
-    return docs.mapInArrow(pack, "doc_id long, z binary")
+    return docs.mapInArrow(pack, "doc_id long, th long, z binary")
 
 
 def similar(texts: pa.Array, k: int, percent: int) -> np.ndarray:
@@ -149,131 +148,111 @@ def confirmed(pairs: DataFrame, packed: DataFrame, k: int, percent: int) -> Data
                     held, texts = 0, []
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    one = pairs.join(packed.withColumnsRenamed({"doc_id": "b", "z": "zb"}), "b").join(packed.withColumnsRenamed({"doc_id": "a", "z": "za"}), "a")
+    texts = packed.select("doc_id", "z")
+    one = pairs.hint("merge").join(texts.withColumnsRenamed({"doc_id": "b", "z": "zb"}), "b").hint("merge").join(texts.withColumnsRenamed({"doc_id": "a", "z": "za"}), "a")
     return one.select("a", "b", "za", "zb").mapInArrow(confirm, "a long, b long")
 
 
-def _sets(z: pa.Array, k: int) -> list[np.ndarray]:
-    """Sorted shingle hashes of packed texts."""
-    import zstandard
-
-    d = zstandard.ZstdDecompressor()
-    out = []
-    for at in range(0, len(z), 64):
-        texts = [d.decompress(x).decode() for x in z[at : at + 64].to_pylist()]
-        h, text = distinct(*shingle_hashes(words_of(pa.array(texts, pa.large_string()), SPACED), k))
-        cut = np.searchsorted(text, np.arange(len(texts) + 1))
-        out += [h[cut[i] : cut[i + 1]] for i in range(len(texts))]
-    return out
-
-
-def _block_pairs(members: DataFrame, k: int, percent: int, nearest: int = 0) -> DataFrame:
-    """Pairs of mixed buckets (bucket, rep, label, main, buckets, z), found in dealt blocks: pairs of two labels that share two bands at least.
-
-    With ``nearest``, only rows outside the bucket's main component give pairs, and each only the
-    so many others with which it shares most bands, to be confirmed.  Without it every pair is confirmed on
-    the full sets inside its block, and only links leave it.
-    """
-    rows = members.groupBy("bucket").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb")).join(members, "bucket")
-    mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-
-    def compare(key, group):  # (pa.Scalar, ...), pa.Table -> pa.Table
-        group = group.combine_chunks()
-        rep, label, main, mine = (group.column(c).to_numpy() for c in ("rep", "label", "main", "mine"))
-        bands = group.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-        here, x, y = (k.as_py() for k in key)
-        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def give(i, j) -> None:
-            a.append(np.minimum(rep[i], rep[j]))
-            b.append(np.maximum(rep[i], rep[j]))
-
-        if nearest:
-            for from_, to in ((left, right), (right, left))[: 1 if x == y else 2]:
-                for i in from_[label[from_] != main[from_]]:
-                    j = to[label[to] != label[i]]
-                    n = (bands[j] == bands[i]).sum(axis=1)
-                    j, n = j[n >= 2], n[n >= 2]
-                    give(i, j[np.argsort(-n, kind="stable")[:nearest]])
-        else:
-            sets = _sets(group.column("z").combine_chunks(), k)
-            size = np.array([len(x) for x in sets])
-            for i in left:
-                j = right[(label[right] != label[i]) & ((rep[right] > rep[i]) if x == y else True)]
-                if len(j):
-                    same = bands[j] == bands[i]
-                    # of the buckets that a pair shares only the first gives it
-                    j = j[(same.sum(axis=1) >= 2) & (bands[i][same.argmax(axis=1)] == here)]
-                    j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-                    both = np.array([len(np.intersect1d(sets[i], sets[x], assume_unique=True)) for x in j], dtype=np.int64)
-                    give(i, j[100 * both >= percent * (size[i] + size[j] - both)])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+def _shingles(members: DataFrame, k: int) -> DataFrame:
+    """(rep, th, label, n, token), a row for each shingle of the sets of (rep, th, label, z)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+
+        def out(rows: list[int], texts: list[str]) -> pa.RecordBatch:
+            h, text = distinct(*shingle_hashes(words_of(pa.array(texts, pa.large_string()), SPACED), k))
+            n = np.bincount(text, minlength=len(texts))
+            own = [np.asarray(texts_column(batch, c))[rows][text] for c in ("rep", "th", "label")]
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), pa.array(n[text]), pa.array(h.view(np.int64))], names=["rep", "th", "label", "n", "token"])
+
+        for batch in batches:
+            rows, texts, held = [], [], 0
+            for i, z in enumerate(texts_column(batch, "z").to_pylist()):
+                rows.append(i)
+                texts.append(d.decompress(z).decode())
+                held += len(texts[-1])
+                if held > 1_000_000 or i == batch.num_rows - 1:
+                    yield out(rows, texts)
+                    rows, texts, held = [], [], 0
+
+    return members.select("rep", "th", "label", "z").mapInArrow(find, "rep long, th long, label long, n long, token long")
+
+
+def _fits(small: Column, large: Column, percent: int) -> Column:
+    """Sizes of which a pair can reach ``percent``."""
+    return 100 * small >= percent * large
+
+
+def prefix_pairs(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidates (a, b) of two labels among the sets of (rep, th, label, z), by an exact prefix-filtered join."""
+    tokens = stored(_shingles(members, k), "shingles")
+    held = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1")
+    held = stored(held.select("token", "df", (F.col("lo") < F.col("hi")).alias("mixed")), "frequent")
+    # shingles of one set alone come first and lead nowhere: only their number matters
+    ranked = tokens.hint("merge").join(held, "token").groupBy("rep", "th", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", "mixed"))).alias("t"))
+    n, shared = F.col("n"), F.size("t")
+    most = n - F.ceil(percent * n / 100) + 1  # prefix of a pair's larger set
+    least = n - F.ceil(2 * percent * n / (100 + percent)) + 1  # and of its smaller one
+    first = F.slice("t", F.lit(1), F.greatest(F.lit(0), most - (n - shared)).cast("int"))
+    places = ranked.select("rep", "label", "n", least.alias("least"), (n - shared).alias("alone"), F.posexplode(first).alias("i", "x")).where("x.mixed")
+    places = stored(places.select("rep", "label", "n", "least", (F.col("alone") + F.col("i")).alias("place"), F.col("x.token").alias("token")), "postings")
+    small = places.where("place < least").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "label", "n", "place")))
+    large = places.select("token", *(F.col(c).alias(f"{c}2") for c in ("rep", "label", "n", "place")))
+    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("rep1") < F.col("rep2")))
+    room = (100 + percent) * F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= percent * (F.col("n1") + F.col("n2"))
+    found = small.hint("merge").join(large, "token").where((F.col("label1") != F.col("label2")) & ordered & _fits(F.col("n1"), F.col("n2"), percent) & room)
+    return found.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """All links needed for the components of representatives (doc_id, n_shingles, buckets)."""
-    rows = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
-    rows = stored(rows.join(shared, "bucket"), "shared")
+    """Links that join the components of representatives (rep, th, n, buckets); None if no bucket holds two."""
+    rows = reps.select("rep", "n", F.explode("buckets").alias("bucket"))
+    shared = stored(rows.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1"), "shared")
+    rows = stored(rows.hint("merge").join(shared, "bucket"), "members")
     if rows.isEmpty():
         return None
-    members = rows.drop("g").join(rows.groupBy("rep").agg(F.sum("g").alias("near")), "rep")
-    packed = stored(_packed(own.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "texts")
-    links = tested = None
-    for turn in range(PIVOTS + NEAREST + 1):
-        if links is None:
-            now = members.withColumn("label", F.col("rep"))
-        else:
-            labels = components(links)
-            now = members.join(labels, F.col("rep") == F.col("vertex"), "left").withColumn("label", F.coalesce("component", "rep")).drop("vertex", "component")
-        mixed = now.groupBy("bucket").agg(F.max(F.struct("near", "rep", "n", "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("bucket", "pivot", "g")
-        now = stored(now.join(mixed, "bucket"), "mixed")
-        if now.isEmpty():
-            break
-        fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-        if turn < PIVOTS:
-            one, two = F.col("pivot.rep"), F.col("rep")
-            found = now.where((F.col("label") != F.col("pivot.label")) & fits(F.col("n"), F.col("pivot.n"))).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-            if turn:
-                few = now.where(F.col("g") <= SMALL).select("bucket", "rep", "n", "label")
-                other = few.withColumnsRenamed({"rep": "rep2", "n": "n2", "label": "label2"})
-                found = found.union(few.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & fits(F.col("n"), F.col("n2"))).select("rep", "rep2"))
-        else:
-            last = turn == PIVOTS + NEAREST
-            rest = now.select("bucket", "rep", "label", F.col("pivot.label").alias("main")).join(reps.select(F.col("doc_id").alias("rep"), "buckets"), "rep")
-            rest = rest.join(packed.withColumnRenamed("doc_id", "rep"), "rep") if last else rest
-            found = _block_pairs(rest, k, percent, 0 if last else 2)
-            if last:
-                new = stored(found, "confirmed")
-                links = new if links is None else links.union(new)
-                break
-        found = found.distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = stored(found, "pairs")
-        tested = found if tested is None else tested.union(found)
-        new = stored(confirmed(found, packed, k, percent), "confirmed")
-        links = new if links is None else links.union(new)
-        if turn < PIVOTS:
-            members = now.where((F.col("rep") != F.col("pivot.rep")) & (F.col("g") > (SMALL if turn else 2)))
-        members = (members if turn < PIVOTS else now).select("rep", "n", "bucket", "near")
-    return links
+    near = rows.groupBy("rep").agg(F.sum("g").alias("near"))
+    hubs = stored(rows.hint("merge").join(near, "rep").groupBy("bucket").agg(F.max(F.struct("near", "rep", "n")).alias("hub")), "hubs")
+    ids = reps.hint("merge").join(near.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "th")
+    packed = stored(_packed(own.hint("merge").join(ids, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])), "texts")
+    rows = rows.drop("g").hint("merge").join(hubs, "bucket").where((F.col("rep") != F.col("hub.rep")) | (F.col("n") != F.col("hub.n")))
+    fits = _fits(F.least("n", "hub.n"), F.greatest("n", "hub.n"), percent)
+    first = stored(rows.where(fits).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), "pairs")
+    links = stored(confirmed(first, packed, k, percent), "confirmed")
+    labels = components(links).withColumnsRenamed({"vertex": "rep"})
+    # what is left of each bucket without its hub
+    rest = stored(rows.select("bucket", "rep").hint("merge").join(labels, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label")), "labelled")
+    mixed = stored(rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "mixed")
+    if mixed.isEmpty():
+        return links
+    left = rest.hint("merge").join(mixed, "bucket", "left_semi").select("rep", "label").distinct()
+    members = packed.withColumnsRenamed({"doc_id": "rep"}).hint("merge").join(left, "rep")
+    more = prefix_pairs(members, k, percent).hint("merge").join(first, ["a", "b"], "left_anti")
+    return links.union(stored(confirmed(stored(more, "pairs"), packed, k, percent), "confirmed"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of its group), kept."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col}: near_duplicates takes integer ids")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     rows = stored(sketches(own, k), "sketches")
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stored(real.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", "n_shingles", "buckets"), "reps")
-    links = _links(own, reps, k, percent)
-    of = classes.join(components(links).withColumnsRenamed({"vertex": "rep"}), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")) if links is not None else classes.withColumnRenamed("rep", "component_id")
-    out = rows.select("doc_id", "n_shingles", "f1", "f2").join(of, ["f1", "f2"], "left")
+    # all rows of a class have one set, and so one size and one list of buckets
+    classes = real.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+    classes = stored(classes.select("f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "n", "buckets"), "classes")
+    links = _links(own, classes.select("rep", "th", "n", "buckets"), k, percent)
+    known = real.select("doc_id", "f1", "f2").hint("merge").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
+    # an id whose rows have different texts joins their classes
+    again = stored(known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("doc_id", "a"), "repeated")
+    if not again.isEmpty():
+        same = stored(known.hint("merge").join(again, "doc_id").where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct(), "same")
+        links = same if links is None else links.union(same)
+    of = classes.select("f1", "f2", "rep")
+    of = of.hint("merge").join(components(links).withColumnsRenamed({"vertex": "rep"}), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")) if links is not None else of.withColumnRenamed("rep", "component_id")
+    out = rows.select("doc_id", "n_shingles", "f1", "f2").hint("merge").join(of, ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from cases import docs, empty, spaced
 
+from pyspark.sql import functions as F
+
 from lumiflow.llm import components as cc
 from lumiflow.llm import dedup
 
@@ -55,18 +58,41 @@ def test_brute_force(spark, k):
     assert run(spark, rows, k) == brute(rows, k)
 
 
-@pytest.mark.parametrize("nearest", [0, 2])
-def test_blocks_alone_find_all_links(spark, monkeypatch, nearest):
-    monkeypatch.setattr(dedup, "PIVOTS", 0)
-    monkeypatch.setattr(dedup, "NEAREST", nearest)
-    monkeypatch.setattr(dedup, "BLOCK", 5)
+def test_prefix_join_alone_finds_all_links(spark):
     rows = near_copies(9, groups=3, copies=20)
-    assert run(spark, rows, 2) == brute(rows, 2)
+    d = docs(spark, [(i, t, None) for i, t in rows]).select("doc_id", F.lit(0).cast("long").alias("th"), "text")
+    members = dedup._packed(d).select(F.col("doc_id").alias("rep"), "th", F.col("doc_id").alias("label"), "z")
+    found = {(r["a"], r["b"]) for r in dedup.prefix_pairs(members, 2, 80).collect()}
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)} for i, t in rows}
+    links = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links and links <= found and len(found) < len(rows) * (len(rows) - 1) / 2
+
+
+def test_rows_that_share_an_id_are_linked(spark):
+    base = ["w%d" % i for i in range(60)]
+    other = ["v%d" % i for i in range(60)]
+    near = lambda w: " ".join([*w[:30], "x", *w[31:]])
+    rows = [(1, " ".join(base)), (5, near(base)), (5, " ".join(other)), (9, near(other)), (2, "a b c"), (7, "a b c"), (7, "d e f"), (3, "d e f")]
+    got = dedup.near_duplicates(docs(spark, [(i, t, None) for i, t in rows]), k=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2, 3: 2}
+    with pytest.raises(TypeError):
+        dedup.near_duplicates(docs(spark).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_superminhash_has_less_error_than_minhash():
+    """Mean squared error of the estimate at Jaccard 1/2, against that of independent slots."""
+    rng = np.random.default_rng(3)
+    error = []
+    for _ in range(300):
+        h = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+        text = np.repeat([0, 1], 80)
+        sig = dedup.superminhash(np.concatenate([h[:80], h[40:]]), text, 2)
+        error.append((sig[0] == sig[1]).mean() - 40 / 120)
+    plain = 1 / 3 * 2 / 3 / dedup.SLOTS
+    assert abs(np.mean(error)) < 0.006 and np.mean(np.square(error)) < 0.8 * plain
 
 
 def test_table(spark, sf):
-    from pyspark.sql import functions as F
-
     d = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
     got = dedup.near_duplicates(d, k=2)
@@ -90,9 +116,9 @@ def test_odd_cases(spark):
     assert dedup.near_duplicates(empty(spark)).count() == 0 and dedup.without_near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("one_task", [0, 200_000])
-def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
-    monkeypatch.setattr(cc, "ONE_TASK", one_task)
+@pytest.mark.parametrize("held", [50, 200_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, held):
+    monkeypatch.setattr(cc, "PARTITION_LINKS", held)
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(200) if i % 40 != 39] + [(1000, i) for i in range(1001, 1100)]
     rng.shuffle(links)

@@ -3,9 +3,10 @@
 Units are whole bytes in n-grams of ``DEPTH``, so what is counted grows with trusted text and no
 script or case is folded.  One task's documents of one chunk (``CHUNK`` rows of a file) give each
 distinct n-gram once, with how often trusted text of theirs has it.  Counts are summed by
-n-gram over the reducers.  Totals and continuation counts of contexts, discounts from counts of counts, and
-interpolation with the next lower order are joins and aggregates of those shards, and so are the
-probabilities of all n-grams that documents ask for.  The answers go back by chunk as files in
+n-gram over the reducers; all orders are rows (k, code) of one table, so totals and continuation counts of
+contexts, discounts from counts of counts, and the interpolated probabilities of all n-grams that
+documents ask for take one aggregate or join each, by shard.  Only the lowest two orders (256 + 65536 rows at
+any size), whose keys are hot, are broadcast.  The answers go back by chunk as files in
 the shared folder; a scoring task holds those of one chunk.
 
 A document's perplexity is that of its bytes.  One trusted document of ``HELD`` isn't counted: counted
@@ -19,9 +20,6 @@ where no trusted text is left to count, the one held out is counted too;
 without trusted text nothing is judged and every text that isn't empty is accepted; rows with
 a null id or label aren't trusted; repeated rows are judged each; an empty table gives no
 rows; extra columns are kept by the filter.
-
-``ngram_codes``, ``ngram_counts`` and ``log_table`` are the dense form over ``SYMBOLS`` classes of
-bytes, which tests hold ``kneser_ney`` against; the classifier doesn't use them.
 """
 
 from __future__ import annotations
@@ -33,123 +31,68 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import file_system, shared_dir, stored
 from .words import buffers, slices, texts_column
 
-SYMBOLS, ORDER, START = 48, 4, 47
 QUANTILE = 0.99
-SIZE = SYMBOLS**ORDER
 #: Of the classifier's model: length of n-grams, rows of a chunk, one trusted document of so many is held out.
 DEPTH, CHUNK, HELD = 5, 8192, 5
+#: Orders of which all n-grams fit a broadcast: 256 + 65536 rows.
+LOW = 2
 #: Fixed: no byte of UTF-8; and so many n-grams are held before repeats among them are summed.
 BEGIN, PENDING = 0xFF, 4_000_000
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte: a-z, then kinds."""
-    table = np.full(256, 44, dtype=np.int32)
-    table[97:123] = np.arange(26)
-    table[65:91] = 26
-    table[48:58] = 27
-    for c, chars in ((28, " "), (29, "\n"), (30, "."), (31, ","), (32, "!"), (33, "?"), (34, "'\"`"), (35, "-_"), (36, ":;"), (37, "()[]{}"), (38, "#*$%&|<>@"), (39, "\t\r\x0b\x0c")):
-        table[[ord(x) for x in chars]] = c
-    table[0x80:0xA0], table[0xA0:0xB0], table[0xB0:0xC0], table[0xC0:] = 40, 41, 42, 43
-    return table
+def byte_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each byte with the ``DEPTH`` - 1 before it, offsets of the texts); texts begin after BEGIN bytes."""
+    offsets, raw = buffers(texts)
+    before = DEPTH - 1
+    parts, lead = [], np.full(before, BEGIN, dtype=np.uint8)
+    inside = np.ones(len(raw) + before * (len(offsets) - 1), dtype=bool)
+    for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        parts += [lead, raw[lo:hi]]
+        inside[lo + before * i : lo + before * (i + 1)] = False
+    padded = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
+    whole = padded.copy()
+    for j in range(1, DEPTH):
+        whole[j:] |= padded[:-j] << (8 * j)
+    return whole[inside], offsets
 
 
-_CLASS = _classes()
+def _suffixes(code: str = "code", orders: range = range(1, DEPTH + 1)) -> Column:
+    """Rows (k, code) of the last k bytes of an n-gram, for each order."""
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.pmod(F.col(code), F.lit(256**k)).alias("code")) for k in orders)))
 
 
-def ngram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each symbol with the three before it, text of each symbol); texts begin after START symbols."""
-    offsets, raw = buffers(texts)
-    sizes = np.diff(offsets)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    padded = np.full(len(raw) + (ORDER - 1) * len(sizes), START, dtype=np.int32)
-    at = np.arange(len(raw)) + (ORDER - 1) * (text + 1)
-    padded[at] = _CLASS[raw]
-    code = padded[at]
-    for j in range(1, ORDER):
-        code = code + padded[at - j] * SYMBOLS**j
-    return code, text
-
-
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(code, n) of all n-grams of a column ``text``: summed in each task, then by shard."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for part in slices(batch, "text"):
-                codes, _ = ngram_codes(texts_column(part, "text"))
-                if total is None:
-                    total = np.zeros(SIZE, dtype=np.int64)
-                found, n = np.unique(codes, return_counts=True)
-                total[found] += n
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
-
-    return texts.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more."""
-    n = {r["n"]: r["m"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
-    n1, n2, n3, n4 = (max(1, n.get(i, 0)) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return tuple(float(min(max(d, 0.05), i - 0.05)) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
-
-
-def kneser_ney(counts: DataFrame, symbols: int = SYMBOLS, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """From the lowest order up: ((code, p: the discounted part), (context, back: the weight of the order below))."""
-    orders = [counts]
-    for k in range(order - 1, 0, -1):
-        orders.append(stored(orders[-1].groupBy(F.pmod(F.col("code"), F.lit(symbols**k)).alias("code")).agg(F.count("*").alias("n")), "counts"))
-    out = []
-    for own in reversed(orders):
-        d1, d2, d3 = _discounts(own)
-        rows = own.withColumn("context", F.floor(F.col("code") / symbols))
-        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), *(F.count_if(c).alias(f"m{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") >= 3))))
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        p = rows.join(sums, "context").select("code", ((F.col("n") - discount) / F.col("total")).alias("p"))
-        back = sums.select("context", ((d1 * F.col("m1") + d2 * F.col("m2") + d3 * F.col("m3")) / F.col("total")).alias("back"))
-        out.append((p, back))
+def _discounts(orders: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, of each order of (k, n)."""
+    found = {(r["k"], r["n"]): r["m"] for r in orders.where("n <= 4").groupBy("k", "n").agg(F.count("*").alias("m")).collect()}  # four rows an order
+    out = {}
+    for k in range(1, DEPTH + 1):
+        n1, n2, n3, n4 = (max(1, found.get((k, i), 0)) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        out[k] = tuple(float(min(max(d, 0.05), i - 0.05)) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
     return out
 
 
-def log_table(counts: DataFrame) -> np.ndarray | None:
-    """Natural log probability of each n-gram code; at most 48^4 rows reach the driver, as columns."""
-    if counts.isEmpty():
-        return None
-    below = np.full(1, 1.0 / SYMBOLS)
-    for k, (p, back) in enumerate(kneser_ney(counts), 1):
-        own, weights = p.toArrow(), back.toArrow()
-        b = np.ones(SYMBOLS ** (k - 1))
-        b[weights["context"].to_numpy()] = weights["back"].to_numpy()
-        # p(w | a b c) = own part + back(a b c) * p(w | b c): codes of the order below repeat for each a
-        full = np.repeat(b, SYMBOLS) * (np.tile(below, SYMBOLS) if k > 1 else below[0])
-        full[own["code"].to_numpy()] += own["p"].to_numpy()
-        below = full
-    return np.log(np.maximum(below, 1e-12)).astype(np.float32)
-
-
-def byte_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each byte with the ``DEPTH`` - 1 before it, text of each byte); texts begin after BEGIN bytes."""
-    offsets, raw = buffers(texts)
-    sizes = np.diff(offsets)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    padded = np.full(len(raw) + (DEPTH - 1) * len(sizes), BEGIN, dtype=np.int64)
-    at = np.arange(len(raw)) + (DEPTH - 1) * (text + 1)
-    padded[at] = raw
-    whole = padded.copy()
-    for j in range(1, DEPTH):
-        whole[j:] |= padded[:-j] << (8 * j)
-    return whole[at], text
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of counts (code, n) of the highest order: (k, code, p: the discounted part), (k, context, back: the weight of the order below)."""
+    # an n-gram below the highest order counts the bytes that stand before it
+    longer = counts.select(_suffixes(orders=range(2, DEPTH + 1)).alias("s")).select("s.k", "s.code").distinct()
+    below = longer.groupBy((F.col("k") - 1).alias("k"), F.expr("pmod(code, shiftleft(1L, 8 * (k - 1)))").alias("code")).agg(F.count("*").alias("n"))
+    orders = stored(below.union(counts.select(F.lit(DEPTH).alias("k"), "code", "n")), "orders")
+    by = _discounts(orders)
+    d1, d2, d3 = (F.create_map(*(F.lit(x) for k in by for x in (k, by[k][i])))[F.col("k")] for i in range(3))
+    rows = orders.withColumn("context", F.shiftright("code", 8))
+    sums = rows.groupBy("k", "context").agg(F.sum("n").alias("total"), *(F.count_if(c).alias(f"m{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") >= 3))))
+    back = stored(sums.select("k", "context", "total", ((d1 * F.col("m1") + d2 * F.col("m2") + d3 * F.col("m3")) / F.col("total")).alias("back")), "back")
+    discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+    p = rows.join(back, ["k", "context"]).select("k", "code", ((F.col("n") - discount) / F.col("total")).alias("p"))
+    return stored(p, "model"), back.select("k", "context", "back")
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -222,12 +165,12 @@ def _grams(docs: DataFrame, marks: str, text_col: str, id_col: str) -> DataFrame
                 yield from out()
                 found, held_now = [], 0
             last = chunk
-            codes, text = byte_codes(texts_column(part, text_col))
+            codes, offsets = byte_codes(texts_column(part, text_col))
             if not len(codes):
                 continue
             trusted, held = _marks(marks, chunk, texts_column(part, id_col))
             # a n-gram's code has 40 bits; the next two say whose it is
-            code, n = np.unique(codes << 2 | (trusted.astype(np.int64) + held)[text], return_counts=True)
+            code, n = np.unique(codes << 2 | np.repeat(trusted.astype(np.int64) + held, np.diff(offsets)), return_counts=True)
             whose, code = code & 3, code >> 2
             found.append((code, np.where(whose == 1, n, 0), np.where(whose > 0, n, 0)))
             held_now += len(code)
@@ -243,71 +186,83 @@ def _grams(docs: DataFrame, marks: str, text_col: str, id_col: str) -> DataFrame
     return docs.select("__chunk", F.col(id_col), F.col(text_col)).mapInArrow(find, "chunk long, code long, n long, m long")
 
 
-def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+def probabilities(wanted: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(code, p) of each of the n-grams ``wanted`` (code, distinct), seen in trusted text or not."""
-    levels = [wanted]
-    for k in range(len(model) - 1, 0, -1):
-        levels.append(stored(levels[-1].select(F.pmod("code", F.lit(256**k)).alias("code")).distinct(), "wanted"))
-    below = None
-    for k, (own, back) in enumerate(model, 1):
-        rows = levels[-k].join(own, "code", "left").withColumn("context", F.floor(F.col("code") / 256)).join(back, "context", "left")
-        if below is None:
-            rows = rows.withColumn("q", F.lit(1 / 256))
-        else:
-            rows = rows.withColumn("rest", F.pmod("code", F.lit(256 ** (k - 1)))).join(below.select(F.col("code").alias("rest"), F.col("p").alias("q")), "rest")
-        below = stored(rows.select("code", (F.coalesce("p", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("q")).alias("p")), "p")
-    return below
-
-
-def _perplexities(part: pa.RecordBatch, text_col: str, table: tuple[np.ndarray, np.ndarray]) -> pa.Array:
-    codes, text = byte_codes(texts_column(part, text_col))
-    n = np.bincount(text, minlength=part.num_rows)
-    at = np.minimum(np.searchsorted(table[0], codes), max(0, len(table[0]) - 1))
-    if len(codes) and not (len(table[0]) and (table[0][at] == codes).all()):
-        raise ValueError("texts changed between two readings: n-grams without a probability")
-    total = np.bincount(text, weights=table[1][at], minlength=part.num_rows) if len(codes) else np.zeros(part.num_rows)
-    return pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64(), mask=n == 0)
-
-
-def _chunk_table(path: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams in order, natural log of each one's probability)."""
+    own, back = model
+    own, back = own.withColumnRenamed("p", "own"), back.withColumnRenamed("back", "weight")
+    asked = wanted.select(F.col("code").alias("whole"), _suffixes().alias("s")).select("whole", "s.k", "s.code", F.shiftright("s.code", 8).alias("context"))
+    low, high = f"k <= {LOW}", f"k > {LOW}"
+    hot = asked.where(low).join(F.broadcast(own.where(low)), ["k", "code"], "left").join(F.broadcast(back.where(low)), ["k", "context"], "left")
+    # what is asked of the higher orders is asked once for each n-gram of theirs
+    once = asked.where(high).select("k", "code", "context").distinct().hint("merge").join(own.where(high), ["k", "code"], "left").hint("merge").join(back.where(high), ["k", "context"], "left")
+    rest = asked.where(high).select("whole", "k", "code").hint("merge").join(once.select("k", "code", "own", "weight"), ["k", "code"])
+    parts = hot.select("whole", "k", "own", "weight").union(rest.select("whole", "k", "own", "weight"))
+    pick = lambda c, k, other: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(other))
+    sums = parts.groupBy("whole").agg(*(pick("own", k, 0.0).alias(f"own{k}") for k in range(1, DEPTH + 1)), *(pick("weight", k, 1.0).alias(f"weight{k}") for k in range(1, DEPTH + 1)))
+    p = F.lit(1 / 256)
+    for k in range(1, DEPTH + 1):
+        p = F.col(f"own{k}") + F.col(f"weight{k}") * p
+    return sums.select(F.col("whole").alias("code"), p.alias("p"))
+
+
+class Answers:
+    """Logarithms of the probabilities of n-grams, by their code."""
+
+    def __init__(self, code: np.ndarray, log_p: np.ndarray) -> None:
+        order = np.argsort(code, kind="stable")
+        self.code, self.log_p = code[order], log_p[order].astype(np.float64)
+        self.shift = np.uint64(64 - max(10, int(4 * len(code)).bit_length()))
+        at = self._slot(self.code)
+        # a slot of one code answers at once; where codes share one, they are searched
+        self.value = np.full(1 << (64 - int(self.shift)), np.nan)
+        self.value[at] = self.log_p
+        self.holder = np.full(len(self.value), -1, dtype=np.int64)
+        self.holder[at] = self.code
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        at = self._slot(code)
+        out = self.value[at]
+        missed = np.flatnonzero(self.holder[at] != code)
+        if len(missed):
+            i = np.minimum(np.searchsorted(self.code, code[missed]), max(0, len(self.code) - 1))
+            if not len(self.code) or (self.code[i] != code[missed]).any():
+                raise ValueError("texts changed between two readings: n-grams without a probability")
+            out[missed] = self.log_p[i]
+        return out
+
+
+def _perplexities(part: pa.RecordBatch, text_col: str, table: Answers) -> pa.Array:
+    codes, offsets = byte_codes(texts_column(part, text_col))
+    total = np.concatenate([[0.0], np.cumsum(table.of(codes))])
+    n = np.diff(offsets)
+    return pa.array(np.exp(-(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)), pa.float64(), mask=n == 0)
+
+
+def _chunk_answers(path: str, chunk: int) -> Answers:
     t = _read_chunk(path, chunk)
-    if t is None:
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
-    code, first = np.unique(t.column("code").to_numpy(), return_index=True)
-    return code, t.column("log_p").to_numpy()[first].astype(np.float64)
+    return Answers(np.zeros(0, dtype=np.int64), np.zeros(0)) if t is None else Answers(t.column("code").to_numpy(), t.column("log_p").to_numpy())
 
 
-def with_perplexity(docs: DataFrame, path: str, text_col: str = "text", name: str = "perplexity") -> DataFrame:
-    """Chunked ``docs`` with a column of perplexities by the answers at ``path`` in place of the chunk."""
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "__chunk"), T.StructField(name, T.DoubleType())])
+def with_perplexity(docs: DataFrame, paths: tuple[str, str], text_col: str, id_col: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of chunked ``docs`` with __perplexity, and __trusted: 0, 1, or 2 of those held out."""
+    answers, marks = paths
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("__perplexity", T.DoubleType()), T.StructField("__trusted", T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, table = None, None
         for chunk, part in _parts(batches, text_col):
             if chunk != last:
-                last, table = chunk, _chunk_table(path, chunk)
-            rows = part.drop_columns(["__chunk"])
-            yield pa.RecordBatch.from_arrays([*rows.columns, _perplexities(part, text_col, table)], names=[*rows.schema.names, name])
-
-    return docs.mapInArrow(score, schema)
-
-
-def trusted_perplexities(docs: DataFrame, path: str, marks: str, text_col: str, lang_col: str, id_col: str) -> DataFrame:
-    """(lang, held, perplexity) of the trusted rows of chunked ``docs``; other texts aren't scored."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, table = None, None
-        for chunk, part in _parts(batches, text_col):
+                last, table = chunk, None  # the old table goes before the new one is read
+                table = _chunk_answers(answers, chunk)
             trusted, held = _marks(marks, chunk, texts_column(part, id_col))
-            if not trusted.any():
-                continue
-            if chunk != last:
-                last, table = chunk, _chunk_table(path, chunk)
-            part = part.filter(pa.array(trusted))
-            yield pa.RecordBatch.from_arrays([texts_column(part, lang_col).cast(pa.string()), pa.array(held[trusted]), _perplexities(part, text_col, table)], names=["lang", "held", "perplexity"])
+            whose = pa.array(trusted.astype(np.int32) + held)
+            yield pa.RecordBatch.from_arrays([*(texts_column(part, c) for c in keep), _perplexities(part, text_col, table), whose], names=[*keep, "__perplexity", "__trusted"])
 
-    return docs.select("__chunk", id_col, lang_col, text_col).mapInArrow(score, "lang string, held boolean, perplexity double")
+    needed = dict.fromkeys([*keep, id_col, text_col, "__chunk"])
+    return docs.select(*needed).mapInArrow(score, schema)
 
 
 def train(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[str, str] | None:
@@ -323,8 +278,8 @@ def train(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: s
     n = "n" if some[0] else "m"
     counts = stored(grams.where(F.col(n) > 0).groupBy("code").agg(F.sum(n).alias("n")), "counts")
     wanted = stored(grams.select("code").distinct(), "wanted")
-    p = probabilities(wanted, kneser_ney(counts, 256, DEPTH)).select("code", F.log("p").cast("float").alias("log_p"))
-    return _by_chunk(grams.select("chunk", "code").join(p, "code"), "answers"), marks
+    p = probabilities(wanted, kneser_ney(counts)).select("code", F.log("p").cast("float").alias("log_p"))
+    return _by_chunk(grams.select("chunk", "code").distinct().hint("merge").join(stored(p, "p"), "code"), "answers"), marks
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -333,10 +288,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def thresholds(known: DataFrame) -> tuple[dict[str, float], float]:
-    """(threshold by language, threshold of all) of trusted rows of (lang, held, perplexity)."""
+    """(threshold by language, threshold of all) of rows of (lang, __perplexity, __trusted)."""
     quantile = lambda x: F.percentile_approx(x, QUANTILE, 10_000)
-    held = F.when(F.col("held"), F.col("perplexity"))
-    found = known.where("perplexity is not null").rollup("lang").agg(F.grouping("lang").alias("all"), F.greatest(quantile(held), quantile(F.col("perplexity"))).alias("t")).collect()
+    held = F.when(F.col("__trusted") == 2, F.col("__perplexity"))
+    found = known.where("__trusted > 0 and __perplexity is not null").rollup("lang").agg(F.grouping("lang").alias("all"), F.greatest(quantile(held), quantile(F.col("__perplexity"))).alias("t")).collect()
     return {r["lang"]: r["t"] for r in found if not r["all"] and r["lang"] is not None}, next((r["t"] for r in found if r["all"] and r["t"] is not None), float("inf"))
 
 
@@ -352,9 +307,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     paths = train(own, trusted_ids(labels))
     if paths is None:
         return own.select("doc_id", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.coalesce(F.col("text") != "", F.lit(False)).alias("accepted"))
-    limit = _limit(*thresholds(trusted_perplexities(own, *paths, "text", "lang", "doc_id")), "lang")
-    scored = with_perplexity(own, paths[0]).drop("text")
-    return scored.select("doc_id", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("accepted"))
+    scored = stored(with_perplexity(own, paths, "text", "doc_id", ["doc_id", "lang"]), "scored")
+    limit = _limit(*thresholds(scored), "lang")
+    return scored.select("doc_id", F.col("__perplexity").alias("perplexity"), limit.alias("threshold"), F.coalesce(F.col("__perplexity") <= limit, F.lit(False)).alias("accepted"))
 
 
 def without_unlikely(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
@@ -363,5 +318,6 @@ def without_unlikely(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     paths = train(own, trusted_ids(labels), text_col, id_col)
     if paths is None:
         return docs.where(F.col(text_col) != "")
-    limit = _limit(*thresholds(trusted_perplexities(own, *paths, text_col, lang_col, id_col)), lang_col)
-    return with_perplexity(own, paths[0], text_col, "__perplexity").where(F.col("__perplexity") <= limit).drop("__perplexity")
+    scored = stored(with_perplexity(own, paths, text_col, id_col, docs.columns), "scored")
+    limit = _limit(*thresholds(scored.select(F.col(lang_col).alias("lang"), "__perplexity", "__trusted")), lang_col)
+    return scored.where(F.col("__perplexity") <= limit).select(*docs.columns)

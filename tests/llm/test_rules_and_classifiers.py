@@ -62,32 +62,6 @@ def test_quality_sql(spark, sf):
     assert difference(quality_rules.quality_report(d).toPandas(), connection(sf).execute(quality_rules.quality_sql()).df()) == ""
 
 
-def test_kneser_ney_sums_to_one_and_matches_a_plain_model(spark):
-    texts = ["abcab cab", "abab. Abc", "ca"]
-    counts = quality_lm.ngram_counts(docs(spark, [(i, t, None) for i, t in enumerate(texts)]))
-    table = np.exp(quality_lm.log_table(counts).astype(float))
-    assert np.allclose(table.reshape(-1, quality_lm.SYMBOLS).sum(axis=1), 1, atol=1e-5)
-    n = {r["code"]: r["n"] for r in counts.collect()}
-    want = Counter()
-    for t in texts:
-        s = [quality_lm.START] * 3 + [int(quality_lm._CLASS[b]) for b in t.encode()]
-        for i in range(3, len(s)):
-            want[sum(s[i - j] * quality_lm.SYMBOLS**j for j in range(4))] += 1
-    assert n == want
-    # one order by hand: the highest, from its own discounts and the table of the order below
-    freq = Counter(n.values())
-    n1, n2, n3, n4 = (max(1, freq[i]) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    ds = [min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-    code = next(iter(n))
-    ctx = code // quality_lm.SYMBOLS
-    mine = {c: v for c, v in n.items() if c // quality_lm.SYMBOLS == ctx}
-    back = sum(ds[min(v, 3) - 1] for v in mine.values()) / sum(mine.values())
-    own = (n[code] - ds[min(n[code], 3) - 1]) / sum(mine.values())
-    unseen = next(w for w in range(quality_lm.SYMBOLS) if ctx * quality_lm.SYMBOLS + w not in n)
-    assert table[code] > own and 0 < table[ctx * quality_lm.SYMBOLS + unseen] < back
-
-
 def test_quality_classifier_parts_junk_from_text(spark, sf):
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_lm.quality_scores(d, labels).join(labels, "doc_id").collect()
@@ -111,8 +85,18 @@ def test_quality_classifier_odd_cases(spark):
 
 
 def test_ngrams_begin_with_each_text():
-    codes, text = quality_lm.ngram_codes(pa.array(["a", None, "", "b"]))
-    assert text.tolist() == [0, 3] and codes[0] % 48 == 0 and codes[1] % 48 == 1 and codes[0] // 48 == codes[1] // 48
+    codes, offsets = quality_lm.byte_codes(pa.array(["a", None, "", "bc"]))
+    assert offsets.tolist() == [0, 1, 1, 1, 3] and [c.to_bytes(5, "big") for c in codes.tolist()] == [b"\xff\xff\xff\xffa", b"\xff\xff\xff\xffb", b"\xff\xff\xffbc"]
+
+
+def test_answers_of_codes_that_share_a_slot():
+    rng = np.random.default_rng(1)
+    code = np.unique(rng.integers(0, 1 << 40, 50_000))
+    table = quality_lm.Answers(code[::-1].copy(), np.arange(len(code))[::-1].astype(np.float32))
+    at = rng.integers(0, len(code), 200_000)
+    assert (table.of(code[at]) == at).all()
+    with pytest.raises(ValueError):
+        table.of(np.array([next(c for c in range(1 << 20) if c not in set(code.tolist()))]))
 
 
 def test_whole_bytes_are_counted_and_joined(spark):

@@ -49,6 +49,21 @@ def test_quality_filter_agrees_with_report_and_is_native(spark, sf):
     assert odd.columns == docs(spark).columns and {r["doc_id"] for r in odd.collect()} <= {6}
 
 
+def test_costs_include_measures_and_order_goes_by_rejections(spark):
+    d = docs(spark, [(i, "word " * 2000 if i % 2 else "! " * 60, "x") for i in range(40)], clash=False)
+    never = quality_rules.Rule("never", "__q_repeat < 0")  # costly, rejects nothing
+    often = quality_rules.Rule("often", "4 * regexp_count(__q_text, '!') > __q_n")
+    assert [r.name for r in quality_rules.order_rules(d, rules=(never, often))] == ["often", "never"]
+
+
+def test_a_rejected_row_does_not_run_later_rules(spark):
+    boom = quality_rules.Rule("boom", "raise_error('ran') is null")
+    few = quality_rules.BASE[0]
+    conditions = [(r.name, quality_rules._lazy(r)) for r in (few, boom)]
+    short = quality_rules._words(docs(spark, [(1, "a b c", "x")], clash=False), "text")
+    assert short.select(quality_rules.cascade(conditions)).first()[0] == "few_words"
+
+
 def test_rule_order_changes_no_verdict(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (quality_rules.quality_report(d, rules=r).select("doc_id", "kept") for r in (quality_rules.RULES, quality_rules.RULES[::-1]))

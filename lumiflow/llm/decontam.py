@@ -5,7 +5,7 @@ hold a window only if it holds every word pair of it, so one pair is a sufficien
 the one that is rarest in all documents (counted first, over the whole table).  Documents
 look up their pairs in the prefix index; an entry also says where in the window the pair
 stands, so the window must fit between the text's ends (position and length bounds) before
-all its words are compared.  Nothing but the marks of hit words is kept of a document.
+all its words are compared (by their 64-bit hashes).  Nothing but the marks of hit words is kept of a document.
 
 The benchmark is a stated query set.  It is cut by hash into blocks of at most about
 ``BLOCK_BYTES`` of text, each written once to the shared folder; tasks hold one block at a
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_system, shared_dir, stored
+from .shared import file_system, held, shared_dir, stored
 from .words import ALNUM, Words, mix, slices, texts_column, words_of
 
-BLOCK_BYTES = 8 << 20
-_loaded: dict[str, object] = {}
+#: Of text: in a block of the benchmark, and of documents whose hashed words are held while all blocks pass.
+BLOCK_BYTES, HELD_BYTES = 8 << 20, 8 << 20
 
 
 def _pairs(h: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -112,16 +112,15 @@ class Block:
         return start, window
 
 
-def _load(path: str, keep: bool) -> Block:
-    if path in _loaded:
-        return _loaded[path]
-    fs, p = file_system(path)
-    with fs.open_input_file(p) as f:
-        block = pickle.loads(f.read())
-    _loaded.clear()
-    if keep:
-        _loaded[path] = block
-    return block
+def _load(path: str) -> Block:
+    """The block at ``path``; a worker keeps the last one."""
+
+    def read() -> Block:
+        fs, p = file_system(path)
+        with fs.open_input_file(p) as f:
+            return pickle.loads(f.read())
+
+    return held(f"block {path}", read)
 
 
 def _save(block: Block, path: str) -> str:
@@ -149,15 +148,14 @@ def build_blocks(docs: DataFrame, items: DataFrame, width: int) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: list[np.ndarray | None] = [None] * n
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, "text", HELD_BYTES)):
+            hashed = [(w.hashes(), _last(w)) for w in (words_of(texts_column(x, "text"), ALNUM) for x in slices(part, "text"))]
             for b, path in enumerate(raw):
-                block = _load(path, n == 1)
+                block = _load(path)
                 if total[b] is None:
                     total[b] = np.zeros(len(block.keys), dtype=np.int64)
-                for part in slices(batch, "text"):
-                    w = words_of(texts_column(part, "text"), ALNUM)
-                    h = w.hashes()
-                    for keys in (_pairs(h, _last(w)), h):
+                for h, last in hashed:
+                    for keys in (_pairs(h, last), h):
                         if len(block.keys) and len(keys):
                             at = np.minimum(np.searchsorted(block.keys, keys), len(block.keys) - 1)
                             total[b] += np.bincount(at[block.keys[at] == keys], minlength=len(block.keys))
@@ -171,7 +169,7 @@ def build_blocks(docs: DataFrame, items: DataFrame, width: int) -> list[str]:
         counts = stored(counts, "counts")
     out = []
     for b, path in enumerate(raw):
-        block = _load(path, False)
+        block = _load(path)
         x = np.zeros(len(block.keys), dtype=np.int64)
         for r in counts.where(F.col("block") == b).toLocalIterator():  # one block's keys
             x[r["key"]] = r["n"]
@@ -180,26 +178,40 @@ def build_blocks(docs: DataFrame, items: DataFrame, width: int) -> list[str]:
     return out
 
 
-def _report(part: pa.Array, blocks: list[str], keep: bool) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """(words, hit words, ids of found items) of each text."""
-    w = words_of(part, ALNUM)
-    h = w.hashes()
-    pair, (lo, hi) = _pairs(h, _last(w)), _bounds(w)
-    text = w.text_of_word()
-    marks = np.zeros(len(h) + 1, dtype=np.int64)
-    found: list[list[str]] = [[] for _ in range(len(part))]
-    for path in blocks:
-        block = _load(path, keep)
-        start, window = block.find(h, pair, lo, hi)
+class _Texts:
+    """Hashed words of some texts, and what blocks have found in them."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        w = words_of(texts, ALNUM)
+        self.hashes, self.text, self.counts = w.hashes(), w.text_of_word(), w.counts()
+        self.pair, self.bounds = _pairs(self.hashes, _last(w)), _bounds(w)
+        self.marks = np.zeros(len(self.hashes) + 1, dtype=np.int64)
+        self.found: list[set[str]] = [set() for _ in range(len(texts))]
+
+    def look(self, block: Block) -> None:
+        start, window = block.find(self.hashes, self.pair, *self.bounds)
         if len(start):
-            np.add.at(marks, start, 1)
-            np.add.at(marks, start + block.size[window], -1)
+            np.add.at(self.marks, start, 1)
+            np.add.at(self.marks, start + block.size[window], -1)
             n = np.array([len(block.items[i]) for i in window])
-            both = np.unique(np.stack([np.repeat(text[start], n), np.concatenate([block.items[i] for i in window])]), axis=1)
+            both = np.unique(np.stack([np.repeat(self.text[start], n), np.concatenate([block.items[i] for i in window])]), axis=1)
             for t, i in both.T.tolist():
-                found[t].append(block.ids[i])
-    hit = np.cumsum(marks[:-1]) > 0
-    return w.counts(), np.bincount(text[hit], minlength=len(part)), found
+                self.found[t].add(block.ids[i])
+
+    def hits(self) -> np.ndarray:
+        return np.bincount(self.text[np.cumsum(self.marks[:-1]) > 0], minlength=len(self.found))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text_col: str, blocks: list[str]) -> Iterator[tuple[pa.RecordBatch, _Texts]]:
+    """Rows with what all blocks found in them; a block is read once for ``HELD_BYTES`` of text."""
+    for part in (part for batch in batches for part in slices(batch, text_col, HELD_BYTES)):
+        rows = list(slices(part, text_col))
+        texts = [_Texts(texts_column(x, text_col)) for x in rows]
+        for path in blocks:
+            block = _load(path)
+            for t in texts:
+                t.look(block)
+        yield from zip(rows, texts, strict=True)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -209,12 +221,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     blocks = build_blocks(own, items, width)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                n, hit, found = _report(texts_column(part, "text"), blocks, len(blocks) == 1)
-                found = [sorted(set(x)) for x in found]
-                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-                yield pa.RecordBatch.from_arrays([texts_column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sha), pa.array(hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        for part, texts in _searched(batches, "text", blocks):
+            hit = texts.hits()
+            found = [sorted(x) for x in texts.found]
+            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
+            yield pa.RecordBatch.from_arrays([texts_column(part, "doc_id"), pa.array(texts.counts, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sha), pa.array(hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return own.mapInArrow(report, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
@@ -225,9 +236,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     blocks = build_blocks(docs.select(F.col(text_col).alias("text")), items, width)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                _, hit, _ = _report(texts_column(part, text_col), blocks, len(blocks) == 1)
-                yield part.filter(pa.array(hit == 0))
+        for part, texts in _searched(batches, text_col, blocks):
+            yield part.filter(pa.array(texts.hits() == 0))
 
     return docs.mapInArrow(clean, docs.schema)

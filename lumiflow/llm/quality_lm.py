@@ -24,7 +24,6 @@ rows; extra columns are kept by the filter.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import file_system, shared_dir, stored
+from .shared import file_system, held, shared_dir, stored
 from .words import buffers, slices, texts_column
 
 QUANTILE = 0.99
@@ -44,7 +43,7 @@ DEPTH, CHUNK, HELD = 5, 8192, 5
 #: Orders of which all n-grams fit a broadcast: 256 + 65536 rows.
 LOW = 2
 #: Fixed: no byte of UTF-8; and so many n-grams are held before repeats among them are summed.
-BEGIN, PENDING = 0xFF, 4_000_000
+BEGIN, PENDING = 0xFF, 1_500_000
 
 
 def byte_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,19 +129,14 @@ def _parts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[i
                 yield int(chunk[i]), part.slice(i, j - i)
 
 
-@functools.lru_cache(maxsize=1)
-def _known(path: str, chunk: int) -> pa.Table | None:
-    return _read_chunk(path, chunk)
-
-
 def _marks(path: str, chunk: int, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(trusted, held out) of each id."""
-    known = _known(path, chunk)
+    known = held(f"marks {path} {chunk}", lambda: _read_chunk(path, chunk))
     if known is None:
         return np.zeros(len(ids), dtype=bool), np.zeros(len(ids), dtype=bool)
-    held = known.column("held")
+    out = known.column("held")
     is_in = lambda t: pc.is_in(ids, value_set=t.column("doc_id").combine_chunks().cast(ids.type)).to_numpy(zero_copy_only=False)
-    return is_in(known), is_in(known.filter(held))
+    return is_in(known), is_in(known.filter(out))
 
 
 def _grams(docs: DataFrame, marks: str, text_col: str, id_col: str) -> DataFrame:
@@ -168,9 +162,9 @@ def _grams(docs: DataFrame, marks: str, text_col: str, id_col: str) -> DataFrame
             codes, offsets = byte_codes(texts_column(part, text_col))
             if not len(codes):
                 continue
-            trusted, held = _marks(marks, chunk, texts_column(part, id_col))
+            trusted, out_of = _marks(marks, chunk, texts_column(part, id_col))
             # a n-gram's code has 40 bits; the next two say whose it is
-            code, n = np.unique(codes << 2 | np.repeat(trusted.astype(np.int64) + held, np.diff(offsets)), return_counts=True)
+            code, n = np.unique(codes << 2 | np.repeat(trusted.astype(np.int64) + out_of, np.diff(offsets)), return_counts=True)
             whose, code = code & 3, code >> 2
             found.append((code, np.where(whose == 1, n, 0), np.where(whose > 0, n, 0)))
             held_now += len(code)
@@ -257,8 +251,8 @@ def with_perplexity(docs: DataFrame, paths: tuple[str, str], text_col: str, id_c
             if chunk != last:
                 last, table = chunk, None  # the old table goes before the new one is read
                 table = _chunk_answers(answers, chunk)
-            trusted, held = _marks(marks, chunk, texts_column(part, id_col))
-            whose = pa.array(trusted.astype(np.int32) + held)
+            trusted, out_of = _marks(marks, chunk, texts_column(part, id_col))
+            whose = pa.array(trusted.astype(np.int32) + out_of)
             yield pa.RecordBatch.from_arrays([*(texts_column(part, c) for c in keep), _perplexities(part, text_col, table), whose], names=[*keep, "__perplexity", "__trusted"])
 
     needed = dict.fromkeys([*keep, id_col, text_col, "__chunk"])

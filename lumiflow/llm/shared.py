@@ -35,6 +35,21 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a Python worker keeps from task to task: ``make()``, made once for ``name``.
+
+    Workers are used again by later stages, so only the last name's state is kept, and a worker never holds
+    the sum of all stages.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI or a plain path."""
     from pyarrow import fs

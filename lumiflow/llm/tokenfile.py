@@ -174,7 +174,8 @@ def read_documents(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                     start = pa.array(np.asarray(part.column(1)) + row["base"], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0), start, part.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("tokens", "docs", "base").repartition("tokens").mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    # a task for each file: adaptive execution would put these few short rows into one
+    return files.select("tokens", "docs", "base").repartition(max(1, manifest.count()), "tokens").mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_round_trip(spark: SparkSession, docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -8,6 +8,8 @@ import re
 
 import numpy as np
 
+from .shared import held
+
 #: Bounds of the cache: entries of each of two generations, and characters of a piece that is kept. Pieces in one call.
 GENERATION, LONG_PIECE, AT_ONCE = 700_000, 48, 2000
 
@@ -43,28 +45,26 @@ def drops_white_space(spec: dict) -> bool:
 _TAIL = re.compile(r"(?<![a-zß-öø-ÿ])[.,] ")
 
 
-def _runs(text: str) -> list[str]:
+def _runs(text: str, special: tuple[str, ...] = ()) -> list[str]:
     """Runs between blanks. In Latin-1 texts (their own normal form) they are lower-cased, and where
-    every point or comma before a blank follows a letter it is a run of its own, as it is a pre-token."""
+    every point or comma before a blank follows a letter it is a run of its own, as it is a pre-token.
+    Texts that lower case would give more ``special`` tokens, which are matched before it, stay as they are."""
     text = text.replace("\n", " ")
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return text.split(" ")
-    text = text.lower()
+    low = text.lower()
+    if any(low.count(t) != text.count(t) for t in special):
+        return text.split(" ")
+    text = low
     if not _TAIL.search(text):
         text = text.replace(". ", " . ").replace(", ", " , ")
     return text.split(" ")
 
 
-#: Encoders of this process by file: Python workers are used again, and so are their caches.
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"tokens {path}", lambda: Encoder(path))
 
 
 class Encoder:
@@ -83,7 +83,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_piece = drops_white_space(json.load(f))
+            spec = json.load(f)
+        self.by_piece = drops_white_space(spec)
+        self.special = tuple(t["content"] for t in spec.get("added_tokens", []))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -139,7 +141,7 @@ class Encoder:
             return self._raw(whole)
         if len(self.cache) > GENERATION:
             self.cache, self.older = {"": b""}, self.cache
-        cut = [_runs(t) for t in whole]
+        cut = [_runs(t, self.special) for t in whole]
         new = set().union(*cut).difference(self.cache) if cut else set()
         self._learn(new)
         get = self.cache.__getitem__

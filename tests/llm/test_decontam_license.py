@@ -35,6 +35,7 @@ def _got(frame):
 @pytest.mark.parametrize("block", [8 << 20, 1500])
 def test_table(spark, sf, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "HELD_BYTES", 20 * block)
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = brute([(r["doc_id"], r["text"]) for r in d.collect()], [(r["item_id"], r["text"]) for r in b.collect()])
     assert _got(decontam.contamination_report(d, b)) == want

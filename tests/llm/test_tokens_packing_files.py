@@ -20,7 +20,7 @@ def test_pieces_give_the_library_ids(encoder, text):
     assert encoder.by_piece and encoder.encode([text])[0] == encoder._raw([text])[0]
 
 
-@pytest.mark.parametrize("text", ["0 1 00 a0b́ \n\n x", "<|endoftext|> a<|startoftext|>b 0", "ΑΣ Σ ας b c", "'s 't don't İI", "a., b.. c , d. e", "ab.́ c, é. ß, ", " \t\r\x0b\x85\x1c x"])
+@pytest.mark.parametrize("text", ["0 1 00 a0b́ \n\n x", "<|endoftext|> a<|startoftext|>b 0", "<|ENDOFTEXT|> a b", "A <|EndOfText|>B, <|endoftext|> C", "ΑΣ Σ ας b c", "'s 't don't İI", "a., b.. c , d. e", "ab.́ c, é. ß, ", " \t\r\x0b\x85\x1c x"])
 def test_pieces_at_edges(encoder, text):
     assert encoder.encode([text])[0] == encoder._raw([text])[0]
 

@@ -40,6 +40,8 @@ from .words import buffers, slices, texts_column
 QUANTILE = 0.99
 #: Of the classifier's model: length of n-grams, rows of a chunk, one trusted document of so many is held out.
 DEPTH, CHUNK, HELD = 5, 8192, 5
+#: Bytes of text that are counted or scored together: each takes some sixty bytes while it is.
+TOGETHER = 500_000
 #: Orders of which all n-grams fit a broadcast: 256 + 65536 rows.
 LOW = 2
 #: Fixed: no byte of UTF-8; and so many n-grams are held before repeats among them are summed.
@@ -122,7 +124,7 @@ def _read_chunk(path: str, chunk: int) -> pa.Table | None:
 def _parts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(chunk, rows of it) in the order of reading."""
     for batch in batches:
-        for part in slices(batch, text_col):
+        for part in slices(batch, text_col, TOGETHER):
             chunk = texts_column(part, "__chunk").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):

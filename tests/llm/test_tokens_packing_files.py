@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -31,6 +32,7 @@ def test_tokenizers_with_blanks_are_encoded_whole():
     assert not tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")).by_piece
 
 
+@functools.cache
 def _ids(encoder, text, end):
     return np.frombuffer(encoder._raw([text or ""])[0] + end.to_bytes(4, "little"), "<u4")
 

@@ -57,8 +57,9 @@ def status(workers: DataFrame) -> DataFrame:
 
 def lottery_weights(rows: DataFrame, model: str = "model") -> DataFrame:
     """Adds ``weight``: a worker's share of its model's speed; null where a model's speeds sum to nothing."""
-    total = F.sum("speed").over(Window.partitionBy(model))
-    return rows.withColumn("weight", F.when(total >= 1e-4, F.col("speed") / total))
+    total = rows.groupBy(F.col(model).alias("__model")).agg(F.sum("speed").alias("__total"))
+    both = rows.join(total, F.col(model).eqNullSafe(F.col("__model")), "left")
+    return both.withColumn("weight", F.when(F.col("__total") >= 1e-4, F.col("speed") / F.col("__total"))).drop("__model", "__total")
 
 
 def shortest_queue(rows: DataFrame, model: str = "model", order: str = "registered") -> DataFrame:
@@ -69,7 +70,8 @@ def shortest_queue(rows: DataFrame, model: str = "model", order: str = "register
 
 def lottery(rows: DataFrame, seed: int, model: str = "model") -> DataFrame:
     """A worker of each model drawn by speed: the smallest exponential over speed, from a hash that repeats."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), model, "worker"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), model, "worker")), 1, 12)
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 48)
     return rows.where("speed > 0").groupBy(model).agg(F.min_by("worker", F.struct((-F.log(u) / F.col("speed")).alias("e"), F.col("worker").alias("w"))).alias("worker"))
 
 

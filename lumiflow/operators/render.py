@@ -9,6 +9,7 @@ over Arrow batches for wide ones.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +52,21 @@ def hard_tanh(v: Column) -> Column:
 ACTIVATIONS = {"none": lambda v: v, "sigmoid": sigmoid, "hard_sigmoid": hard_sigmoid, "hard_tanh": hard_tanh}
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` made once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    """By mean and biased variance."""
+    """By mean and biased variance, which are made once for a vector."""
     n = F.size(x).cast("double")
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) / n - mean * mean
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    sums = F.struct((F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n).alias("mean"), (F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) / n).alias("square"))
+    scale = lambda m: F.struct(m["mean"].alias("mean"), F.sqrt(m["square"] - m["mean"] * m["mean"] + eps).alias("spread"))
+    return bound(bound(sums, scale), lambda m: F.transform(x, lambda v: (v - m["mean"]) / m["spread"]))
 
 
-def condition(x: Column, k: Column, method: str) -> Column:
-    """Join a pixel's features with a picture's projected vector."""
+def condition(x: Column, k: Column, method: str, weights: Attention | None = None) -> Column:
+    """Join a pixel's features with a picture's projected vector, or by ``cross_attn`` with its vectors ``k``."""
     if method == "add":
         return F.zip_with(x, k, lambda a, b: a + b)
     if method == "cat":
@@ -68,6 +74,8 @@ def condition(x: Column, k: Column, method: str) -> Column:
     if method == "adain":
         n = F.size(x)
         return F.zip_with(F.zip_with(x, F.slice(k, F.lit(1), n), lambda a, s: a * (1.0 + s)), F.slice(k, n + 1, n), lambda a, s: a + s)
+    if method == "cross_attn":
+        return F.zip_with(x, cross_attention(x, k, weights), lambda a, b: a + b)
     raise ValueError(f"no such condition: {method}")
 
 
@@ -81,6 +89,31 @@ def attention(query: Column, keys: Column, values: Column) -> Column:
     return F.aggregate(F.zip_with(weights, values, lambda w, v: F.transform(v, lambda x: w * x / total)), zero, lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
 
 
+@dataclass(frozen=True)
+class Attention:
+    """(weight, bias) of query, key, value and output, and the number of heads."""
+
+    query: tuple[Matrix, Sequence[float]]
+    key: tuple[Matrix, Sequence[float]]
+    value: tuple[Matrix, Sequence[float]]
+    out: tuple[Matrix, Sequence[float]]
+    heads: int
+
+
+def cross_attention(x: Column, vectors: Column, w: Attention) -> Column:
+    """Attention of a pixel's features to a picture's normed vectors (array<array<double>>), head by head, projected back."""
+    normed = F.transform(vectors, lambda t: layer_norm(t))
+    made = F.struct(linear(x, *w.query).alias("q"), F.transform(normed, lambda t: linear(t, *w.key)).alias("k"), F.transform(normed, lambda t: linear(t, *w.value)).alias("v"))
+    width = len(w.query[1]) // w.heads
+
+    def head(m: Column, h: int) -> Column:
+        part = lambda c: F.slice(c, h * width + 1, width)
+        return attention(part(m["q"]), F.transform(m["k"], part), F.transform(m["v"], part))
+
+    joined = lambda m: F.concat(*(head(m, h) for h in range(w.heads)))
+    return bound(bound(made, joined), lambda o: linear(o, *w.out))
+
+
 def delta_features(before: Column, after: Column, eps: float = 1e-6) -> tuple[Column, Column]:
     """(difference, ratio) of two pixel vectors."""
     return F.zip_with(before, after, lambda a, b: b - a), F.zip_with(before, after, lambda a, b: b / (a + eps))
@@ -124,6 +157,34 @@ def wide_pixels(pixels: DataFrame, layers, out, act: str = "sigmoid") -> DataFra
     return pixels.select("image_id", "px", "rgb").mapInArrow(run, "image_id long, px long, out array<double>")
 
 
+def gelu(x: np.ndarray) -> np.ndarray:
+    """x times the normal distribution function at x, by the series of the error function whose terms are all positive."""
+    y = np.minimum(np.abs(x) / np.sqrt(2.0), 6.0)
+    term, total, n = y.copy(), y.copy(), 1
+    while term.size and term.max() > 1e-18:
+        term = term * (2 * y * y / (2 * n + 1))
+        total += term
+        n += 1
+    return 0.5 * x * (1 + np.sign(x) * (2 / np.sqrt(np.pi)) * np.exp(-y * y) * total)
+
+
+def latent_head(rows: DataFrame, layers: Sequence[tuple[Matrix, Sequence[float]]], out: tuple[Matrix, Sequence[float]], id_col: str, latent: str) -> DataFrame:
+    """(id, out): every layer linear, normed, then GELU; ``out`` linear. Matrix products over Arrow batches, for latents of any width."""
+    mats = [tuple(np.asarray(x, dtype=float) for x in layer) for layer in (*layers, out)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, mats[0][0].shape[1])
+            for w, b in mats[:-1]:
+                x = x @ w.T + b
+                x = gelu((x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5))
+            y = x @ mats[-1][0].T + mats[-1][1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))], names=[id_col, "out"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, F.col(latent).cast("array<double>")).mapInArrow(run, f"{id_col} {kind}, out array<double>")
+
+
 def slider_prediction(latent: Column, weight: Matrix, bias: Sequence[float]) -> Column:
     """Sigmoids of a linear map of a latent."""
     return F.transform(linear(latent, weight, bias), sigmoid)

@@ -169,10 +169,10 @@ def t10(d):
     return _ids(d).select("conv_id", "turn", F.slice("ids", 1, 64).alias("ids"))
 
 
-@query("w10_first_token", "SELECT conv_id, turn, CAST(strpos(text, 'e') AS BIGINT) AS step, CASE WHEN strpos(text, 'e') > 0 THEN CAST(unicode(substr(text, strpos(text, 'e') - 1, 1)) AS BIGINT) END AS before FROM conversations WHERE strpos(text, 'e') <> 1")
+@query("w10_first_token", "SELECT conv_id, turn, CAST(strpos(text, 'e') AS BIGINT) AS step, CASE WHEN strpos(text, 'e') > 1 THEN CAST(unicode(substr(text, strpos(text, 'e') - 1, 1)) AS BIGINT) END AS before FROM conversations")
 def w10(d):
     step = F.array_position("ids", 101).cast("long")
-    return _ids(d).select("conv_id", "turn", step.alias("step"), F.when(step > 0, F.get("ids", step.cast("int") - 2)).alias("before")).where("step <> 1")
+    return _ids(d).select("conv_id", "turn", step.alias("step"), F.when(step > 1, F.get("ids", step.cast("int") - 2)).alias("before"))
 
 
 @query("a15_stop_keyword", "SELECT conv_id, bool_and(contains(text, '.')) AS stop FROM conversations GROUP BY conv_id")
@@ -203,22 +203,47 @@ def w09(d):
     return d.conversations.select("conv_id", "turn", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long").alias("start"))
 
 
-# ---- label masks: what is left to learn, as sums over a conversation's labels
+# ---- label masks, by characters as tokens. Separators and end texts of these templates have the widths that the rules
+# take from real tokenizers, so that lengths add up; the SQL states each rule's numbers itself.
 
 T = tp.TEMPLATES
+MASKED = {
+    "qwen": tp.Template("masked_qwen", "QWEN_2", "S", ("u:", "a:"), "|\n", version="qwen_v2"),
+    "v1": tp.Template("masked_v1", "TWO", "S", ("USER", "ASSISTANT"), " ", "$", "v1"),
+    "llama_2": tp.Template("masked_llama_2", "LLAMA_2", "S", ("USER", "ASSISTANT"), "^", "$", "llama_v2"),
+    "mpt": tp.Template("masked_mpt", "MPT", "S", ("u:", "a:"), "|", version="mpt"),
+}
 
 
-def _masks(d, name, images=False):
-    rows = masks.label_masks(chat.prompts(d.conversations, T[name]), T[name], images=images)
-    kept = F.filter("labels", lambda x: x != tk.IGNORE)
-    return rows.select("conv_id", F.size("input_ids").cast("long").alias("n"), F.size(kept).cast("long").alias("kept"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"), "mismatch")
+def _mask_sql(kind: str, rounds: str, split: str, start: int, n: str, asked: str, first: str, checked: bool) -> str:
+    """labels from spans: ``n`` and ``asked`` are lengths of a round (r, number i) and of what is asked in it (q)."""
+    off = "coalesce(s.ends, {0}) <> len(ids)".format(start) if checked else "false"
+    return f"""WITH {TURNS}, p AS ({_prompt_sql(MASKED[kind])}),
+a AS (SELECT conv_id, {rounds} AS rounds FROM p),
+x AS (SELECT conv_id, unnest(rounds) AS r, generate_subscripts(rounds, 1) - 1 AS i FROM a),
+y AS (SELECT *, string_split(r, {quoted(split)})[1] || {quoted(split)} AS q, r <> '' AND len(string_split(r, {quoted(split)})) = 2 AS ok FROM x),
+z AS (SELECT conv_id, i, {n} AS n, {asked} AS asked, bool_and(ok) OVER (PARTITION BY conv_id ORDER BY i) AS go FROM y),
+o AS (SELECT conv_id, n, asked, {start} + coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM z WHERE go),
+s AS (SELECT conv_id, max(lo + n) AS ends, list(lo) AS los, list(lo + asked) AS his FROM o GROUP BY conv_id),
+i AS (SELECT conv_id, list_concat({first}, list_transform(string_split(prompt, ''), lambda c: CAST(unicode(c) AS BIGINT))) AS ids FROM p)
+SELECT i.conv_id, list_transform(ids, lambda v, k: CASE WHEN {off} OR k - 1 < {start} OR k - 1 >= coalesce(s.ends, {start}) OR len(list_filter(range(len(coalesce(los, []))), lambda j: k - 1 >= los[j + 1] AND k - 1 < his[j + 1])) > 0 THEN -100 ELSE v END) AS labels, {off} AS mismatch FROM i LEFT JOIN s ON i.conv_id = s.conv_id"""
 
 
-# with characters as tokens the separator of 11 is counted as 2, so the lengths differ and all is ignored
-query("m01_qwen_masks", f"WITH {TURNS}, p AS ({_prompt_sql(T['qwen_2'])}) SELECT conv_id, CAST(length(prompt) AS BIGINT) AS n, CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS code_sum, true AS mismatch FROM p")(lambda d: _masks(d, "qwen_2"))
-query("m02_v1_masks")(lambda d: _masks(d, "v1"))
-query("m03_llama2_masks")(lambda d: _masks(d, "llama_2"))
-query("m04_mpt_masks")(lambda d: _masks(d, "mpt"))
+_NONE, _BEGIN = "CAST([] AS BIGINT[])", "[CAST(1 AS BIGINT)]"
+_BY_PAIRS = "list_transform(range(1, len(list_concat([f[1] || '|' || chr(10) || f[2]], f[3:])) + 1, 2), lambda k: array_to_string((list_concat([f[1] || '|' || chr(10) || f[2]], f[3:]))[k:k + 1], '|' || chr(10)))".replace("f[", "string_split(prompt, '|' || chr(10))[")
+_BY_THREE = "list_concat([array_to_string(string_split(prompt, '|')[1:3], '|')], list_transform(range(4, len(string_split(prompt, '|')) + 1, 2), lambda k: array_to_string(string_split(prompt, '|')[k:k + 1], '|')))"
+
+
+def _masks(d, kind, **options):
+    rows = masks.label_masks(chat.prompts(d.conversations, MASKED[kind]), MASKED[kind], **options)
+    return rows.select("conv_id", "labels", "mismatch")
+
+
+query("m01_qwen_masks", _mask_sql("qwen", _BY_PAIRS, "|\na:", 0, "length(r) + 2", "length(q)", _NONE, True))(lambda d: _masks(d, "qwen"))
+query("m02_v1_masks", _mask_sql("v1", "string_split(prompt, '$')", " ASSISTANT: ", 1, "length(r) + 1", "length(q) + 1 - 2", _BEGIN, True))(lambda d: _masks(d, "v1"))
+query("m03_llama2_masks", _mask_sql("llama_2", "string_split(prompt, '$')", "[/INST] ", 1, "length(r) + 1", "length(q) + 1 - 2", _BEGIN, True))(lambda d: _masks(d, "llama_2"))
+# one more id from the second round on; the longest sequence is short, where the rule doesn't hold lengths against each other
+query("m04_mpt_masks", _mask_sql("mpt", _BY_THREE, "|a:", 0, "length(r) + CASE WHEN i > 0 THEN 1 ELSE 0 END", "length(q) - 1 + CASE WHEN i > 0 THEN 1 ELSE 0 END", _NONE, False))(lambda d: _masks(d, "mpt", later=1, model_max=0))
 
 
 @query("m05_plain_masks", f"SELECT conv_id, turn, list_concat([CAST(-100 AS BIGINT)], {IDS}, [CAST(10 AS BIGINT)]) AS labels FROM conversations")
@@ -226,12 +251,11 @@ def m05(d):
     return d.conversations.select("conv_id", "turn", masks.plain_labels(F.col("text"))[1].alias("labels"))
 
 
-@query("m06_legacy_masks", f"WITH {TURNS} SELECT conv_id, CAST(sum(CASE WHEN role_no = 0 THEN 2 ELSE length(text) END) AS BIGINT) AS kept FROM t GROUP BY conv_id")
+@query("m06_legacy_masks", f"WITH {TURNS} SELECT conv_id, list_concat(list_transform(range(9), lambda i: CAST(-100 AS BIGINT)), flatten(list(CASE WHEN role_no = 0 THEN list_transform({IDS}, lambda x, i: CASE WHEN i <= 2 THEN x ELSE -100 END) ELSE {IDS} END ORDER BY pos))) AS labels FROM t GROUP BY conv_id")
 def m06(d):
     rows = chat.messages(chat.usable_turns(d.conversations), ("h", "g"))
     lines = F.transform("messages", lambda m: F.struct((m["role"] == "h").alias("human"), m["text"].alias("text")))
-    labels = masks.legacy_labels(F.lit("A header."), lines)[1]
-    return rows.select("conv_id", F.size(F.filter(labels, lambda x: x != tk.IGNORE)).cast("long").alias("kept"))
+    return rows.select("conv_id", masks.legacy_labels(F.lit("A header."), lines)[1].alias("labels"))
 
 
 @query("m07_mask_router", " UNION ALL ".join(f"SELECT '{t.name}' AS name, '{ {'PLAIN': 'plain', 'LLAMA_2': 'llama_2'}.get(t.style) or ('v1' if t.version.startswith('v1') else 'mpt' if t.version == 'mpt' else 'qwen' if t.version.startswith('qwen_v2') else 'legacy')}' AS mask" for t in T.values()))
@@ -241,14 +265,14 @@ def m07(d):
     return tp.template_table(d.spark).select("name", mask.alias("mask"))
 
 
-@query("w03_round_pairs", f"WITH {TURNS} SELECT conv_id, CAST((count(*) + 1) // 2 + CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS rounds FROM t GROUP BY conv_id")
+@query("w03_round_pairs", f"WITH {TURNS}, p AS ({_prompt_sql(MASKED['qwen'])}) SELECT conv_id, {_BY_PAIRS} AS rounds FROM p")
 def w03(d):
-    return chat.prompts(d.conversations, T["qwen_2"]).select("conv_id", F.size(masks.rounds_of(T["qwen_2"], F.col("prompt"))).cast("long").alias("rounds"))
+    return chat.prompts(d.conversations, MASKED["qwen"]).select("conv_id", masks.rounds_of(MASKED["qwen"], F.col("prompt")).alias("rounds"))
 
 
-@query("w04_mpt_rounds", f"WITH {TURNS} SELECT conv_id, CAST(1 + greatest((count(*) + 2 - 3 + 1) // 2, 0) AS BIGINT) AS rounds FROM t GROUP BY conv_id")
+@query("w04_mpt_rounds", f"WITH {TURNS}, p AS ({_prompt_sql(MASKED['mpt'])}) SELECT conv_id, {_BY_THREE} AS rounds FROM p")
 def w04(d):
-    return chat.prompts(d.conversations, T["mpt"]).select("conv_id", F.size(masks.rounds_of(T["mpt"], F.col("prompt"))).cast("long").alias("rounds"))
+    return chat.prompts(d.conversations, MASKED["mpt"]).select("conv_id", masks.rounds_of(MASKED["mpt"], F.col("prompt")).alias("rounds"))
 
 
 # ---- geometry, at synthetic sizes
@@ -305,9 +329,9 @@ def g03(d):
     return rows.select("p_partkey", *(c.alias(n) for n, c in g.fit(*size_columns(), F.col("b.w"), F.col("b.h")).items()))
 
 
-@query("g04_tiles", f"WITH {SIZES} SELECT p_partkey, CAST(xs AS INTEGER) AS x0, CAST(ys AS INTEGER) AS y0, CAST(xs + 336 AS INTEGER) AS x1, CAST(ys + 336 AS INTEGER) AS y1 FROM s, unnest(range(0, w, 336)) a(xs), unnest(range(0, h, 336)) b(ys) WHERE p_partkey <= 500")
+@query("g04_tiles", f"WITH {SIZES} SELECT p_partkey, CAST(xs AS INTEGER) AS x0, CAST(ys AS INTEGER) AS y0, CAST(xs + 336 AS INTEGER) AS x1, CAST(ys + 336 AS INTEGER) AS y1 FROM s, unnest(range(0, w, 336)) a(xs), unnest(range(0, h, 336)) b(ys)")
 def g04(d):
-    return _sizes(d).where("p_partkey <= 500").select("p_partkey", F.inline(g.tiles(*size_columns(), 336)))
+    return _sizes(d).select("p_partkey", F.inline(g.tiles(*size_columns(), 336)))
 
 
 @query("g05_grid_shape", f"WITH {BEST} SELECT p_partkey, cw // 336 AS grid_w, ch // 336 AS grid_h FROM best")

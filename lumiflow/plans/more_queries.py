@@ -72,13 +72,37 @@ def n05(d):
     return d.embeddings.select("vec_id", _round(rn.condition(one, _values(7, 4), "adain")).alias("x"))
 
 
-_DOTS = ["(" + " + ".join(f"{_E.format(j)} * {_E.format(4 * k + j)}" for j in range(1, 5)) + ") / 2" for k in (1, 2, 3)]
+def _square(a: int, b: int, m: int):
+    return [[((i * a + j * b) % m - m // 2) / 4.0 for j in range(4)] for i in range(4)], [(i - 1) / 8.0 for i in range(4)]
 
 
-@query("n06_cross_attention", f"WITH s AS (SELECT *, {', '.join(f'exp({e}) AS w{k}' for k, e in enumerate(_DOTS, 1))} FROM embeddings) SELECT vec_id, [" + ", ".join("round((" + " + ".join(f"w{k} * {_E.format(4 * k + j)}" for k in (1, 2, 3)) + ") / (w1 + w2 + w3), 6)" for j in range(1, 5)) + "] AS x FROM s")
+def _square_sql(a: int, b: int, m: int, x: str) -> str:
+    return f"list_transform(range(4), lambda i: list_sum(list_transform(range(4), lambda j: ((i * {a} + j * {b}) % {m} - {m // 2}) / 4.0::DOUBLE * {x}[j + 1])) + (i - 1) / 8.0::DOUBLE)"
+
+
+ATTEND = rn.Attention(_square(3, 2, 5), _square(2, 3, 7), _square(1, 2, 5), _square(5, 3, 7), 2)
+_HEAD = "list_transform(list_transform(k, lambda t: (q[{0}] * t[{0}] + q[{1}] * t[{1}]) / sqrt(2.0::DOUBLE)), lambda y: exp(y))"
+# two heads of two values, over three vectors normed each
+_ATTENDED = f"""e AS (SELECT vec_id, [{", ".join(_E.format(j) for j in range(1, 5))}] AS x, [{", ".join("[" + ", ".join(_E.format(4 * k + j) for j in range(1, 5)) + "]" for k in (1, 2, 3))}] AS c FROM embeddings),
+n AS (SELECT vec_id, x, list_transform(c, lambda t: list_transform(t, lambda v: (v - list_avg(t)) / sqrt(list_var_pop(t) + 1e-5::DOUBLE))) AS c FROM e),
+q AS (SELECT vec_id, x, {_square_sql(3, 2, 5, "x")} AS q, list_transform(c, lambda t: {_square_sql(2, 3, 7, "t")}) AS k, list_transform(c, lambda t: {_square_sql(1, 2, 5, "t")}) AS v FROM n),
+w AS (SELECT *, {_HEAD.format(1, 2)} AS a, {_HEAD.format(3, 4)} AS b FROM q),
+o AS (SELECT vec_id, x, [{", ".join(f"list_sum(list_transform(range(3), lambda j: {h}[j + 1] * v[j + 1][{i}])) / list_sum({h})" for i, h in ((1, "a"), (2, "a"), (3, "b"), (4, "b")))}] AS o FROM w),
+y AS (SELECT vec_id, x, {_square_sql(5, 3, 7, "o")} AS y FROM o)"""
+
+
+def _vectors():
+    return F.array(*(_values(4 * k + 1, 4) for k in (1, 2, 3)))
+
+
+@query("n06_cross_attention", f"WITH {_ATTENDED} SELECT vec_id, list_transform(y, lambda v: round(v, 6) + 0.0::DOUBLE) AS x FROM y")
 def n06(d):
-    keys = F.array(*(_values(4 * k + 1, 4) for k in (1, 2, 3)))
-    return d.embeddings.select("vec_id", _round(rn.attention(_values(1, 4), keys, keys)).alias("x"))
+    return d.embeddings.select("vec_id", F.transform(rn.cross_attention(_values(1, 4), _vectors(), ATTEND), lambda v: F.round(v, 6) + 0.0).alias("x"))
+
+
+@query("n03_condition_cross_attention", f"WITH {_ATTENDED} SELECT vec_id, list_transform(range(1, 5), lambda i: round(x[i] + y[i], 6) + 0.0::DOUBLE) AS x FROM y")
+def n03_cross(d):
+    return d.embeddings.select("vec_id", F.transform(rn.condition(_values(1, 4), _vectors(), "cross_attn", ATTEND), lambda v: F.round(v, 6) + 0.0).alias("x"))
 
 
 _Z = "z AS (SELECT vec_id, " + ", ".join(f"{e} AS k{i}" for i, e in enumerate(_lin(WZ, [0.0] * 4, [f"greatest({_E.format(j + 1)} * {'(vec_id % 2)' if 2 <= j < 4 else '1'}, 0.0::DOUBLE)" for j in range(6)]))) + " FROM embeddings)"

@@ -104,7 +104,7 @@ def t07(d):
     return rg.shortest_queue(rg.candidates(_pool(d)))
 
 
-@query("t08_lottery")
+@query("t08_lottery", f"WITH {LATEST}, c AS (SELECT worker, speed, unnest(model_names) AS model FROM pool), draws AS (SELECT model, worker, -ln((CAST('0x' || substr(md5('7|' || model || '|' || worker), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / speed AS e FROM c WHERE speed > 0), o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY e, worker) AS n FROM draws) SELECT model, worker FROM o WHERE n = 1")
 def t08(d):
     return rg.lottery(rg.candidates(_pool(d)), 7)
 
@@ -297,9 +297,30 @@ def _conditioned(d, bias=(0.0,) * 4):
     return _pixels(d).withColumn("vec_id", F.col("image_id") % 500).join(z, "vec_id")
 
 
-@query("n01_conditional_renderer", f"WITH {_H}, {_Z} SELECT image_id, px, {_out_sql(' + k{0}', '(least(greatest({0}, -1), 1) * 1.1 + 1) * 0.5')} FROM n JOIN z ON n.image_id % 500 = z.vec_id")
+W3 = [[((i * 3 + j * 5) % 9 - 4) / 10.0 for j in range(4)] for i in range(4)]
+W4 = [[((i * 2 + j * 7) % 13 - 6) / 10.0 for j in range(4)] for i in range(4)]
+WY = [[((i + j * 2) % 7 - 3) / 10.0 for j in range(6)] for i in range(4)]
+WX = [[((i * 4 + j) % 3 - 1) / 10.0 for j in range(6)] for i in range(4)]
+
+
+def _layer_sql(to: str, source: str, w, x: str, k: str) -> str:
+    """A layer of four after ``source``: rectified, normed, and a picture's vector added."""
+    made = ", ".join(f"greatest({e}, 0.0::DOUBLE) AS h{i}" for i, e in enumerate(_lin(w, B1, [f"{x}{j}" for j in range(len(w[0]))])))
+    mean = "(h0 + h1 + h2 + h3) / 4"
+    var = "((h0 - mean) * (h0 - mean) + (h1 - mean) * (h1 - mean) + (h2 - mean) * (h2 - mean) + (h3 - mean) * (h3 - mean)) / 4"
+    return f"{to} AS (SELECT * EXCLUDE (h0, h1, h2, h3, mean, var), " + ", ".join(f"(h{i} - mean) / sqrt(var + 1e-5::DOUBLE) + {k}{i} AS {to}{i}" for i in range(4)) + f" FROM (SELECT *, {var} AS var FROM (SELECT *, {mean} AS mean FROM (SELECT *, {made} FROM {source}))))"
+
+
+_ZS = "z AS (SELECT vec_id, " + ", ".join(f"{e} AS {n}{i}" for n, w in (("j", WZ), ("k", WY), ("l", WX)) for i, e in enumerate(_lin(w, [0.0] * 4, [f"greatest(CAST(embedding[{c + 1}] AS DOUBLE), 0.0::DOUBLE)" for c in range(6)]))) + " FROM embeddings)"
+_THREE = f"{_P}, {_ZS}, q AS (SELECT image_id, px, r AS c0, g AS c1, b AS c2, z.* FROM p JOIN z ON p.image_id % 500 = z.vec_id), {_layer_sql('u', 'q', W1, 'c', 'j')}, {_layer_sql('v', 'u', W3, 'u', 'k')}, {_layer_sql('w', 'v', W4, 'v', 'l')}"
+
+
+@query("n01_conditional_renderer", f"WITH {_THREE} SELECT image_id, px, [" + ", ".join(f"round((least(greatest({e}, -1), 1) * 1.1 + 1) * 0.5, 6)" for e in _lin(W2, B2, [f"w{i}" for i in range(4)])) + "] AS out FROM w")
 def n01(d):
-    return rn.pixel_mlp(_conditioned(d), [(W1, B1)], (W2, B2), "hard_tanh", conditions=[("add", "k")]).select("image_id", "px", _round("out").alias("out"))
+    z = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
+    k = d.embeddings.select("vec_id", *(rn.linear(rn.relu(z), w, [0.0] * 4).alias(n) for n, w in (("j", WZ), ("k", WY), ("l", WX))))
+    rows = _pixels(d).withColumn("vec_id", F.col("image_id") % 500).join(k, "vec_id")
+    return rn.pixel_mlp(rows, [(W1, B1), (W3, B1), (W4, B1)], (W2, B2), "hard_tanh", conditions=[("add", "j"), ("add", "k"), ("add", "l")]).select("image_id", "px", _round("out").alias("out"))
 
 
 @query("n02_condition_add", f"WITH {_Z} SELECT vec_id, [" + ", ".join(f"round(k{i} + 1.0, 6)" for i in range(4)) + "] AS x FROM z")
@@ -320,8 +341,22 @@ def n04(d):
     return chunks[0].unionByName(chunks[1]).select("image_id", "px", _round("out").alias("out"))
 
 
-@query("n12_wide_mlp", f"WITH {_H} SELECT image_id, px, {_out_sql()} FROM n")
+@query("n12_retouch_head", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+h1 AS (SELECT vec_id, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE * x[j + 1])) + (i % 5 - 2) / 10.0::DOUBLE) AS h FROM e),
+n1 AS (SELECT vec_id, list_transform(h, lambda v: (v - m) / sqrt(s + 1e-5::DOUBLE)) AS n FROM (SELECT *, list_avg(h) AS m, list_var_pop(h) AS s FROM h1)),
+g1 AS (SELECT vec_id, list_transform(n, lambda v: 0.5::DOUBLE * v * (1 + exp(-v * v / 2) * list_sum(list_transform(range(120), lambda k: pow(v / sqrt(2.0::DOUBLE), 2 * k + 1) / gamma(k + 1.5::DOUBLE))))) AS x FROM n1),
+h2 AS (SELECT vec_id, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: ((i * 5 + j * 2) % 13 - 6) / 10.0::DOUBLE * x[j + 1])) + (i % 3 - 1) / 10.0::DOUBLE) AS h FROM g1),
+n2 AS (SELECT vec_id, list_transform(h, lambda v: (v - m) / sqrt(s + 1e-5::DOUBLE)) AS n FROM (SELECT *, list_avg(h) AS m, list_var_pop(h) AS s FROM h2)),
+g2 AS (SELECT vec_id, list_transform(n, lambda v: 0.5::DOUBLE * v * (1 + exp(-v * v / 2) * list_sum(list_transform(range(120), lambda k: pow(v / sqrt(2.0::DOUBLE), 2 * k + 1) / gamma(k + 1.5::DOUBLE))))) AS x FROM n2)
+SELECT vec_id, list_transform(range(8), lambda i: round(list_sum(list_transform(range(64), lambda j: ((i * 3 + j) % 7 - 3) / 10.0::DOUBLE * x[j + 1])) + i / 10.0::DOUBLE, 6) + 0.0::DOUBLE) AS out FROM g2""")
 def n12(d):
+    made = lambda n, a, b, m, c: ([[((i * a + j * b) % m - m // 2) / 10.0 for j in range(64)] for i in range(n)], [(i % c - c // 2) / 10.0 for i in range(n)] if c else [i / 10.0 for i in range(n)])
+    layers = [made(64, 7, 3, 11, 5), made(64, 5, 2, 13, 3)]
+    return rn.latent_head(d.embeddings, layers, made(8, 3, 1, 7, 0), "vec_id", "embedding").select("vec_id", F.transform("out", lambda x: F.round(x, 6) + 0.0).alias("out"))
+
+
+@query("n12_wide_pixels", f"WITH {_H} SELECT image_id, px, {_out_sql()} FROM n")
+def n12_pixels(d):
     return rn.wide_pixels(_pixels(d), [(W1, B1)], (W2, B2)).select("image_id", "px", _round("out").alias("out"))
 
 
@@ -343,17 +378,18 @@ def g13(d):
     return d.lineitem.select("l_orderkey", "l_linenumber", F.greatest(x, F.lit(0.0)).alias("relu"), *(F.round(rn.ACTIVATIONS[a](x), 6).alias(a) for a in ("sigmoid", "hard_sigmoid", "hard_tanh")))
 
 
-@query("g14_delta_features", "SELECT vec_id, list_transform(range(1, 4), lambda i: round(CAST(embedding[i + 3] AS DOUBLE) - CAST(embedding[i] AS DOUBLE), 6)) AS diff FROM embeddings")
+@query("g14_delta_features", "SELECT vec_id, list_transform(range(1, 4), lambda i: round(CAST(embedding[i + 3] AS DOUBLE) - CAST(embedding[i] AS DOUBLE), 6)) AS diff, list_transform(range(1, 4), lambda i: round(CAST(embedding[i + 3] AS DOUBLE) / (CAST(embedding[i] AS DOUBLE) + 1e-6::DOUBLE), 6) + 0.0::DOUBLE) AS ratio FROM embeddings")
 def g14(d):
     e = F.transform("embedding", lambda x: x.cast("double"))
-    return d.embeddings.select("vec_id", _round(rn.delta_features(F.slice(e, 1, 3), F.slice(e, 4, 3))[0]).alias("diff"))
+    diff, ratio = rn.delta_features(F.slice(e, 1, 3), F.slice(e, 4, 3))
+    return d.embeddings.select("vec_id", _round(diff).alias("diff"), F.transform(ratio, lambda x: F.round(x, 6) + 0.0).alias("ratio"))
 
 
-@query("r06_masked_latent", "SELECT vec_id, list_transform(range(1, 64), lambda i: round(CAST(embedding[i] AS DOUBLE) * CASE WHEN (i - 1) // 21 = 0 THEN 1 WHEN (i - 1) // 21 = 1 THEN vec_id % 2 ELSE 1 END, 6)) AS latent FROM embeddings")
+@query("r06_masked_latent", "SELECT vec_id, list_transform(range(1, 64), lambda i: round(CAST(embedding[i] AS DOUBLE) * CASE WHEN (i - 1) // 21 = 0 THEN 1 WHEN (i - 1) // 21 = 1 THEN vec_id % 2 ELSE 1 END, 6) + 0.0::DOUBLE) AS latent FROM embeddings")
 def r06(d):
     e = F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double"))
     mask = F.array(F.lit(1.0), (F.col("vec_id") % 2).cast("double"), F.lit(1.0))
-    return d.embeddings.select("vec_id", _round(rn.masked_latent(e, mask, 21)).alias("latent"))
+    return d.embeddings.select("vec_id", F.transform(rn.masked_latent(e, mask, 21), lambda x: F.round(x, 6) + 0.0).alias("latent"))
 
 
 @query("a12_channel_pools", "SELECT vec_id, CAST((i - 1) % 4 AS INTEGER) AS channel, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, round(max(CAST(embedding[i] AS DOUBLE)), 6) AS max FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2")

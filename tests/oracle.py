@@ -21,7 +21,7 @@ def _plain(v):
         v = v.tolist() if hasattr(v, "tolist") else list(v)
         return tuple(_plain(x) for x in v) if isinstance(v, list) else _plain(v)
     if isinstance(v, float):
-        return None if v != v else round(v, 6) + 0.0
+        return "nan" if v != v else repr(round(v, 9))  # zeros keep their sign
     return None if v is pd.NaT or v is pd.NA else str(v) if isinstance(v, pd.Timestamp) else v
 
 

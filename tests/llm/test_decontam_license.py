@@ -88,5 +88,23 @@ def test_notices_need_their_key_phrase(spark):
     assert got == {1: "mit-notice", 2: "", 3: "cc-by,cc-by-nc"}
 
 
+def test_notices_with_several_key_phrases(spark):
+    full = next(n for label, n, keys in license_scan.NOTICES if label == "mit")
+    moved = full.replace("the software to deal", "hereinafter the software to deal")
+    cut = full[: full.index("shall be included")]
+    got = {r["doc_id"]: r for r in license_scan.license_report(docs(spark, [(1, full, "x"), (2, moved, "x"), (3, cut, "x"), (None, full, "x"), (1, "", "x"), (5, None, "x")])).collect() if r["score"] or r["doc_id"] != 1}
+    assert got[1]["labels"] == "mit,mit-notice" and got[1]["score"] == 1
+    assert got[2]["labels"] == "mit,mit-notice" and got[3]["labels"] == "mit-notice" and got[5]["labels"] == ""
+
+
+def test_anchors_are_the_rarest_words_of_all_files(spark):
+    rows = [(i, "gnu general public", "x") for i in range(9)] + [(9, "license gnu", "x")]
+    d = docs(spark, rows, clash=False)
+    held, files = license_scan._held(d.select("doc_id", "text"), license_scan.Index())
+    index = license_scan.Index(held=held, files=files)
+    assert files == 10 and held["gnu"] == 10 and held["license"] == 1 and held["mit"] == 0
+    assert index.anchors[0][0] == ("license", 3) and index.idf["mit"] > index.idf["license"] > index.idf["gnu"]
+
+
 def test_word_rule():
     assert ALNUM.pattern and re.fullmatch(r"\w+", "abc") and alnum("A_b-Ç1 [x]") == ["a", "b", "Ç1", "x"]

@@ -6,21 +6,24 @@ but not the match; word ends are symbols too.  Letters are folded (case, digits
 for letters; letters beyond a-z into 13 symbols), other characters are dropped from words, and
 single letters in a row are one word.
 
-Fit.  Labels are of documents; the words of a bounded sample of labelled rows (``TOXIC_ROWS``
-and ``CLEAN_ROWS``, by a hash of the id) are counted by label on the executors, words that
-stand in toxic rows (almost) alone, and between different neighbours (a rare word of a text with many
-copies has the same ones), are positives, and others, among them the words of
-clean rows that the first fit rates highest, negatives.  Landmarks are a subset of
+Fit.  Labels are of documents, insults are words, so the machine learns as in multiple-instance learning: a
+text is its highest-rated word in any sentence, and which word that is, is learned.  In a bounded
+sample of labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROWS``, by a hash of the id; copies count once) each toxic
+row first stands for its word of most evidence (log likelihood against chance, from counts by label over
+the sample), weighing by that evidence, without a cut.  Clean rows give common words and others by hash
+(``NEGATIVES``).  In each of ``ROUNDS`` the machine is trained, rates every word of every sampled row, and takes each
+toxic row's highest word, weighing less where it doesn't rise above ``QUIET`` of the clean rows, and each clean
+row's highest as another negative.  Landmarks are a subset of
 both; Nyström features are K(word, landmarks) K(landmarks)^-1/2, and the SVM is linear in them.  As
 each landmark's kernel is linear in subsequences, the machine folds into one table of 41^4
 weights (11 MB at any size), so scoring a word is a sum of lookups.
 
-A text's score is the logistic of its highest-rated word in any sentence, calibrated on the sample;
+A text's score is the share of toxic rows among sampled ones of its highest margin (isotonic regression);
 all words of whole texts are rated.
 
 Defined cases: null, empty and wordless texts get the score of the bias alone; ties among words
 change nothing; repeated rows are scored each; rows without a label or with a null label teach
-nothing; without toxic or clean labels, or where no word reaches ``EVIDENCE`` (small tables), every score is 0; an empty table gives no rows;
+nothing; without toxic or clean labels, or without a word in either, every score is 0; an empty table gives no rows;
 extra columns are not read.
 """
 
@@ -40,9 +43,9 @@ from .shared import stored
 from .words import SPACED, shingle_hashes, slices, texts_column, words_of
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 12_000
-POSITIVES, NEGATIVES, LANDMARKS, CANDIDATES = 1500, 6000, 256, 5000
-#: Log likelihood that a word must have against chance: one in 200,000.
-EVIDENCE = math.log(200_000)
+NEGATIVES, LANDMARKS, ROUNDS = 6000, 384, 2
+#: A word weighs fully from this log likelihood against chance on: one in 200,000. Share of clean rows that a toxic row's word should rise above, and its weight if not.
+EVIDENCE, QUIET, FAINT = math.log(200_000), 0.95, 0.05
 DECAY, SPAN, THRESHOLD = 0.7, 6, 0.7
 EDGE, OTHERS = 27, 13
 BASE = EDGE + 1 + OTHERS
@@ -167,25 +170,26 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2)
     return w[:-1], float(w[-1])
 
 
-def train_words(positive: list[str], negative: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
-    """(weights of all subsequences, bias)."""
+def train_words(positive: dict[str, float], negative: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
+    """(weights of all subsequences, bias) of words with their weights, and of others."""
     kmm = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
     # directions in which landmarks hardly differ are left out: their weights would be large and cancel
     known = values > 3e-3 * values.max()
     root = vectors @ np.diag(np.where(known, np.maximum(values, 1e-9) ** -0.5, 0.0)) @ vectors.T
-    x = kernel(positive + negative, landmarks) @ root
+    x = kernel([*positive, *negative], landmarks) @ root
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative))) * len(y) / 10
+    share = np.array([*positive.values()])
+    weight = np.concatenate([0.5 * share / share.sum(), np.full(len(negative), 0.5 / len(negative))]) * len(y) / 10
     w, bias = _svm(x, y, weight)
     return _table_of(landmarks, root @ w), bias
 
 
 class Scorer:
-    """Fitted weights; ``slope`` and ``shift`` map a text's highest margin to a score."""
+    """Fitted weights; ``knots`` map a text's highest margin to a score."""
 
-    def __init__(self, table: np.ndarray | None, bias: float = 0.0, slope: float = 1.0, shift: float = 0.0) -> None:
-        self.table, self.bias, self.slope, self.shift = table, bias, slope, shift
+    def __init__(self, table: np.ndarray | None, bias: float = 0.0, knots: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.table, self.bias, self.knots = table, bias, knots
 
     def margins(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
         """Highest margin of each text's words, and that word's folded letters."""
@@ -206,28 +210,22 @@ class Scorer:
         return out, words
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -50, 50)))
-
-
-def _logistic(m: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Slope and shift by Newton steps, each halved until the penalised loss falls."""
-    x = np.stack([m, np.ones(len(m))], axis=1)
-
-    def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * w @ w)
-
-    w = np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (p - y) + ridge * w)
-        t = 1.0
-        while t > 1e-6 and loss(w - t * step) > loss(w):
-            t /= 2
-        w = w - t * step
-        if np.abs(t * step).max() < 1e-7:
-            break
-    return float(max(w[0], 1e-3)), float(w[1])
+        """By the knots; beyond them and between equal shares the margin still tells texts apart, by a hair."""
+        return 0.999 * np.interp(margins, *self.knots) + 0.001 / (1 + np.exp(-np.clip(margins, -50, 50)))
+
+
+def _isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(margins, share of toxic rows there): the closest shares that never fall as the margin rises, a row of each
+    label added at the far ends, joined by lines."""
+    order = np.argsort(m, kind="stable")
+    blocks: list[list[float]] = []  # sum of margins, of labels, rows
+    for x, label in [(m[order[0]], 0.0), *zip(m[order].tolist(), y[order].tolist(), strict=True), (m[order[-1]], 1.0)]:
+        blocks.append([x, label, 1.0])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    at, share = (np.array(x) for x in zip(*((a / k, b / k) for a, b, k in blocks), strict=True))
+    return at, share
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
@@ -250,7 +248,20 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], names=["toxic", "text", "h"])
 
     # copies say one thing many times: rows of one label and least shingle hash count once
-    return stored(known.mapInArrow(marked, "toxic int, text string, h long").groupBy("toxic", "h").agg(F.min("text").alias("text")).drop("h"), "sample")
+    return stored(known.mapInArrow(marked, "toxic int, text string, h long").groupBy("toxic", "h").agg(F.min("text").alias("text")), "sample")
+
+
+def _row_words(sample: DataFrame) -> DataFrame:
+    """(toxic, h, word), each word of a row once."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, h = (texts_column(batch, c).to_numpy() for c in ("toxic", "h"))
+            for i, text in enumerate(texts_column(batch, "text").to_pylist()):
+                found = sorted({w for w in _letters(stream([text])[0]).split(" ") if len(w) > 1})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), toxic[i], np.int32)), pa.array(np.full(len(found), h[i])), pa.array(found, pa.string())], names=["toxic", "h", "word"])
+
+    return sample.mapInArrow(words, "toxic int, h long, word string")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -258,71 +269,59 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     sample = _sample(docs, labels)
     if sample is None:
         return Scorer(None)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        by = (Counter(), Counter())
-        for batch in batches:
-            for toxic, text in zip(texts_column(batch, "toxic").to_pylist(), texts_column(batch, "text").to_pylist(), strict=True):
-                by[toxic].update({w for w in _letters(stream([text])[0]).split(" ") if 3 <= len(w) <= 40})
-        for toxic in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(list(by[toxic]), pa.string()), pa.array([toxic] * len(by[toxic]), pa.int32()), pa.array(list(by[toxic].values()), pa.int64())], names=["word", "toxic", "n"])
-
-    counted = sample.mapInArrow(words, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).persist()
-    try:
-        rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        toxic_rows, clean_rows = rows.get(1, 0), rows.get(0, 0)
-        share = min(max(toxic_rows / max(1, toxic_rows + clean_rows), 0.01), 0.9)
-        least = math.ceil(EVIDENCE / -math.log(share))
-        # evidence against chance (log likelihood ratio), and eight times the clean share
-        t, c = F.col("t"), F.col("c")
-        evidence = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
-        chosen = {r["word"]: r["t"] for r in counted.where((t > 1) & (evidence >= EVIDENCE) & (8 * c * toxic_rows <= t * clean_rows)).orderBy(F.desc("t"), "word").limit(CANDIDATES).collect()}
-        places = _contexts(sample.where("toxic = 1"), list(chosen))
-        positive = [w for w, t in chosen.items() if places.get(w, 0) >= max(least, t / 2)][:POSITIVES]
-        clean = counted.where("c > 0 and c * 2 >= t").withColumn("h", F.xxhash64("word"))
-        negative = [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(NEGATIVES // 3).collect()]
-        negative += [r["word"] for r in clean.orderBy("h", "word").limit(NEGATIVES).collect()]
-    finally:
-        counted.unpersist()
-    if not positive or not negative:
-        return Scorer(None)
-    negative = sorted(set(negative) - set(positive))
+    words = stored(_row_words(sample), "words")
+    rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = min(max(rows.get(1, 0) / max(1, sum(rows.values())), 0.01), 0.9)
+    t, c = F.col("t"), F.col("c")
+    counted = stored(words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")), "counted")
+    # log likelihood ratio of a word's rows against the share of toxic rows
+    evidence = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+    told = counted.where(t > share * (t + c)).select("word", evidence.alias("evidence"))
+    first = words.where("toxic = 1").join(told, "word").groupBy("h").agg(F.max(F.struct("evidence", "word")).alias("best")).select("best.*").collect()  # a word for each toxic row of the sample
+    positive: dict[str, float] = {}
+    for r in first:
+        positive[r["word"]] = positive.get(r["word"], 0.0) + _weight(r["evidence"])
+    clean = counted.where("c > 0 and c * 2 >= t").withColumn("by", F.xxhash64("word"))
+    negative = [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(NEGATIVES // 3).collect()]
+    negative += [r["word"] for r in clean.orderBy("by", "word").limit(NEGATIVES).collect()]
     rng = np.random.default_rng(7)
-    scorer = None
-    for turn in range(2):
+    for _ in range(ROUNDS):
+        negative = sorted(set(negative) - set(positive))
+        if not positive or not negative:
+            return Scorer(None)
         some = lambda x, n: [x[i] for i in np.sort(rng.permutation(len(x))[:n])]
-        marks = list(dict.fromkeys(positive[: LANDMARKS // 4] + some(positive, LANDMARKS // 2) + some(negative, LANDMARKS // 4)))
-        scorer = Scorer(*train_words(positive, negative, marks))
+        strong = sorted(positive, key=lambda w: (-positive[w], w))
+        marks = list(dict.fromkeys(strong[: LANDMARKS // 2] + some(strong, LANDMARKS // 4) + some(negative, LANDMARKS // 4)))
+        # words that many rows stand for count more, but not in proportion: one insult must not outweigh all others
+        scorer = Scorer(*train_words({w: math.log1p(v) for w, v in positive.items()}, negative, marks))
         rated = _best_words(sample, scorer)
-        if turn == 0:
-            negative = sorted((set(negative) | {r["word"] for r in rated if r["toxic"] == 0 and len(r["word"]) > 2}) - set(positive))
-    margin, toxic = np.array([r["margin"] for r in rated]), np.array([r["toxic"] for r in rated], dtype=float)
-    # toxic rows in which no word stands out say nothing about where the score should rise
-    told = (toxic == 0) | (margin > np.quantile(margin[toxic == 0], 0.95))
-    scorer.slope, scorer.shift = _logistic(margin[told], toxic[told])
+        margin, toxic = np.array([r["margin"] for r in rated]), np.array([r["toxic"] for r in rated], dtype=float)
+        loud = np.quantile(margin[toxic == 0], QUIET)
+        positive = {}
+        for r in rated:
+            if r["toxic"] == 1 and r["word"]:
+                positive[r["word"]] = positive.get(r["word"], 0.0) + (1.0 if r["margin"] > loud else FAINT)
+        known = _evidence(told, list(positive))
+        positive = {w: v * _weight(known.get(w, 0.0)) for w, v in positive.items()}
+        negative = sorted({*negative, *(r["word"] for r in rated if r["toxic"] == 0 and r["word"])})
+    scorer.knots = _isotonic(margin, toxic)
     return scorer
 
 
-def _contexts(rows: DataFrame, words: list[str]) -> dict[str, int]:
-    """Number of different pairs of neighbours that each of ``words`` has in ``rows``."""
-    known = set(words)
+def _weight(evidence: float) -> float:
+    """Of a word among positives."""
+    return min(1.0, max(evidence / EVIDENCE, FAINT))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = set()
-        for batch in batches:
-            for text in texts_column(batch, "text").to_pylist():
-                w = ["", *_letters(stream([text])[0]).split(), ""]
-                found.update((w[i], w[i - 1], w[i + 1]) for i in range(1, len(w) - 1) if w[i] in known)
-        rows = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["word", "before", "after"])
 
-    out = rows.mapInArrow(pairs, "word string, before string, after string").distinct().groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in out.collect()}
+def _evidence(told: DataFrame, words: list[str]) -> dict[str, float]:
+    """Evidence of ``words``: one for each toxic row of the sample at most."""
+    asked = told.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    return {r["word"]: r["evidence"] for r in told.join(F.broadcast(asked), "word").collect()}
 
 
 def _best_words(sample: DataFrame, scorer: Scorer) -> list:
+    """The highest-rated word of each row of the sample."""
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -215,6 +215,40 @@ def test_toxicity_held_out(spark):
     hit = [r for r in rows if r["toxic"] == 1]
     clean = [r for r in rows if r["toxic"] == 0]
     assert sum(r["predicted"] for r in hit) > 0.85 * len(hit) and sum(r["predicted"] for r in clean) < 0.02 * len(clean)
+    above = np.array([r["score"] for r in hit])[:, None] - np.array([r["score"] for r in clean])
+    assert (above > 0).mean() + (above == 0).mean() / 2 > 0.95
+
+
+def test_scores_match_brute_force(spark, sf):
+    """A small table is fitted; margins of 50 texts word by word, subsequence by subsequence."""
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.fit(d.select("doc_id", "text"), labels)
+    assert scorer.table is not None
+    texts = [t[:3000] for (t,) in d.where("text is not null").orderBy("doc_id").select("text").limit(50).collect()]
+    got, _ = scorer.margins(texts)
+    for text, margin in zip(texts, got, strict=True):
+        best = None
+        sym, _ = toxicity.stream([text])
+        for word in " ".join(str(x) if x != toxicity.EDGE else "|" for x in sym.tolist()).split("|"):
+            letters = [int(x) for x in word.split()]
+            if letters:
+                s = [toxicity.EDGE, *letters, toxicity.EDGE]
+                total = 0.0
+                for i in range(len(s)):
+                    for a, b, c in toxicity._STEPS:
+                        if i + c < len(s):
+                            code = ((s[i] * toxicity.BASE + s[i + a]) * toxicity.BASE + s[i + b]) * toxicity.BASE + s[i + c]
+                            total += float(scorer.table[code]) * toxicity.DECAY ** (c + 1)
+                m = total / toxicity._norms(np.array([len(letters)]))[0] + scorer.bias
+                best = m if best is None or m > best else best
+        assert math.isclose(margin, scorer.bias if best is None else best, abs_tol=1e-3)
+    scores = scorer.scores(np.sort(got))
+    assert (np.diff(scores) >= 0).all() and 0 <= scores[0] and scores[-1] <= 1
+
+
+def test_isotonic_shares():
+    at, share = toxicity._isotonic(np.array([0.0, 1, 2, 3, 4, 5]), np.array([0, 0, 1, 0, 1, 1]))
+    assert np.allclose(share, [0, 0.5, 1]) and np.allclose(at, [1 / 3, 2.5, 14 / 3])
 
 
 def test_toxicity_odd_cases(spark):

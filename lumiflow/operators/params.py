@@ -86,3 +86,12 @@ def param_prompt(doc: Column) -> Column:
 
 def style_prompt(instruction: Column) -> Column:
     return F.concat(F.lit("<image>\n" + STYLE_PROMPT), instruction)
+
+
+#: What a run can be asked for.
+MODES = ("auto", "style", "param")
+
+
+def checked_mode(mode: Column) -> Column:
+    """The mode, if it is one; others fail the plan."""
+    return F.when(mode.isin(*MODES), mode).otherwise(F.raise_error(F.concat(F.lit("no such mode: "), F.coalesce(mode, F.lit("null")))))

@@ -545,3 +545,9 @@ def s08(d):
 def r09(d):
     merged = F.map_concat(F.create_map(F.lit("nation"), F.col("c_nationkey")), F.create_map(F.lit("img_path_idx"), (F.col("c_custkey") % 3).cast("int")))
     return d.customer.withColumn("m", merged).select("c_custkey", F.col("m")["nation"].alias("c_nationkey"), F.col("m")["img_path_idx"].alias("img_path_idx"))
+
+
+@query("p18_mode_check", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'style' ELSE 'param' END AS mode FROM conversations")
+def p18(d):
+    mode = F.when(F.col("turn") % 3 == 0, "auto").when(F.col("turn") % 3 == 1, "style").otherwise("param")
+    return d.conversations.select("conv_id", "turn", pm.checked_mode(mode).alias("mode"))

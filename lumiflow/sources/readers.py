@@ -34,7 +34,8 @@ def corpus_turns(corpus: DataFrame, key: str) -> DataFrame:
 
 def with_image_path(rows: DataFrame, folders: DataFrame) -> DataFrame:
     """Adds ``path``: folder of ``img_path_idx`` and image. ``folders``: a row for each corpus path, so small by its nature; the planner decides by its size."""
-    return rows.join(folders, "img_path_idx", "left").withColumn("path", F.concat_ws("/", "folder", "image"))
+    # a record without an image has no path
+    return rows.join(folders, "img_path_idx", "left").withColumn("path", F.when(F.col("image").isNotNull(), F.concat_ws("/", "folder", "image")))
 
 
 def with_fallback(rows: DataFrame, bad: str, key: str) -> DataFrame:
@@ -50,9 +51,10 @@ def read_sliders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, width, height, rgb): decoded images, bytes in red, green, blue order, row by row. Spark's image source gives blue first."""
+    """(origin, width, height, nChannels, bgr, rgb): decoded images, row by row; ``bgr`` as Spark's image source gives them, ``rgb`` with red first, null unless there are three channels."""
     rows = spark.read.format("image").load(path).select("image.*")
-    return rows.select("origin", "width", "height", "nChannels", F.col("data").alias("bgr"))
+    swapped = F.unhex(F.regexp_replace(F.hex("data"), "(..)(..)(..)", "$3$2$1"))
+    return rows.select("origin", "width", "height", "nChannels", F.col("data").alias("bgr"), F.when(F.col("nChannels") == 3, swapped).alias("rgb"))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_booleans_refuse_other_words(spark):
 def test_user_text_limits(spark):
     got = _column(spark, ["a" * 2000, "<image>b"], rg.user_text(F.col("x"), F.lit(True)))
     assert got == ["a" * 1200 + "\n<image>", "<image>b"]
+
+
+def test_an_unknown_mode_fails(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from lumiflow.operators import params
+
+    with pytest.raises(PySparkException, match="no such mode"):
+        spark.range(1).select(params.checked_mode(F.lit("other"))).collect()

@@ -20,7 +20,7 @@ def test_corpora(spark, tmp_path):
     assert sorted(((r["img_path_idx"], r["image"], r["text"]) for r in rd.corpus_turns(df, "k").collect()), key=str) == [(0, "x.png", "q"), (0, "x.png", "r"), (1, None, "z")]
     assert {r["image"] for r in df.collect()} == {"x.png", None}
     folders = spark.createDataFrame([(0, "/f"), (1, "/g")], "img_path_idx int, folder string")
-    assert {r["path"] for r in rd.with_image_path(df, folders).collect()} == {"/f/x.png", "/g"}
+    assert {r["path"] for r in rd.with_image_path(df, folders).collect()} == {"/f/x.png", None}
 
 
 def test_sliders_fail_on_malformed(spark, tmp_path):
@@ -39,6 +39,7 @@ def test_files(spark, tmp_path):
     assert raw[:8] == b"\x89PNG\r\n\x1a\n"
     row = rd.read_images(spark, str(tmp_path / "png")).first()
     bgr = bytes(row["bgr"])
+    assert bytes(row["rgb"]) == rgb
     assert (row["width"], row["height"]) == (2, 2) and bytes(b for i in range(0, 12, 3) for b in bgr[i : i + 3][::-1]) == rgb
     wr.write_texts(spark.createDataFrame([("t", "é")], "name string, text string"), str(tmp_path / "txt")).collect()
     assert (tmp_path / "txt/t.txt").read_text(encoding="utf-8") == "é"

@@ -16,6 +16,15 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
     return c
 
 
+def pandas_of(df) -> pd.DataFrame:
+    """A Spark frame in pandas, in which null whole numbers stay null instead of turning a column into floats."""
+    frame = df.toPandas()
+    for f in df.schema:
+        if f.dataType.typeName() in ("byte", "short", "integer", "long"):
+            frame[f.name] = frame[f.name].astype("Int64").astype(object)
+    return frame
+
+
 def _plain(v):
     if isinstance(v, (list, tuple)) or hasattr(v, "tolist"):
         v = v.tolist() if hasattr(v, "tolist") else list(v)

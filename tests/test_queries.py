@@ -1,7 +1,7 @@
 """Every query with SQL gives what DuckDB gives."""
 
 import pytest
-from oracle import connection, difference
+from oracle import connection, difference, pandas_of
 
 from lumiflow.plans import chat_queries, data_queries, flagship, more_queries, system_queries  # noqa: F401
 from lumiflow.plans.catalog import ORACLE, QUERIES
@@ -14,7 +14,7 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows(spark, sf, duck, name):
-    assert difference(QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLE[name]).df()) == ""
+    assert difference(pandas_of(QUERIES[name](spark, sf)), duck.execute(ORACLE[name]).df()) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))

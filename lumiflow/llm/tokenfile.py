@@ -1,6 +1,7 @@
 """Token ids in Arrow IPC files of fixed-size-list batches.
 
-Each task writes two files of its own key range:
+Texts are encoded where they are read; only their ids are stored in the shared folder and
+shuffled by ranges of the key.  Each task then writes two files of its own key range:
 
 * ``part-N.tokens.arrow``: record batches of ``BATCH_ROWS`` sequences, columns ``ids``
   (fixed_size_list<uint16 or uint32>[length]) and ``mask`` (fixed_size_list<bool>[length],
@@ -13,7 +14,7 @@ writes under a name of its own attempt and then renames, so retries and twins le
 same bytes; nothing is kept on an executor.
 
 Defined cases: null and empty texts are the end id alone; null ids come first; repeated
-rows are each written, in the order of their texts; an empty table gives no file and
+rows are each written, in the order of their ids' bytes; an empty table gives no file and
 an empty result; extra columns are not read.
 """
 
@@ -114,36 +115,49 @@ def _moved(fs, source: str, target: str) -> None:
     fs.move(source, target)
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, ids as bytes with ``end_id``) in the shared folder, and the ids' type: two bytes where the vocabulary fits."""
+    dtype = "<u2" if max(encoder(tokenizer).vocabulary - 1, end_id) < 1 << 16 else "<u4"
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(tokenizer)
+        end = end_id.to_bytes(4, "little")
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = [np.frombuffer(t + end, dtype="<u4").astype(dtype).tobytes() for t in tokens.encode(texts_column(part, "text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([texts_column(part, "doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    # kept as a table, as the range partition reads its input twice, once for the ranges
+    return stored(own.mapInArrow(encode, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids binary"), "ids"), dtype
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents in ascending id order below ``path``; returns the manifest (part, file, docs, n_docs, n_tokens)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokenizer = tokenizer or default_tokenizer()
+    rows, dtype = encoded(docs, tokenizer or default_tokenizer(), end_id, id_col, text_col)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"{path}/part-{context.partitionId():08d}"
-        tokens = writer = index = None
-        end = end_id.to_bytes(4, "little")
+        writer = index = None
         n_docs = 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                if writer is None:
-                    tokens = encoder(tokenizer)
-                    fs, base = file_system(name)
-                    fs.create_dir(base.rpartition("/")[0], recursive=True)
-                    mine = f"{base}.attempt-{context.taskAttemptId()}"
-                    token_sink, doc_sink = fs.open_output_stream(f"{mine}.tokens"), fs.open_output_stream(f"{mine}.docs")
-                    writer = TokenWriter(token_sink, length, "<u2" if max(tokens.vocabulary - 1, end_id) < 1 << 16 else "<u4")
-                    schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
-                    index = pa.ipc.new_file(doc_sink, schema)
-                at, sizes, first = writer.total, [], []
-                for ids in tokens.encode(texts_column(part, "text").to_pylist()):
-                    ids = np.frombuffer(ids + end, dtype="<u4")
-                    writer.append(ids.astype(writer.dtype))
-                    first.append(at)
+            if writer is None and batch.num_rows:
+                fs, base = file_system(name)
+                fs.create_dir(base.rpartition("/")[0], recursive=True)
+                mine = f"{base}.attempt-{context.taskAttemptId()}"
+                token_sink, doc_sink = fs.open_output_stream(f"{mine}.tokens"), fs.open_output_stream(f"{mine}.docs")
+                writer = TokenWriter(token_sink, length, dtype)
+                schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+                index = pa.ipc.new_file(doc_sink, schema)
+            if batch.num_rows:
+                first, sizes = [], []
+                for raw in texts_column(batch, "ids"):
+                    ids = np.frombuffer(raw.as_buffer(), dtype=dtype)
+                    first.append(writer.total)
                     sizes.append(len(ids))
-                    at += len(ids)
-                index.write_batch(pa.record_batch([texts_column(part, "doc_id"), pa.array(first, pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
+                    writer.append(ids)
+                index.write_batch(pa.record_batch([texts_column(batch, "doc_id"), pa.array(first, pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
                 n_docs += len(sizes)
         if writer is not None:
             writer.close()
@@ -154,7 +168,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             _moved(fs, f"{mine}.docs", f"{base}.docs.arrow")
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "tokens": [f"{name}.tokens.arrow"], "docs": [f"{name}.docs.arrow"], "n_docs": [n_docs], "n_tokens": [writer.total]}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.string()), ("docs", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     return stored(ordered.mapInArrow(write, "part int, tokens string, docs string, n_docs long, n_tokens long"), "manifest")
 
 

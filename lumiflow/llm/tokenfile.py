@@ -1,7 +1,6 @@
 """Token ids in Arrow IPC files of fixed-size-list batches.
 
-Texts are encoded where they are read; only their ids are stored in the shared folder and
-shuffled by ranges of the key.  Each task then writes two files of its own key range:
+Texts are encoded where they are read; only their ids are shuffled, by ranges of the key.  Each task then writes two files of its own key range:
 
 * ``part-N.tokens.arrow``: record batches of ``BATCH_ROWS`` sequences, columns ``ids``
   (fixed_size_list<uint16 or uint32>[length]) and ``mask`` (fixed_size_list<bool>[length],
@@ -21,6 +20,7 @@ an empty result; extra columns are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,8 @@ from .tokens import default_tokenizer, encoder
 from .words import slices, texts_column
 
 BATCH_ROWS = 64
+#: Sampled keys for each range of keys.
+SAMPLED = 100
 
 
 class TokenWriter:
@@ -115,26 +117,34 @@ def _moved(fs, source: str, target: str) -> None:
     fs.move(source, target)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """(doc_id, ids as bytes with ``end_id``) in the shared folder, and the ids' type: two bytes where the vocabulary fits."""
+def key_cuts(keys: DataFrame, parts: int) -> list:
+    """At most ``parts - 1`` keys that cut the rows into ranges of near equal counts, from a sample of about ``SAMPLED`` keys a range.
+
+    The sample only balances the ranges; every row belongs to one of them.
+    """
+    total = keys.count()
+    sample = keys.where(keys[0].isNotNull()).sample(min(1.0, SAMPLED * parts / max(1, total)), seed=7)
+    sampled = sorted(r[0] for r in sample.collect())
+    return sorted({sampled[len(sampled) * i // parts] for i in range(1, parts)}) if sampled else []
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write all documents in ascending id order below ``path``; returns the manifest (part, file, docs, n_docs, n_tokens)."""
+    tokenizer = tokenizer or default_tokenizer()
     dtype = "<u2" if max(encoder(tokenizer).vocabulary - 1, end_id) < 1 << 16 else "<u4"
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = key_cuts(own.select("doc_id"), parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             for part in slices(batch, "text"):
+                keys = texts_column(part, "doc_id")
+                place = [0 if k is None else bisect_left(cuts, k) for k in keys.to_pylist()]
                 ids = [np.frombuffer(t + end, dtype="<u4").astype(dtype).tobytes() for t in tokens.encode(texts_column(part, "text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([texts_column(part, "doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    # kept as a table, as the range partition reads its input twice, once for the ranges
-    return stored(own.mapInArrow(encode, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids binary"), "ids"), dtype
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all documents in ascending id order below ``path``; returns the manifest (part, file, docs, n_docs, n_tokens)."""
-    rows, dtype = encoded(docs, tokenizer or default_tokenizer(), end_id, id_col, text_col)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(place, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "place", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -168,7 +178,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             _moved(fs, f"{mine}.docs", f"{base}.docs.arrow")
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "tokens": [f"{name}.tokens.arrow"], "docs": [f"{name}.docs.arrow"], "n_docs": [n_docs], "n_tokens": [writer.total]}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.string()), ("docs", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # ranges that are known before make one pass: a range partition would run the encoder twice, once for its ranges
+    rows = own.mapInArrow(encode, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, place int, ids binary")
+    ordered = rows.repartitionById(parts, "place").drop("place").sortWithinPartitions("doc_id", "ids")
     return stored(ordered.mapInArrow(write, "part int, tokens string, docs string, n_docs long, n_tokens long"), "manifest")
 
 

@@ -80,6 +80,19 @@ def unpad_window(now_w: Column, now_h: Column, w: Column, h: Column) -> tuple[Co
     return F.when(wide, zero).otherwise(pad_x), F.when(wide, pad_y).otherwise(zero), F.when(wide, now_w).otherwise(now_w - pad_x), F.when(wide, now_h - pad_y).otherwise(now_h)
 
 
+def merged_features(features: Column, side: int, grid_w: Column, grid_h: Column, w: Column, h: Column, newline: Column) -> Column:
+    """Patch features of a picture in reading order: the thumbnail's ``side`` x ``side``, then the tiles' as one grid, cropped to the picture's shape, each line ended by ``newline``.
+
+    ``features`` has the thumbnail first, then tiles row by row, each row by row.
+    """
+    x0, y0, x1, y1 = unpad_window(grid_w * side, grid_h * side, w, h)
+    half = lambda v: F.floor(v / side).cast("int")
+    at = lambda y, x: side * side * (1 + half(y) * grid_w + half(x)) + (y % side) * side + x % side
+    upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    line = lambda y: F.concat(F.transform(upto(x0, x1), lambda x: F.get(features, at(y, x).cast("int"))), F.array(newline))
+    return F.concat(F.slice(features, 1, side * side), F.flatten(F.transform(upto(y0, y1), line)))
+
+
 def normalised(pixel: Column) -> Column:
     """A byte in [-1, 1]."""
     return (pixel / 255.0 - 0.5) * 2

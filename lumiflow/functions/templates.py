@@ -113,6 +113,17 @@ def with_image_first(t: Template, messages: Column) -> Column:
     return F.concat(F.array(F.struct(messages[0]["role"].alias("role"), F.concat(F.lit(IMAGE + "\n"), text).alias("text"))), rest)
 
 
+def with_image_marks(text: Column, images: Column) -> Column:
+    """A message of the CHATML style with a mark for each of its images in front."""
+    return F.concat(F.repeat(F.lit(IMAGE), images.cast("int")), F.coalesce(text, F.lit("")))
+
+
+def interleaved(prompt: Column, images: Column) -> Column:
+    """Pieces of a prompt between image marks, each followed by its image as long as there are any."""
+    pieces = F.split(F.replace(prompt, F.lit(f" {IMAGE}\n"), F.lit(IMAGE)), IMAGE)
+    return F.flatten(F.transform(pieces, lambda p, i: F.when(i < F.size(images), F.array(p, F.get(images, i))).otherwise(F.array(p))))
+
+
 def image_to_front(text: Column, tagged: bool = False, start_end: bool = False) -> Column:
     """Put the image mark on a line of its own before a message that has one."""
     moved = strip(F.concat(F.lit(IMAGE + "\n"), strip(F.replace(text, F.lit(IMAGE), F.lit("")))))

@@ -30,6 +30,17 @@ def usable_turns(turns: DataFrame, conv: str = "conv_id", order: str = "turn", r
     return kept.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("alternates", F.col("role_no") == F.col("pos") % 2)
 
 
+def training_turns(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
+    """Turns as the trainer numbers them: after a first turn that answers is dropped, turns of unknown roles are left out but still counted.
+
+    Adds ``role_no``, ``pos`` and ``alternates``.  A conversation whose first role is unknown has no rows.
+    """
+    w = Window.partitionBy(conv).orderBy(order)
+    rows = turns.withColumn("role_no", role_index(F.col(role))).withColumn("__first", F.first("role_no").over(w))
+    rows = rows.withColumn("pos", (F.row_number().over(w) - 1 - F.col("__first")).cast("long"))  # null where the first role is
+    return rows.where("role_no is not null and pos >= 0").drop("__first").withColumn("alternates", F.col("role_no") == F.col("pos") % 2)
+
+
 def messages(turns: DataFrame, roles: tuple[str, str], conv: str = "conv_id", text: str = "text") -> DataFrame:
     """(conv, messages): one ordered array<struct<role, text>> for each conversation. A conversation is one record, so the array is as long as it."""
     named = F.when(F.col("role_no") == 0, roles[0]).otherwise(roles[1])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Seconds without a heartbeat before a worker is dropped, and between sweeps.
 EXPIRATION, SWEEP = 30, 30
+#: Seconds between a worker's own heartbeats, and calls that it runs at once.
+BEAT, CONCURRENT = 15, 5
 ERRORS = {0: "ok", 1: "worker exception", 2: "no worker", 3: "timeout"}
 
 
@@ -52,7 +54,11 @@ def model_list(workers: DataFrame, models: str = "model_names") -> DataFrame:
 
 def status(workers: DataFrame) -> DataFrame:
     """One row: all models, and the sums of speed and queue over workers that answer (queue not null)."""
-    return workers.where("queue_length is not null").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("model_names")))).alias("model_names"), F.sum("speed").cast("long").alias("speed"), F.sum("queue_length").alias("queue_length"))
+    answering = workers.where("queue_length is not null")
+    sums = answering.agg(F.sum("speed").cast("long").alias("speed"), F.sum("queue_length").alias("queue_length"))
+    # distinct names before they are gathered: a row for each model of a pool
+    names = model_list(answering).agg(F.array_sort(F.collect_list("model")).alias("model_names"))
+    return names.crossJoin(F.broadcast(sums)).select("model_names", "speed", "queue_length")  # one row and one row
 
 
 def lottery_weights(rows: DataFrame, model: str = "model") -> DataFrame:
@@ -84,6 +90,21 @@ def queue_length(limit: Column, permits: Column, waiters: Column) -> Column:
     return limit - permits + waiters
 
 
+def admission(calls: DataFrame, step: Column, order: list[str], limit: int = CONCURRENT, key: str = "worker", ts: str = "ts") -> DataFrame:
+    """Adds ``running``, ``waiting``, ``queue_length`` and ``timed_beats`` after each call; ``step`` is 1 where a slot is asked for and -1 where one is given back.
+
+    At most ``limit`` calls run and the rest wait; giving back with none out changes nothing, so
+    what is out is the running sum above its lowest point.  A worker sends its queue with every
+    call and every ``BEAT`` seconds from its first; ``timed_beats`` counts the latter since the call before.
+    """
+    w = Window.partitionBy(key).orderBy(ts, *order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = calls.withColumn("__s", F.sum(step).over(upto)).withColumn("queue_length", F.col("__s") - F.least(F.lit(0), F.min("__s").over(upto)))
+    ticks = F.floor((F.unix_timestamp(ts) - F.unix_timestamp(F.min(ts).over(upto))) / BEAT)
+    rows = rows.withColumn("__t", ticks).withColumn("timed_beats", F.col("__t") - F.coalesce(F.lag("__t").over(w), F.lit(0)))
+    return rows.withColumns({"running": F.least("queue_length", F.lit(limit)), "waiting": F.greatest(F.col("queue_length") - limit, F.lit(0))}).drop("__s", "__t")
+
+
 def user_text(text: Column, has_image: Column) -> Column:
     """What a chat keeps of a message: 1536 characters, 1200 with an image, whose mark is added if absent."""
     cut = F.substring(text, 1, 1536)

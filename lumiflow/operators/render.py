@@ -185,6 +185,11 @@ def latent_head(rows: DataFrame, layers: Sequence[tuple[Matrix, Sequence[float]]
     return rows.select(id_col, F.col(latent).cast("array<double>")).mapInArrow(run, f"{id_col} {kind}, out array<double>")
 
 
+def special_latent(ids: Column, states: Column, tokens: Sequence[int]) -> Column:
+    """The states at the first place of each of ``tokens`` in generated ``ids``, joined; null where one is missing."""
+    return F.concat(*(F.get(states, (F.nullif(F.array_position(ids, t), F.lit(0)) - 1).cast("int")) for t in tokens))
+
+
 def slider_prediction(latent: Column, weight: Matrix, bias: Sequence[float]) -> Column:
     """Sigmoids of a linear map of a latent."""
     return F.transform(linear(latent, weight, bias), sigmoid)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Weights that may be missing in a base or larger than there, and names that adapters leave out.
 ONLY_IN_TARGET = ("model.mm_projector.weight", "model.mm_projector.bias")
 MAY_GROW = ("model.embed_tokens.weight", "lm_head.weight")
+ADAPTER, EMBEDDINGS = ("mm_projector", "vision_resampler"), ("embed_tokens", "embed_in")
 MULTIMODAL = ("mm_projector", "vision_tower", "vision_resampler")
 
 
@@ -56,6 +57,18 @@ def state_filters(weights: DataFrame) -> DataFrame:
     return rows.select(*weights.columns, lora.alias("lora"), (lora | name.contains("bias")).alias("lora_all"), (lora | F.col("__bias").isNotNull()).alias("lora_only"), (~lora & F.col("requires_grad")).alias("non_lora"), any_part(name, ("mm_projector",)).alias("adapter"))
 
 
+def sinks(weights: DataFrame, start_end: bool = False) -> DataFrame:
+    """(columns of ``weights``, sink): a row for each file that a weight is saved to.
+
+    ``mm_projector`` is the adapter alone, with embeddings where marks of start and end are learned;
+    ``adapter_model`` and ``non_lora_trainables`` are the two parts of low-rank training.
+    """
+    flagged = state_filters(weights)
+    adapter = any_part(F.col("name"), ADAPTER + (EMBEDDINGS if start_end else ()))
+    names = F.array(F.when(adapter, "mm_projector"), F.when(F.col("lora_only"), "adapter_model"), F.when(F.col("non_lora"), "non_lora_trainables"))
+    return flagged.select(*weights.columns, F.explode(F.array_compact(names)).alias("sink"))
+
+
 def optimizer_groups(params: DataFrame, rates: dict[str, float], decay: float) -> DataFrame:
     """(name, rate_key, weight_decay) for each parameter that learns; biases and norms don't decay, a keyword in the name sets the rate."""
     name = F.col("name")

@@ -230,7 +230,10 @@ def w01(d):
     return d.conversations.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("ordinal"))
 
 
-@query("z08_special_tokens", " UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS token" for k, ts in pm.SPECIAL_TOKENS.items() for t in ts))
+@query("z08_special_tokens", """SELECT * FROM (VALUES ('retouch', '<retouch_light>'), ('retouch', '<retouch_color&temp>'), ('retouch', '<retouch_colormixer>'),
+('problem', '<problem_light_start>'), ('problem', '<problem_light_end>'), ('problem', '<problem_globalcolor_start>'), ('problem', '<problem_globalcolor_end>'), ('problem', '<problem_specificcolor_start>'), ('problem', '<problem_specificcolor_end>'),
+('plan', '<plan_light_start>'), ('plan', '<plan_light_end>'), ('plan', '<plan_globalcolor_start>'), ('plan', '<plan_globalcolor_end>'), ('plan', '<plan_specificcolor_start>'), ('plan', '<plan_specificcolor_end>'),
+('task', '<Auto_Retouch_Task>'), ('task', '<Style_Retouch_Task>'), ('task', '<Professional_Retouch_Task>')) t(kind, token)""")
 def z08(d):
     return d.spark.createDataFrame([(k, t) for k, ts in pm.SPECIAL_TOKENS.items() for t in ts], "kind string, token string")
 

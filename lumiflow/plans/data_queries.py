@@ -185,14 +185,9 @@ SLOTS = "CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 0 END"
 
 @query("j05_feature_slots", f"WITH c AS (SELECT DISTINCT conv_id, {SLOTS} AS n FROM conversations) SELECT conv_id, CAST(coalesce(sum(greatest(n, 1)) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_feature FROM c")
 def j05(d):
-    from pyspark.sql import Window
-
-    # a batch is what one step holds, so its window is small; here batches are told by nothing and the table is one batch
-    rows = d.conversations.select("conv_id").distinct().withColumn("n", F.when(has_image(), 2).otherwise(0)).withColumn("batch", F.floor(F.col("conv_id") / 64))
-    own = F.sum(F.greatest("n", F.lit(1))).over(Window.partitionBy("batch").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1))
-    sums = rows.groupBy("batch").agg(F.sum(F.greatest("n", F.lit(1))).alias("all"))
-    before = sums.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
-    return rows.withColumn("own", F.coalesce(own, F.lit(0))).join(before, "batch").select("conv_id", (F.col("own") + F.col("before")).cast("long").alias("first_feature"))
+    # batches are told by nothing here, so the table is one batch
+    rows = d.conversations.select("conv_id").distinct().withColumn("n", F.when(has_image(), 2).otherwise(0))
+    return bt.running_sum(rows, ["conv_id"], F.greatest("n", F.lit(1)), "first_feature").select("conv_id", "first_feature")
 
 
 @query("w09_split_offsets", "SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
@@ -258,7 +253,8 @@ def m06(d):
     return rows.select("conv_id", masks.legacy_labels(F.lit("A header."), lines)[1].alias("labels"))
 
 
-@query("m07_mask_router", " UNION ALL ".join(f"SELECT '{t.name}' AS name, '{ {'PLAIN': 'plain', 'LLAMA_2': 'llama_2'}.get(t.style) or ('v1' if t.version.startswith('v1') else 'mpt' if t.version == 'mpt' else 'qwen' if t.version.startswith('qwen_v2') else 'legacy')}' AS mask" for t in T.values()))
+@query("m07_mask_router", """SELECT * FROM (VALUES ('default', 'qwen'), ('v0', 'legacy'), ('v1', 'v1'), ('vicuna_v1', 'v1'), ('qwen_2', 'qwen'), ('llama_2', 'llama_2'), ('mistral_instruct', 'llama_2'), ('chatml_direct', 'mpt'), ('mistral_direct', 'mpt'),
+('plain', 'plain'), ('v0_plain', 'plain'), ('llava_v0', 'legacy'), ('v0_mmtag', 'legacy'), ('llava_v1', 'v1'), ('v1_mmtag', 'v1'), ('llava_llama_2', 'llama_2'), ('mpt', 'mpt')) t(name, mask)""")
 def m07(d):
     v = F.col("version")
     mask = F.when(F.col("style") == "PLAIN", "plain").when(F.col("style") == "LLAMA_2", "llama_2").when(v.startswith("v1"), "v1").when(v == "mpt", "mpt").when(v.startswith("qwen_v2"), "qwen").otherwise("legacy")

@@ -6,14 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import templates as tp
 from ..functions import tokens as tk
 from ..operators import chat
+from ..operators import registry as rg
 from ..operators import render as rn
+from ..operators import weights as wt
 from ..sources.readers import CORPUS, corpus_turns
-from .catalog import query
-from .chat_queries import TURNS
-from .data_queries import _PADDED, SIZES, _batch, _sizes, j05, size_columns
-from .system_queries import _H, B1, B2, W1, W2, WZ, _lin, _out_sql, _pixels, _round
+from .catalog import query, quoted
+from .chat_queries import CHATML, TURNS, _prompt_sql
+from .data_queries import _PADDED, IDS, SIZES, _batch, _ids, _sizes, j05, size_columns
+from .system_queries import _H, B1, B2, EVENTS, NAMED, W1, W2, WZ, _events, _lin, _out_sql, _pixels, _round, _weights
 
 
 @query("s01_corpus_records", "SELECT conv_id, CAST(turn - min(turn) OVER (PARTITION BY conv_id) AS BIGINT) AS turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS role, text, CAST(conv_id % 4 AS INTEGER) AS img_path_idx FROM conversations")
@@ -114,3 +117,108 @@ def n09(d):
     z = d.embeddings.select("vec_id", rn.linear(rn.relu(rn.masked_latent(_values(1, 6), mask, 2)), WZ, [0.0] * 4).alias("k"))
     rows = _pixels(d).withColumn("vec_id", F.col("image_id") % 500).join(z, "vec_id")
     return rn.pixel_mlp(rows, [(W1, B1)], (W2, B2), conditions=[("add", "k")]).select("image_id", "px", _round("out").alias("out"))
+
+
+# ---- turns, prompts and records as they are
+
+
+@query("p11_turn_index", """WITH k AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 3 THEN NULL WHEN role = 'user' THEN 0 WHEN role = 'assistant' THEN 1 END AS role_no FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, first_value(role_no) OVER (PARTITION BY conv_id ORDER BY turn) AS head FROM k)
+SELECT conv_id, turn, CAST(i - head AS BIGINT) AS pos, role_no = (i - head) % 2 AS alternates FROM n WHERE role_no IS NOT NULL AND head IS NOT NULL AND i >= head""")
+def p11_index(d):
+    role = F.when((F.col("conv_id") + F.col("turn")) % 7 == 3, "narrator").otherwise(F.col("role"))
+    return chat.training_turns(d.conversations.withColumn("role", role)).select("conv_id", "turn", "pos", "alternates")
+
+
+@query("f03_chatml_images", f"WITH {TURNS.replace('t AS (', 'u AS (')}, t AS (SELECT conv_id, turn, CASE WHEN pos = 0 THEN repeat('<image>', conv_id % 3) || text ELSE text END AS text, role_no, pos FROM u) {_prompt_sql(CHATML)}")
+def f03_images(d):
+    rows = chat.messages(chat.usable_turns(d.conversations), CHATML.roles)
+    images = F.col("conv_id") % 3
+    said = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), F.when(i == 0, tp.with_image_marks(m["text"], images)).otherwise(m["text"]).alias("text")))
+    return rows.select("conv_id", tp.render(CHATML, said).alias("prompt"))
+
+
+@query("f13_interleaved", "WITH p AS (SELECT conv_id, turn, [text, text, 'end'] AS p FROM conversations) SELECT conv_id, turn, list_filter(flatten(list_transform(range(3), lambda i: [p[i + 1], CASE WHEN i < conv_id % 4 THEN 'image ' || i END])), lambda x: x IS NOT NULL) AS pieces FROM p")
+def f13_interleaved(d):
+    images = F.slice(F.array(*(F.lit(f"image {i}") for i in range(3))), F.lit(1), (F.col("conv_id") % 4).cast("int"))
+    prompt = F.concat("text", F.lit(" <image>\n"), "text", F.lit("<image>end"))
+    return d.conversations.select("conv_id", "turn", tp.interleaved(prompt, images).alias("pieces"))
+
+
+@query("f18_conversation_record", f"WITH {TURNS} SELECT conv_id, {quoted(tp.QWEN)} AS system, list([CAST(role_no AS VARCHAR), text] ORDER BY pos) AS messages FROM t GROUP BY conv_id")
+def f18_record(d):
+    rows = chat.messages(chat.usable_turns(d.conversations), ("0", "1"))
+    js = F.to_json(F.struct(F.lit(tp.QWEN).alias("system"), F.transform("messages", lambda m: F.array(m["role"], m["text"])).alias("messages"), F.lit(0).alias("offset")))
+    return rows.select("conv_id", F.from_json(js, "system string, messages array<array<string>>").alias("r")).select("conv_id", "r.system", "r.messages")
+
+
+@query("z05_token_lengths", f"SELECT conv_id, turn, list_slice({IDS}, 1, 64) AS ids, CAST(len(list_filter(list_slice({IDS}, 1, 64), lambda x: x <> 101)) AS BIGINT) AS n FROM conversations")
+def z05_lengths(d):
+    rows = _ids(d).withColumn("ids", F.slice("ids", 1, 64))
+    return rows.select("conv_id", "turn", "ids", (F.size("ids") - tk.count_id(F.col("ids"), 101)).cast("long").alias("n"))
+
+
+# ---- pictures
+
+
+@query("r11_merged_features", """WITH s AS (SELECT vec_id, embedding, 64 + vec_id * 37 % 4000 AS w, 64 + vec_id * 91 % 3000 AS h FROM embeddings),
+u AS (SELECT *, CASE WHEN w / CAST(h AS DOUBLE) > 1.5 THEN 0 ELSE (6 - CAST(trunc(w * (4.0::DOUBLE / h)) AS BIGINT)) // 2 END AS px, CASE WHEN w / CAST(h AS DOUBLE) > 1.5 THEN (4 - CAST(trunc(h * (6.0::DOUBLE / w)) AS BIGINT)) // 2 ELSE 0 END AS py FROM s)
+SELECT vec_id, list_concat(embedding[1:4], flatten(list_transform(range(py, 4 - py), lambda y: list_concat(list_transform(range(px, 6 - px), lambda x: embedding[5 + (y // 2 * 3 + x // 2) * 4 + y % 2 * 2 + x % 2]), [CAST(-1 AS FLOAT)])))) AS merged FROM u""")
+def r11_merged(d):
+    v = F.col("vec_id")
+    w, h = (F.lit(64) + v * 37 % 4000).cast("int"), (F.lit(64) + v * 91 % 3000).cast("int")
+    return d.embeddings.select(v, g.merged_features(F.col("embedding"), 2, F.lit(3), F.lit(2), w, h, F.lit(-1.0).cast("float")).alias("merged"))
+
+
+@query("g16_patch_floor", "SELECT p_partkey, CAST((p_partkey % 700 // 14) * (p_partkey % 700 // 14) AS BIGINT) AS patches FROM part")
+def g16_floor(d):
+    side = F.floor(F.col("p_partkey") % 700 / 14)
+    return d.part.select("p_partkey", (side * side).cast("long").alias("patches"))
+
+
+# ---- a generation as one plan: ids to states, states to a latent, the latent masked, pictures rendered by it
+
+_STATE = ", ".join(f"CAST(embedding[vec_id % 4 * 2 + {j}] AS DOUBLE)" for j in (1, 2, 5, 6, 7, 8))
+_GENERATED = f"""e AS (SELECT vec_id, [{_STATE}] AS x FROM embeddings),
+h1 AS (SELECT vec_id, list_transform(range(6), lambda i: list_sum(list_transform(range(6), lambda j: ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE * x[j + 1])) + (i % 5 - 2) / 10.0::DOUBLE) AS h FROM e),
+n1 AS (SELECT vec_id, list_transform(h, lambda v: (v - m) / sqrt(s + 1e-5::DOUBLE)) AS n FROM (SELECT *, list_avg(h) AS m, list_var_pop(h) AS s FROM h1)),
+g1 AS (SELECT vec_id, list_transform(n, lambda v: 0.5::DOUBLE * v * (1 + exp(-v * v / 2) * list_sum(list_transform(range(120), lambda k: pow(v / sqrt(2.0::DOUBLE), 2 * k + 1) / gamma(k + 1.5::DOUBLE))))) AS x FROM n1),
+o1 AS (SELECT vec_id, list_transform(range(6), lambda i: (list_sum(list_transform(range(6), lambda j: ((i * 3 + j) % 7 - 3) / 10.0::DOUBLE * x[j + 1])) + i / 10.0::DOUBLE) * CASE WHEN i // 2 = 1 THEN vec_id % 2 ELSE 1 END) AS o FROM g1),
+z AS (SELECT vec_id, {", ".join(f"{e} AS k{i}" for i, e in enumerate(_lin(WZ, [0.0] * 4, [f"greatest(o[{j + 1}], 0.0::DOUBLE)" for j in range(6)])))} FROM o1)"""
+
+
+@query("n25_generated_retouch", f"WITH {_H}, {_GENERATED} SELECT image_id, px, {_out_sql(' + k{0}')} FROM n JOIN z ON n.image_id % 500 = z.vec_id")
+def n25(d):
+    # states of nine steps; the three marks come after up to three other ids, the first of them twice
+    ids = F.concat(F.array_repeat(F.lit(7), (F.col("vec_id") % 4).cast("int")), F.array(*(F.lit(i) for i in (900, 5, 901, 902, 900))))
+    states = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda s: F.transform(F.slice("embedding", s * 2 + 1, F.lit(2)), lambda x: x.cast("double")))
+    latents = d.embeddings.select("vec_id", rn.special_latent(ids, states, (900, 901, 902)).alias("latent"))
+    made = lambda a, b, m: [[((i * a + j * b) % m - m // 2) / 10.0 for j in range(6)] for i in range(6)]
+    head = rn.latent_head(latents, [(made(7, 3, 11), [(i % 5 - 2) / 10.0 for i in range(6)])], (made(3, 1, 7), [i / 10.0 for i in range(6)]), "vec_id", "latent")
+    mask = F.array(F.lit(1.0), (F.col("vec_id") % 2).cast("double"), F.lit(1.0))
+    z = head.select("vec_id", rn.linear(rn.relu(rn.masked_latent(F.col("out"), mask, 2)), WZ, [0.0] * 4).alias("k"))
+    rows = _pixels(d).withColumn("vec_id", F.col("image_id") % 500).join(z, "vec_id")
+    return rn.pixel_mlp(rows, [(W1, B1)], (W2, B2), conditions=[("add", "k")]).select("image_id", "px", _round("out").alias("out"))
+
+
+# ---- the worker's side of the pool, and what a trainer saves
+
+
+@query("x07_admission", f"""WITH {EVENTS}, s AS (SELECT event_id, worker, ts, sum(CASE WHEN model IN ('click', 'view') THEN 1 ELSE -1 END) OVER w AS s FROM e WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id)),
+q AS (SELECT event_id, worker, s - least(0, min(s) OVER (PARTITION BY worker ORDER BY ts, event_id)) AS q FROM s) SELECT event_id, worker, CAST(least(q, 5) AS BIGINT) AS running, CAST(greatest(q - 5, 0) AS BIGINT) AS waiting FROM q""")
+def x07(d):
+    step = F.when(F.col("model").isin("click", "view"), 1).otherwise(-1)
+    return rg.admission(_events(d), step, ["event_id"]).select("event_id", "worker", F.col("running").cast("long").alias("running"), F.col("waiting").cast("long").alias("waiting"))
+
+
+@query("x04_worker_beats", f"""WITH {EVENTS}, s AS (SELECT event_id, worker, ts, sum(CASE WHEN model = 'click' THEN 1 ELSE -1 END) OVER w AS s, CAST(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', first_value(ts) OVER w)) AS BIGINT) // 15 AS t FROM e WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id))
+SELECT event_id, worker, CAST(s - least(0, min(s) OVER w) AS BIGINT) AS queue_length, CAST(t - coalesce(lag(t) OVER w, 0) AS BIGINT) AS timed_beats FROM s WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id)""")
+def x04(d):
+    step = F.when(F.col("model") == "click", 1).otherwise(-1)
+    return rg.admission(_events(d), step, ["event_id"]).select("event_id", "worker", F.col("queue_length").cast("long").alias("queue_length"), F.col("timed_beats").cast("long").alias("timed_beats"))
+
+
+@query("k07_weight_sinks", f"""WITH w AS (SELECT {NAMED} AS name, vec_id FROM embeddings), s AS (SELECT DISTINCT string_split(name, 'lora_')[1] || 'bias' AS b FROM w WHERE contains(name, 'lora_'))
+SELECT vec_id, 'mm_projector' AS sink FROM w WHERE contains(name, 'mm_projector') UNION ALL SELECT vec_id, 'adapter_model' FROM w WHERE contains(name, 'lora_') OR name IN (SELECT b FROM s) UNION ALL SELECT vec_id, 'non_lora_trainables' FROM w WHERE NOT contains(name, 'lora_') AND vec_id % 13 <> 0""")
+def k07(d):
+    return wt.sinks(_weights(d).select("vec_id", "name", "requires_grad")).select("vec_id", "sink")

@@ -288,6 +288,22 @@ def test_weights_draw_in_proportion(spark):
         sharding.rendezvous_shard(F.lit(1), (1.0, 0.0))
 
 
+def test_shards_by_hand(spark, sf):
+    """Shard, grown shard, size and checksum, made again outside Spark."""
+    import hashlib
+
+    def costs(key, n):
+        return [(-math.log((int(hashlib.md5(f"{key}|{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52), s) for s in range(n)]
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in d.collect()}
+    rows = sharding.shard_documents(d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw, key = texts[r["doc_id"]], r["doc_id"]
+        assert (r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), min(costs(key, 8))[1], min(costs(key, 9))[1])
+
+
 def test_shards_odd_cases(spark, tmp_path):
     rows = sharding.shard_documents(docs(spark)).collect()
     assert len(rows) == len(ROWS) and all(r["size"] == 1 and r["text_crc32"] == 0 for r in rows if r["doc_id"] == 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_repair import repaired_conversations
 from .decontam import contamination_report
 from .dedup import near_duplicates
 from .langid import language_report
@@ -13,8 +14,10 @@ from .packing import pack_documents
 from .quality_lm import quality_scores
 from .quality_rules import quality_report
 from .sharding import shard_documents
+from .spelling import spelling_variants
 from .tokenfile import tokens_round_trip
 from .toxicity import toxicity_report
+from .vector_dedup import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +64,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_decontamination, op4_near_dedup, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_language_id, op10_sharding)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_decontamination, op4_near_dedup, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_language_id, op10_sharding, op11_conversation_repair, op12_spelling_variants, op13_vector_dedup)}

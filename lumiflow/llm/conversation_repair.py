@@ -158,9 +158,9 @@ def damaged(rows: DataFrame) -> DataFrame:
     return out.withColumns({"blank": ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), "cut": ~ended})
 
 
-def _ranged(rows: DataFrame, *more: str) -> DataFrame:
+def _ranged(rows: DataFrame, *more: Column) -> DataFrame:
     """Sorted by conversation and turn over even ranges."""
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), *map(F.col, ("role", "text", *more))]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), *more]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
@@ -226,12 +226,12 @@ def _inside(rows: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows of long conversations with their fault, range, and place in it."""
+    """Rows of long conversations with their fault, range, and place in it; of equal rows the one that is no duplicate comes first."""
     from pyspark.sql import Window
 
     again = F.row_number().over(Window.partitionBy("conv_id", "role", "text").orderBy(F.col("turn").asc_nulls_first())) > 1
     fault = F.when(F.col("blank"), 1).when(again, 2).when(F.col("cut"), 3).otherwise(0)
-    kind = rows.schema["conv_id"].dataType.simpleString()
+    kind, size = rows.schema["conv_id"].dataType.simpleString(), BLOCK
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -240,10 +240,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             places = pa.array(range(at, at + n), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int64()), places, pa.array([x // BLOCK for x in range(at, at + n)], pa.int64())], names=[*batch.schema.names, "part", "place", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int64()), places, pa.array([x // size for x in range(at, at + n)], pa.int64())], names=[*batch.schema.names, "part", "place", "block"])
             at += n
 
-    return _ranged(rows.select("conv_id", "turn", "role", "text", fault.alias("fault")), "fault").mapInArrow(number, f"conv_id {kind}, turn long, role string, text string, fault int, part long, place long, block long")
+    return _ranged(rows.select("conv_id", "turn", "role", "text", fault.alias("fault")), F.col("fault") == 2).mapInArrow(number, f"conv_id {kind}, turn long, role string, text string, fault int, part long, place long, block long")
 
 
 def _derived(rows: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ components.  Members of buckets that still hold two components (without the hub,
 done) then go through an exact prefix-filtered join, the same for groups of any size: a set's shingles are
 ordered by how few of these sets hold them; of a pair at ``percent`` the smaller set's first
 n - ceil(2p / (1 + p) n) + 1 and the larger one's first n - ceil(p n) + 1 must share one, at places that
-leave room for the overlap, and only pairs of two components count.  So
-postings are read, not pairs, no candidate is dropped, and a frequent shingle's postings can be
+leave room for the overlap, and only pairs of two components count.  Of a shingle's postings those outside its largest component
+are joined with all, so the work grows with a component's members times those that aren't in it; no candidate is dropped, and a frequent shingle's postings can be
 split as any skewed join.  Every candidate is confirmed on the full shingle sets, made again from the texts.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing;
@@ -198,14 +198,27 @@ def prefix_pairs(members: DataFrame, k: int, percent: int) -> DataFrame:
     first = F.slice("t", F.lit(1), F.greatest(F.lit(0), most - (n - shared)).cast("int"))
     places = ranked.select("rep", "label", "n", least.alias("least"), (n - shared).alias("alone"), F.posexplode(first).alias("i", "x")).where("x.mixed")
     places = stored(places.select("rep", "label", "n", "least", (F.col("alone") + F.col("i")).alias("place"), F.col("x.token").alias("token")), "postings")
-    small = places.where("place < least").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "label", "n", "place")))
-    large = places.select("token", *(F.col(c).alias(f"{c}2") for c in ("rep", "label", "n", "place")))
-    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("rep1") < F.col("rep2")))
+    few, all_ = sides(places)
+    # of a pair the smaller set shows its shorter prefix
+    first_is_small = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("rep1") < F.col("rep2")))
+    shown = F.when(first_is_small, F.col("place1") < F.col("least1")).otherwise(F.col("place2") < F.col("least2"))
     room = (100 + percent) * F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= percent * (F.col("n1") + F.col("n2"))
-    found = small.hint("merge").join(large, "token").where((F.col("label1") != F.col("label2")) & ordered & _fits(F.col("n1"), F.col("n2"), percent) & room)
+    found = few.hint("merge").join(all_, "token").where((F.col("label1") != F.col("label2")) & shown & _fits(F.least("n1", "n2"), F.greatest("n1", "n2"), percent) & room)
     return found.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
+def sides(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join of postings (token, rep, label, n, least, place): those outside their token's largest label, and all.
+
+    Of a pair of two labels one is outside, so members of one large component are never joined with each other.
+    """
+    counts = places.groupBy("token", "label").agg(F.count("*").alias("g"))
+    largest = counts.groupBy("token").agg(F.max(F.struct("g", "label"))["label"].alias("largest"))
+    columns = ("rep", "label", "n", "least", "place")
+    few = places.hint("merge").join(largest, "token").where("label <> largest").select("token", *(F.col(c).alias(f"{c}1") for c in columns))
+    return few, places.select("token", *(F.col(c).alias(f"{c}2") for c in columns))
+
+
 def _links(own: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Links that join the components of representatives (rep, th, n, buckets); None if no bucket holds two."""
     rows = reps.select("rep", "n", F.explode("buckets").alias("bucket"))

@@ -124,3 +124,26 @@ def test_components_of_paths_and_stars(spark, monkeypatch, held):
     rng.shuffle(links)
     got = {r["vertex"]: r["component"] for r in cc.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     assert all(got[i] == i // 40 * 40 for i in range(200)) and all(got[i] == 1000 for i in range(1000, 1100))
+
+
+def test_postings_of_one_component_are_not_joined_with_each_other(spark):
+    """One large component and three stragglers: joined rows grow with the members, not with their square."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+
+    def joined(size):
+        rows = []
+        for i in range(size + 3):
+            w = list(base)
+            for j in rng.sample(range(80), 3 if i < size else 16):
+                w[j] = f"x{i}_{j}"
+            rows.append((i, 0, 0 if i < size else i, len(w) - 1, " ".join(w)))
+        d = spark.createDataFrame([(i, t) for i, _, _, _, t in rows], "doc_id long, text string").withColumn("th", F.lit(0).cast("long"))
+        labels = F.when(F.col("doc_id") < size, F.lit(0)).otherwise(F.col("doc_id")).cast("long")
+        members = dedup._packed(d.select("doc_id", "th", "text")).select(F.col("doc_id").alias("rep"), "th", labels.alias("label"), "z")
+        tokens = dedup._shingles(members, 2).select("token", "rep", "label", "n", F.lit(99).alias("least"), F.lit(1).alias("place"))
+        few, every = dedup.sides(dedup.stored(tokens))
+        return few.join(every, "token").count()
+
+    small, large = joined(100), joined(400)
+    assert 0 < small and large < small * 4**1.1

@@ -89,7 +89,7 @@ def test_odd_cases(spark):
     assert results(vd.near_vectors(table(spark, rows))) == reference(rows)
     assert vd.near_vectors(table(spark, rows).limit(0)).count() == 0
     with pytest.raises(TypeError):
-        vd.near_vectors(table(spark, rows).withColumn("vec_id", table(spark, rows)["vec_id"].cast("string")))
+        vd.near_vectors(table(spark, rows).selectExpr("cast(vec_id as string) as vec_id", "embedding", "label"))
 
 
 def test_one_row_of_each_group_stays(spark):

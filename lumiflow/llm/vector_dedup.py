@@ -84,8 +84,9 @@ def _usable(v: str, label: str, key: str) -> Column:
     return F.coalesce(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """f1, f2, u (unit vector), near and first (sets of pivots; null without pivots) of each class."""
+def _described(classes: DataFrame, pivots: dict[int, np.ndarray], single: bool) -> DataFrame:
+    """f1, f2, u (the vector's bytes, in ``single`` precision where that is all it has), near and first (sets of pivots; null without pivots) of each class."""
+    number = np.float32 if single else np.float64
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +95,7 @@ def _described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 lists = None if p is None else nearest(u, p)
                 sets = [[None] * len(at)] * 2 if lists is None else [[x.tobytes() for x in bits(lists[:, :n])] for n in (NEAREST, LISTED)]
                 rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("label", "f1", "f2", "id", "copies")), pa.array([x.tobytes() for x in u], pa.binary()), *(pa.array(x, pa.binary()) for x in sets)], names=["label", "f1", "f2", "id", "copies", "u", "near", "first"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("label", "f1", "f2", "id", "copies")), pa.array([np.array(x, number).tobytes() for x in batch.column("v").take(rows).to_pylist()], pa.binary()), *(pa.array(x, pa.binary()) for x in sets)], names=["label", "f1", "f2", "id", "copies", "u", "near", "first"])
 
     kind = classes.schema["label"].dataType.simpleString()
     return classes.mapInArrow(describe, f"label {kind}, f1 long, f2 long, id long, copies long, u binary, near binary, first binary")
@@ -116,7 +117,7 @@ def _listed(described: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("label", "d", "f1", "f2")), pa.array(p, pa.int32()), pa.array(q, pa.int32())], names=["label", "d", "f1", "f2", "p", "q"])
 
     kind = described.schema["label"].dataType.simpleString()
-    return described.select("label", (F.length("u") / 8).cast("int").alias("d"), "f1", "f2", "first").mapInArrow(pairs, f"label {kind}, d int, f1 long, f2 long, p int, q int")
+    return described.select("label", F.length("u").alias("d"), "f1", "f2", "first").mapInArrow(pairs, f"label {kind}, d int, f1 long, f2 long, p int, q int")
 
 
 def _members(hits: np.ndarray) -> np.ndarray:
@@ -146,15 +147,16 @@ def compared(u: np.ndarray, near: np.ndarray | None, first: np.ndarray | None, p
     return ok & (u @ u.T >= cosine) if ok.any() else ok
 
 
-def _linked(groups: DataFrame, cosine: float) -> DataFrame:
+def _linked(groups: DataFrame, cosine: float, single: bool) -> DataFrame:
     """(f1, f2, links, id, root) of the classes with links in (label, d, p, q, i, j), sorted by these; root: smallest id reached inside the group."""
     keys = ["label", "d", "p", "q", "i", "j"]
+    number = np.float32 if single else np.float64
 
     def one(rows: dict) -> pa.RecordBatch | None:
         n = len(rows["f1"])
         if n < 2:
             return None
-        u = np.frombuffer(b"".join(rows["u"]), np.float64).reshape(n, -1)
+        u = unit(np.frombuffer(b"".join(rows["u"]), number).reshape(n, -1).astype(np.float64))
         near, first = (None if rows[c][0] is None else np.frombuffer(b"".join(rows[c]), np.uint64).reshape(n, -1) for c in ("near", "first"))
         across = None if rows["i"][0] == rows["j"][0] else np.array(rows["own"])
         hits = compared(u, near, first, rows["p"][0], rows["q"][0], across, cosine)
@@ -201,7 +203,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     grouped = own.where("ok").groupBy("f1", "f2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = stored(grouped, "classes")
     sample = classes.select("v").orderBy("f1", "f2").limit(SAMPLE).collect()  # a bounded sample for the index
-    described = stored(_described(classes, choose_pivots([r["v"] for r in sample])), "described")
+    single = rows.schema[vector_col].dataType.elementType == T.FloatType()
+    described = stored(_described(classes, choose_pivots([r["v"] for r in sample]), single), "described")
     listed = stored(_listed(described), "lists")
     by = ["label", "d", "p", "q"]
     sizes = listed.groupBy(*by).agg(F.count("*").alias("g")).where("g > 1")
@@ -210,7 +213,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     dealt = dealt.select(*by, "f1", "f2", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("with"))
     dealt = dealt.select(*by, "f1", "f2", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
     met = dealt.hint("merge").join(described.drop("label"), ["f1", "f2"])
-    links = stored(_linked(met, cosine), "links")
+    links = stored(_linked(met, cosine, single), "links")
     edges = links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
     again = own.where("ok").groupBy("vec_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("vec_id")
     same = own.where("ok").join(again, "vec_id", "left_semi").hint("merge").join(classes.select("f1", "f2", "id"), ["f1", "f2"]).where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")).distinct()

@@ -13,45 +13,57 @@ from ..functions.text import word_count
 from ..functions.tokens import IMAGE_WORDS
 
 
-def range_of(df: DataFrame, column: str) -> Column:
-    """The number of a row's range of ``column``, ascending: 1024 ranges by sampled quantiles, 4096 by the first characters of md5 keys.
+#: Keys of which the cuts of text ranges are taken.
+SAMPLE = 8192
 
-    A range is found in two steps of 32 comparisons.
-    """
+
+def _cuts(df: DataFrame, column: str) -> list:
+    """Up to 1023 cuts between ranges of about as many rows: quantiles of numbers, for texts those of the ``SAMPLE`` rows of least hash."""
+    if df.schema[column].dataType.simpleString() != "string":
+        return df.select(F.percentile_approx(column, [i / 1024 for i in range(1, 1024)], 10_000)).first()[0] or []
+    spread = F.xxhash64(*df.columns) if all(not f.dataType.simpleString().startswith("map") for f in df.schema) else F.xxhash64(column)
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__k"), spread.alias("__h")).orderBy("__h").limit(SAMPLE).select("__k").collect()
+    keys = sorted(r["__k"].encode() for r in rows)  # the order of UTF-8 bytes, as Spark's
+    step = max(1, -(-len(keys) // 1024))
+    return [k.decode() for k in keys[step::step]][:1023]
+
+
+def range_of(df: DataFrame, column: str) -> Column:
+    """The number of a row's range of ``column``, ascending, of up to 1024 ranges. A range is found in two steps of 32 comparisons."""
     value = F.col(column)
-    if df.schema[column].dataType.simpleString() == "string":
-        return F.substring(value, 1, 3)
-    cuts = df.select(F.percentile_approx(column, [i / 1024 for i in range(1, 1024)], 10_000)).first()[0]
+    cuts = _cuts(df, column)
     if not cuts:
         return F.lit(0)
     below = lambda cs: F.size(F.filter(cs, lambda c: c < value))
     literal = lambda cs: F.array(*(F.lit(c) for c in cs))
+    cuts = cuts + [cuts[-1]] * (1023 - len(cuts))
     coarse = below(literal(cuts[31::32]))
     fine = F.array(*(literal(cuts[i : i + 31]) for i in range(0, 1024, 32)))
-    return coarse * 32 + below(F.get(fine, coarse))
+    return F.coalesce(coarse * 32 + below(F.get(fine, coarse)), F.lit(-1))
 
 
-def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str, ranges: Column | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all rows before each in ascending ``order``.
 
     Ranges of the first sort column are summed alone and start where the sums of those before
-    them end, so the only window over all is over a row for each range.
+    them end, so the only window over all is over a row for each range.  ``ranges`` gives them where they are known,
+    ascending with the first sort column.
     """
-    rows = df.withColumn("__b", range_of(df, order[0])).withColumn("__v", value)
+    rows = df.withColumn("__b", range_of(df, order[0]) if ranges is None else ranges).withColumn("__v", value)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(F.col("__b").alias("__c")).agg(F.sum("__v").alias("__n")).select("__c", F.coalesce(F.sum("__n").over(before(Window.orderBy("__c"))), F.lit(0)).alias("__before"))
     own = rows.withColumn("__at", F.coalesce(F.sum("__v").over(before(Window.partitionBy("__b").orderBy(*order))), F.lit(0)))
     return own.join(sums, F.col("__b").eqNullSafe(F.col("__c"))).withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__b", "__c", "__v", "__at", "__before")
 
 
-def global_position(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+def global_position(df: DataFrame, order: list[str], name: str = "pos", ranges: Column | None = None) -> DataFrame:
     """Adds 0, 1, ... in ascending ``order`` over all rows."""
-    return running_sum(df, order, F.lit(1), name)
+    return running_sum(df, order, F.lit(1), name, ranges)
 
 
 def shuffled(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
-    """Positions of a permutation that any engine can repeat: by md5 of the key."""
-    return global_position(df.withColumn("__h", F.md5(F.col(key).cast("string").cast("binary"))), ["__h", key], name).drop("__h")
+    """Positions of a permutation that any engine can repeat: by md5 of the key, whose first digits are ranges of like size."""
+    return global_position(df.withColumn("__h", F.md5(F.col(key).cast("string").cast("binary"))), ["__h", key], name, F.substring("__h", 1, 3)).drop("__h")
 
 
 def conversation_lengths(turns: DataFrame, has_image: Column, conv: str = "conv_id", text: str = "text") -> DataFrame:

@@ -10,8 +10,11 @@ from ..functions.text import python_float
 # Slider names of the three groups, and the prompts' texts.
 LIGHT = ("Exposure2012", "Contrast2012", "Highlights2012", "Shadows2012", "Whites2012", "Blacks2012", "ParametricShadows", "ParametricDarks", "ParametricLights", "ParametricHighlights")
 COLOR_TEMPERATURE = ("IncrementalTemperature", "IncrementalTint", "Vibrance", "Saturation")
-COLORS = ("Red", "Orange", "Yellow", "Green", "Aqua", "Blue", "Purple", "Magenta")
-MIXER = tuple(f"{kind}Adjustment{color}" for kind in ("Hue", "Saturation", "Luminance") for color in COLORS)
+MIXER = (
+    "HueAdjustmentRed", "HueAdjustmentOrange", "HueAdjustmentYellow", "HueAdjustmentGreen", "HueAdjustmentAqua", "HueAdjustmentBlue", "HueAdjustmentPurple", "HueAdjustmentMagenta",
+    "SaturationAdjustmentRed", "SaturationAdjustmentOrange", "SaturationAdjustmentYellow", "SaturationAdjustmentGreen", "SaturationAdjustmentAqua", "SaturationAdjustmentBlue", "SaturationAdjustmentPurple", "SaturationAdjustmentMagenta",
+    "LuminanceAdjustmentRed", "LuminanceAdjustmentOrange", "LuminanceAdjustmentYellow", "LuminanceAdjustmentGreen", "LuminanceAdjustmentAqua", "LuminanceAdjustmentBlue", "LuminanceAdjustmentPurple", "LuminanceAdjustmentMagenta",
+)
 GROUPS = {"Light Adjustment": LIGHT, "Color and Temperature Adjustment": COLOR_TEMPERATURE, "Specific Color Adjustment": MIXER}
 AUTO_PROMPT = "<Auto_Retouch_Task>\nNow, you are acting as a Retouch Agent. When I provide an image, please state the problems found in the image (from 3 aspects: lighting, global_color, specific color), and give the solution and retouch tokens."
 STYLE_PROMPT = "<Style_Retouch_Task>\nNow, you are acting as a Retouch Agent. I will provide an image and an instruction, please give me a retouch plan and retouch tokens.\n Instruction: "
@@ -36,16 +39,32 @@ QUESTIONS = (
 )
 SPECIAL_TOKENS = {
     "retouch": ("<retouch_light>", "<retouch_color&temp>", "<retouch_colormixer>"),
-    "problem": tuple(f"<problem_{x}_{end}>" for x in ("light", "globalcolor", "specificcolor") for end in ("start", "end")),
-    "plan": tuple(f"<plan_{x}_{end}>" for x in ("light", "globalcolor", "specificcolor") for end in ("start", "end")),
+    "problem": ("<problem_light_start>", "<problem_globalcolor_start>", "<problem_specificcolor_start>", "<problem_light_end>", "<problem_globalcolor_end>", "<problem_specificcolor_end>"),
+    "plan": ("<plan_light_start>", "<plan_globalcolor_start>", "<plan_specificcolor_start>", "<plan_light_end>", "<plan_globalcolor_end>", "<plan_specificcolor_end>"),
     "task": ("<Auto_Retouch_Task>", "<Style_Retouch_Task>", "<Professional_Retouch_Task>"),
 }
 DOCUMENT = "map<string, struct<value: double>>"
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded on its binary value, as Python's ``round``: to the nearest decimal, true halves to even.
+
+    Of the decimals k and k + 1 around x * 10 ** digits the nearest is told by the sign of x * 2 * 10 ** digits - (2 k + 1), which is found without error:
+    x is split into two halves whose products are exact.  Exact for up to 3 digits; doubles beyond 2 ** 40 have too few binary places to change.
+    """
+    scale = float(10**digits)
+    k = F.floor(x * scale).cast("double")
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper 26 bits
+    off = (high * (2 * scale) - (2 * k + 1)) + (x - high) * (2 * scale)
+    up = (off > 0) | ((off == 0) & (k % 2 != 0))
+    whole = k + F.when(up, 1.0).otherwise(0.0)
+    # a product with zero keeps the sign
+    return F.when((F.abs(x) >= float(2**40)) | (x == 0), x).when(whole == 0, x * 0.0).otherwise(whole / scale)
+
+
 def scaled(value: Column) -> Column:
-    """A slider's value over 100, to three decimals; exact for whole sliders."""
-    return F.round(value / 100.0, 3)
+    """A slider's value over 100, to three decimals."""
+    return rounded(value / 100.0, 3)
 
 
 def normalised(doc: Column) -> dict[str, Column]:

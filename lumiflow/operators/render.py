@@ -58,11 +58,15 @@ def bound(value: Column, body) -> Column:
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    """By mean and biased variance, which are made once for a vector."""
+    """By mean and biased variance, which are made once for a vector: the mean first, then the squares of what lies off it, so a large mean costs no digits."""
     n = F.size(x).cast("double")
-    sums = F.struct((F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n).alias("mean"), (F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) / n).alias("square"))
-    scale = lambda m: F.struct(m["mean"].alias("mean"), F.sqrt(m["square"] - m["mean"] * m["mean"] + eps).alias("spread"))
-    return bound(bound(sums, scale), lambda m: F.transform(x, lambda v: (v - m["mean"]) / m["spread"]))
+    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+
+    def around(m: Column) -> Column:
+        spread = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / n + eps)
+        return bound(spread, lambda d: F.transform(x, lambda v: (v - m) / d))
+
+    return bound(mean, around)
 
 
 def condition(x: Column, k: Column, method: str, weights: Attention | None = None) -> Column:

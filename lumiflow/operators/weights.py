@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights that may be missing in a base or larger than there, and names that adapters leave out.
@@ -69,6 +69,22 @@ def sinks(weights: DataFrame, start_end: bool = False) -> DataFrame:
     return flagged.select(*weights.columns, F.explode(F.array_compact(names)).alias("sink"))
 
 
+def sharded(weights: DataFrame, most: int, size: Column, prefix: str = "model") -> DataFrame:
+    """Adds ``file``: tensors in order of their names fill shards of ``most`` bytes; one belongs to the shard in which its first byte lies.
+
+    Positions are running sums over ranges of names, so no task orders all tensors.  The rows (name, file) are the index of the checkpoint.
+    """
+    from .batching import running_sum
+
+    rows = running_sum(weights.withColumn("__size", size), ["name"], F.col("__size"), "__byte").withColumn("__shard", F.floor(F.col("__byte") / most))
+    # numbers without gaps, as a tensor may be longer than a shard; a row a shard
+    shards = rows.select("__shard").distinct().select("__shard", F.row_number().over(Window.orderBy("__shard")).alias("__no"))
+    count = shards.agg(F.max("__no").alias("__of"))
+    no = lambda c: F.lpad(F.col(c).cast("string"), 5, "0")
+    out = rows.join(shards, "__shard").crossJoin(F.broadcast(count))  # one row
+    return out.withColumn("file", F.concat(F.lit(f"{prefix}-"), no("__no"), F.lit("-of-"), no("__of"))).select(*weights.columns, "file")
+
+
 def optimizer_groups(params: DataFrame, rates: dict[str, float], decay: float) -> DataFrame:
     """(name, rate_key, weight_decay) for each parameter that learns; biases and norms don't decay, a keyword in the name sets the rate."""
     name = F.col("name")

@@ -123,14 +123,13 @@ def a07(d):
     return _ids(d).groupBy("conv_id").agg(F.max(F.size("ids")).cast("long").alias("longest"))
 
 
-_PADDED = f"WITH b AS (SELECT conv_id, turn, list_slice({IDS}, 1, 200) AS ids, max(least(length(text), 200)) OVER (PARTITION BY conv_id) AS m FROM conversations)"
+_PADDED = f"WITH b AS (SELECT conv_id, turn, {IDS} AS ids, max(length(text)) OVER (PARTITION BY conv_id) AS m FROM conversations)"
 
 
 def _batch(d):
     from pyspark.sql import Window
 
-    rows = _ids(d).withColumn("ids", F.slice("ids", 1, 200))
-    return rows.withColumn("m", F.max(F.size("ids")).over(Window.partitionBy("conv_id")))
+    return _ids(d).withColumn("m", F.max(F.size("ids")).over(Window.partitionBy("conv_id")))
 
 
 @query("r01_pad_right", f"{_PADDED} SELECT conv_id, turn, list_concat(ids, list_transform(range(m - len(ids)), lambda i: CAST(0 AS BIGINT))) AS input_ids, list_concat(ids, list_transform(range(m - len(ids)), lambda i: CAST(-100 AS BIGINT))) AS labels FROM b")
@@ -190,6 +189,16 @@ def j05(d):
     return bt.running_sum(rows, ["conv_id"], F.greatest("n", F.lit(1)), "first_feature").select("conv_id", "first_feature")
 
 
+@query("w08_feature_index", f"{MEGA}, n AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM r) SELECT conv_id, CAST(megabatch AS BIGINT) AS megabatch, CAST(sum(n) OVER (PARTITION BY megabatch ORDER BY rank) - n AS BIGINT) AS first_feature FROM n")
+def w08(d):
+    """Where each sample's features begin in those of its batch; a sample without an image takes an empty one."""
+    from pyspark.sql import Window
+
+    rows = bt.megabatches(_lengths(d), 16, "conv_id", "words").withColumn("n", F.when(has_image(), 2).otherwise(1))
+    w = Window.partitionBy("megabatch").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # a batch is a few rows
+    return rows.select("conv_id", "megabatch", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("first_feature"))
+
+
 @query("w09_split_offsets", "SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
 def w09(d):
     from pyspark.sql import Window
@@ -438,6 +447,12 @@ def p05(d):
     return d.part.select("p_partkey", pm.scaled(((F.col("p_partkey") * 7) % 201 - 100).cast("double")).alias("value"))
 
 
+@query("p05_fractional_sliders", "SELECT l_orderkey, l_linenumber, CAST(format('{:.3f}', ((l_partkey * 7) % 20001 - 10000) / 100.0::DOUBLE / 100.0::DOUBLE) AS DOUBLE) AS value FROM lineitem")
+def p05_fractions(d):
+    """Sliders with two decimals, so that half of a thousandth comes up in every tenth of them; the binary value decides."""
+    return d.lineitem.select("l_orderkey", "l_linenumber", pm.scaled(((F.col("l_partkey") * 7) % 20001 - 10000).cast("double") / 100.0).alias("value"))
+
+
 _MASK = f"SELECT p_partkey, {_SL['Exposure2012']} = 0 AS a, ({_SL['Saturation']}) = 0 AS b, ({_SL['HueAdjustmentRed']}) = 0 AS c FROM part"
 
 

@@ -12,22 +12,12 @@ from ..operators import chat
 from ..operators import registry as rg
 from ..operators import render as rn
 from ..operators import weights as wt
-from ..sources.readers import CORPUS, corpus_turns
 from .catalog import query, quoted
 from .chat_queries import CHATML, TURNS, _prompt_sql
-from .data_queries import _PADDED, IDS, SIZES, _batch, _ids, _sizes, j05, size_columns
+from .data_queries import _PADDED, IDS, SIZES, _batch, _ids, _sizes, size_columns
 from .system_queries import _H, B1, B2, EVENTS, NAMED, W1, W2, WZ, _events, _lin, _out_sql, _pixels, _round, _weights
 
 
-@query("s01_corpus_records", "SELECT conv_id, CAST(turn - min(turn) OVER (PARTITION BY conv_id) AS BIGINT) AS turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS role, text, CAST(conv_id % 4 AS INTEGER) AS img_path_idx FROM conversations")
-def s01(d):
-    role = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
-    records = d.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("from"), F.col("text").alias("value")))).alias("conversations"))
-    js = records.select("conv_id", F.to_json(F.struct(F.transform("conversations", lambda m: F.struct(m["from"].alias("from"), m["value"].alias("value"))).alias("conversations"))).alias("js"))
-    corpus = js.select("conv_id", F.from_json("js", CORPUS).alias("r"), (F.col("conv_id") % 4).cast("int").alias("img_path_idx")).select("conv_id", "r.*", "img_path_idx")
-    return corpus_turns(corpus, "conv_id").select("conv_id", "turn", "role", "text", "img_path_idx")
-
-
 @query("s05_base64", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, to_base64(encode(text)) AS b64 FROM documents")
 def s05(d):
     b64 = F.base64(F.encode("text", "UTF-8"))
@@ -42,9 +32,6 @@ def w02(d):
     return rounds.select("conv_id", "round", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("start"))
 
 
-query("w08_feature_index", "WITH c AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 0 END AS n FROM conversations) SELECT conv_id, CAST(sum(greatest(n, 1)) OVER (ORDER BY conv_id) - greatest(n, 1) AS BIGINT) AS first_feature FROM c")(j05)
-
-
 @query("z02_always_pad", f"WITH {SIZES} SELECT p_partkey, greatest(w, h) AS side FROM s")
 def z02(d):
     return _sizes(d).select("p_partkey", g.square(*size_columns())[0].alias("side"))

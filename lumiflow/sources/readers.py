@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_arrays import read_json_array
+
 CORPUS = "conversations array<struct<`from`: string, value: string>>, image string, id string"
 SLIDERS = "map<string, struct<value: double>>"
 EVENTS = "event string, worker string, model_names array<string>, speed int, queue_length int, check_heart_beat boolean, ts timestamp"
@@ -16,11 +18,11 @@ WEIGHTS = "name string, shape array<int>, data array<double>"
 def read_corpora(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Records of JSON arrays; ``img_path_idx`` is the ordinal of the path a record came from.
 
-    A missing image key is null.  Each path is scanned as it is, so one may be a folder.
+    A missing image key is null.  Each path is scanned as it is, so one may be a folder.  Files of any size are split into blocks (``json_arrays``).
     """
     out = None
     for i, path in enumerate(paths):
-        rows = spark.read.schema(CORPUS).option("multiLine", True).json(path).withColumn("img_path_idx", F.lit(i))
+        rows = read_json_array(spark, [path], CORPUS).drop("file", "block", "place").withColumn("img_path_idx", F.lit(i))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError("no path")

@@ -36,7 +36,7 @@ class WorkerPool(StatefulProcessor):
         known = self.state.get() if self.state.exists() else None
         for part in rows:
             for r in part.sort_values("ts").itertuples():
-                beat = int(r.ts.timestamp() * 1000)
+                beat = max(int(r.ts.timestamp() * 1000), known[2] if known is not None else 0)  # a late event doesn't set the clock back
                 if r.event == "register":
                     known = (int(r.queue_length), bool(r.check_heart_beat), beat)
                 elif known is not None:

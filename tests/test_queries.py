@@ -3,10 +3,14 @@
 import pytest
 from oracle import connection, difference, pandas_of
 
-from lumiflow.plans import chat_queries, data_queries, flagship, more_queries, system_queries  # noqa: F401
+from lumiflow.plans import chat_queries, data_queries, flagship, model_queries, more_queries, system_queries  # noqa: F401
 from lumiflow.plans.catalog import ORACLE, QUERIES
 
 
+#: Queries with kernels, formats or block products over Arrow batches.
+PYTHON = ("k03_", "n12_", "n15_", "n25_", "n26_", "s01_", "s05_base64_pictures", "s09_lora_")
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     return connection(sf)
@@ -26,7 +30,7 @@ def test_plans_push_down_and_need_no_python(spark, sf):
     """Columns are pruned in the scan and nothing but the wide kernels leaves the JVM."""
     for name, plan in QUERIES.items():
         text = plan(spark, sf)._jdf.queryExecution().toString()
-        assert ("MapInArrow" in text or "Python" in text) == name.startswith(("n12_", "n25_")), name
+        assert ("MapInArrow" in text or "Python" in text) == name.startswith(PYTHON), name
     text = QUERIES["a02_modality_lengths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<conv_id:bigint,text:string>" in text
 

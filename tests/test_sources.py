@@ -94,3 +94,22 @@ def test_worker_stream_answers_and_removes(spark, tmp_path):
     assert ("w", "heartbeat", False, None) in got  # unknown before it registers
     assert ("w", "heartbeat", True, 3) in got and ("w", "removed", False, 3) in got
     assert not any(w == "x" and e == "removed" for w, e, _, _ in got)  # unchecked workers stay
+
+
+def test_a_late_beat_does_not_set_the_clock_back(spark, tmp_path):
+    t0 = datetime(2024, 1, 1, tzinfo=UTC)
+    # the second batch has a beat older than the first one's, within the watermark
+    steps = [[("w", "register", 1, 100)], [("w", "heartbeat", 2, 50)], [("x", "register", 0, 185)], [("x", "heartbeat", 0, 189)], [("x", "heartbeat", 0, 300)], [("x", "heartbeat", 0, 400)]]
+    src = tmp_path / "in"
+    src.mkdir()
+    df = spark.readStream.schema("worker string, event string, queue_length int, check_heart_beat boolean, ts timestamp").json(str(src))
+    q = worker_stream(df).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for i, rows in enumerate(steps):
+            (src / f"{i}.json").write_text("\n".join(json.dumps({"worker": w, "event": e, "queue_length": n, "check_heart_beat": w == "w", "ts": (t0 + timedelta(seconds=s)).isoformat()}) for w, e, n, s in rows))
+            q.processAllAvailable()
+        got = [(r["event"], r["queue_length"], r["last_beat_ms"]) for r in spark.table("late").where("worker = 'w'").collect()]
+    finally:
+        q.stop()
+    at = int(t0.timestamp() * 1000) + 100_000
+    assert got == [("register", 1, at), ("heartbeat", 2, at), ("removed", 2, at)]

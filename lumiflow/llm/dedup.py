@@ -213,7 +213,8 @@ def sides(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of a pair of two labels one is outside, so members of one large component are never joined with each other.
     """
     counts = places.groupBy("token", "label").agg(F.count("*").alias("g"))
-    largest = counts.groupBy("token").agg(F.max(F.struct("g", "label"))["label"].alias("largest"))
+    # stored, so that a frequent token's postings can be split in the join with it
+    largest = stored(counts.groupBy("token").agg(F.max(F.struct("g", "label"))["label"].alias("largest")), "largest")
     columns = ("rep", "label", "n", "least", "place")
     few = places.hint("merge").join(largest, "token").where("label <> largest").select("token", *(F.col(c).alias(f"{c}1") for c in columns))
     return few, places.select("token", *(F.col(c).alias(f"{c}2") for c in columns))

@@ -177,6 +177,34 @@ def test_language_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_language_sizes_by_hand(spark, sf):
+    """Sizes, choice and score of whole texts, recomputed with zstandard alone."""
+    import math
+
+    import zstandard as z
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = langid.fit_dictionaries(d.where(~langid.held_out(5, 0)).select("doc_id", "text", "lang"))
+    rows = {r["doc_id"]: r for r in langid.language_report(d).collect()}
+    texts = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    tools = {}
+    for name, content in learned.items():
+        own = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=9)
+        tools[name] = z.ZstdCompressor(dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for i, text in texts.items():
+        if not text or not any(c.isalpha() for c in text):
+            assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+            continue
+        raw = text.lower().encode()
+        n = max(1, round(len(raw) / 400))
+        cuts = [len(raw) * k // n for k in range(n + 1)]
+        sizes = {name: sum(len(t.compress(raw[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)) for name, t in tools.items()}
+        best = min(sorted(sizes), key=sizes.get)
+        share = 1 / sum(math.exp(max(-700.0, (sizes[best] - s) / 12)) for s in sizes.values())
+        assert rows[i]["lang_pred"] == best and abs(rows[i]["score"] - share) < 1e-12
+
+
 def test_language_odd_cases(spark):
     rows = [*ROWS, (40, "1234 !!", "en"), (41, "wort " * 50, "de")]
     got = langid.language_report(docs(spark, rows)).collect()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import python_float
+from .render import bound
 
 # Slider names of the three groups, and the prompts' texts.
 LIGHT = ("Exposure2012", "Contrast2012", "Highlights2012", "Shadows2012", "Whites2012", "Blacks2012", "ParametricShadows", "ParametricDarks", "ParametricLights", "ParametricHighlights")
@@ -53,13 +54,17 @@ def rounded(x: Column, digits: int) -> Column:
     x is split into two halves whose products are exact.  Exact for up to 3 digits; doubles beyond 2 ** 40 have too few binary places to change.
     """
     scale = float(10**digits)
-    k = F.floor(x * scale).cast("double")
-    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper 26 bits
-    off = (high * (2 * scale) - (2 * k + 1)) + (x - high) * (2 * scale)
-    up = (off > 0) | ((off == 0) & (k % 2 != 0))
-    whole = k + F.when(up, 1.0).otherwise(0.0)
-    # a product with zero keeps the sign
-    return F.when((F.abs(x) >= float(2**40)) | (x == 0), x).when(whole == 0, x * 0.0).otherwise(whole / scale)
+
+    def nearest(s: Column) -> Column:
+        v, k, high = s["v"], s["k"], s["high"]
+        off = (high * (2 * scale) - (2 * k + 1)) + (v - high) * (2 * scale)
+        whole = k + F.when((off > 0) | ((off == 0) & (k % 2 != 0)), 1.0).otherwise(0.0)
+        # a product with zero keeps the sign
+        return F.when((F.abs(v) >= float(2**40)) | (v == 0), v).when(whole == 0, v * 0.0).otherwise(whole / scale)
+
+    # high: the upper 26 bits
+    parts = lambda v: F.struct(v.alias("v"), F.floor(v * scale).cast("double").alias("k"), (v * 134217729.0 - (v * 134217729.0 - v)).alias("high"))
+    return bound(bound(x, parts), nearest)
 
 
 def scaled(value: Column) -> Column:
@@ -67,39 +72,43 @@ def scaled(value: Column) -> Column:
     return rounded(value / 100.0, 3)
 
 
+def _names(group: str) -> Column:
+    return F.array(*(F.lit(n) for n in GROUPS[group]))
+
+
 def normalised(doc: Column) -> dict[str, Column]:
-    """Group name to struct of its sliders: unknown ones are dropped, missing ones are 0. ``doc`` is a DOCUMENT."""
-    return {group: F.struct(*(F.coalesce(scaled(F.element_at(doc, name)["value"]), F.lit(0.0)).alias(name) for name in names)) for group, names in GROUPS.items()}
+    """Group name to array of its sliders' values in order: unknown ones are dropped, missing ones are 0. ``doc`` is a DOCUMENT."""
+    return {group: F.transform(_names(group), lambda n: F.coalesce(scaled(F.element_at(doc, n)["value"]), F.lit(0.0))) for group in GROUPS}
 
 
-def all_zero(group: Column, names: tuple[str, ...]) -> Column:
+def all_zero(group: Column) -> Column:
     """True if no slider of the group is beyond 0.0001."""
-    out = F.lit(True)
-    for name in names:
-        out = out & (F.abs(group[name]) <= 0.0001)
-    return out
+    return F.forall(group, lambda v: F.abs(v) <= 0.0001)
 
 
 def control_mask(doc: Column) -> Column:
     """array<double> of 1 for each group with an edit, else 0."""
-    return F.array(*(F.when(all_zero(group, GROUPS[name]), 0.0).otherwise(1.0) for name, group in normalised(doc).items()))
+    return F.array(*(F.when(all_zero(group), 0.0).otherwise(1.0) for group in normalised(doc).values()))
 
 
 def slider_rows(docs: DataFrame, key: str, doc: str = "params") -> DataFrame:
     """(key, group_name, slider, value) of every known slider of every document."""
-    rows = [F.struct(F.lit(g).alias("group_name"), F.lit(n).alias("slider"), F.coalesce(scaled(F.element_at(F.col(doc), n)["value"]), F.lit(0.0)).alias("value")) for g, names in GROUPS.items() for n in names]
-    return docs.select(key, F.inline(F.array(*rows)))
+    def of(group: str, values: Column) -> Column:
+        return F.zip_with(_names(group), values, lambda n, v: F.struct(F.lit(group).alias("group_name"), n.alias("slider"), v.alias("value")))
+
+    return docs.select(key, F.inline(F.concat(*(of(g, values) for g, values in normalised(F.col(doc)).items()))))
 
 
-def group_text(group: Column, names: tuple[str, ...]) -> Column:
-    """A group as Python prints a dict."""
-    return F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f"'{n}': "), python_float(group[n])) for n in names)), F.lit("}"))
+def group_text(group: Column, name: str) -> Column:
+    """A group's values as Python prints a dict."""
+    cells = F.zip_with(_names(name), group, lambda n, v: F.concat(F.lit("'"), n, F.lit("': "), python_float(v)))
+    return F.concat(F.lit("{"), F.array_join(cells, ", "), F.lit("}"))
 
 
 def param_prompt(doc: Column) -> Column:
     """The prompt of a parameter document; it has no image mark."""
     groups = normalised(doc)
-    body = F.concat_ws(", ", *(F.concat(F.lit(f"'{g}': "), group_text(groups[g], GROUPS[g])) for g in GROUPS))
+    body = F.concat_ws(", ", *(F.concat(F.lit(f"'{g}': "), group_text(groups[g], g)) for g in GROUPS))
     return F.concat(F.lit(PARAM_PROMPT + "{"), body, F.lit("}"))
 
 

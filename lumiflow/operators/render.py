@@ -128,11 +128,51 @@ def masked_latent(latent: Column, mask: Column, width: int) -> Column:
     return F.transform(latent, lambda x, i: x * F.get(mask, F.floor(i / width).cast("int")))
 
 
+#: Widths up to which a layer's values are columns of their own, which Spark compiles; wider ones are arrays.
+SCALARS = 16
+
+
+def _scalar_mlp(pixels: DataFrame, layers, out, act: str, rgb: str, conditions) -> DataFrame:
+    """``pixel_mlp`` with a column for each value; each projection is made once."""
+    total = lambda cols: sum(cols[1:], cols[0])
+    rows, x, made = pixels, [F.get(rgb, F.lit(j)) for j in range(len(layers[0][0][0]))], []
+
+    def named(prefix: str, values: list[Column]) -> list[Column]:
+        nonlocal rows
+        names = [f"__{prefix}{i}" for i in range(len(values))]
+        rows = rows.withColumns(dict(zip(names, values, strict=True)))
+        made.extend(names)
+        return [F.col(n) for n in names]
+
+    for k, (weight, bias) in enumerate(layers):
+        n = len(bias)
+        h = named(f"h{k}_", [F.greatest(total([v * float(w) for v, w in zip(x, row, strict=True)]) + float(b), F.lit(0.0)) for row, b in zip(weight, bias, strict=True)])
+        (mean,) = named(f"m{k}_", [total(h) / n])
+        (spread,) = named(f"s{k}_", [F.sqrt(total([(v - mean) * (v - mean) for v in h]) / n + 1e-5)])
+        x = [(v - mean) / spread for v in h]
+        if k < len(conditions):
+            method, column = conditions[k]
+            at = lambda i, c=column: F.get(c, F.lit(i))
+            if method == "add":
+                x = [v + at(i) for i, v in enumerate(x)]
+            elif method == "adain":
+                x = [v * (1.0 + at(i)) + at(n + i) for i, v in enumerate(x)]
+            else:  # cat: as many values as the next layer takes
+                following = layers[k + 1][0] if k + 1 < len(layers) else out[0]
+                x = [*x, *(at(i) for i in range(len(following[0]) - n))]
+        x = named(f"x{k}_", x)
+    y = [total([v * float(w) for v, w in zip(x, row, strict=True)]) + float(b) for row, b in zip(*out, strict=True)]
+    y = named("y", y)
+    return rows.withColumn("out", F.array(*(ACTIVATIONS[act](v) for v in y))).drop(*made)
+
+
 def pixel_mlp(pixels: DataFrame, layers: Sequence[tuple[Matrix, Sequence[float]]], out: tuple[Matrix, Sequence[float]], act: str = "sigmoid", rgb: str = "rgb", conditions: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Adds ``out`` to pixel rows; ``conditions`` gives for each layer the method and the column with the projected vector.
 
     Layers are projections one after the other, so each one's values are made once.
     """
+    if max(len(bias) for _, bias in (*layers, out)) <= SCALARS and all(m in ("add", "cat", "adain") for m, _ in conditions):
+        return _scalar_mlp(pixels, layers, out, act, rgb, conditions)
     rows = pixels.withColumn("__x", F.col(rgb))
     for i, (weight, bias) in enumerate(layers):
         rows = rows.withColumn("__h", relu(linear(F.col("__x"), weight, bias))).withColumn("__x", layer_norm(F.col("__h")))

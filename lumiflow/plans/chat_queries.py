@@ -59,6 +59,17 @@ query("f_all_templates", f"WITH {TURNS} " + " UNION ALL ".join(f"SELECT '{t.name
 )
 
 
+_F08 = "CASE WHEN role_no = 0 THEN 'USER' ELSE 'ASSISTANT' END || ': ' || CASE WHEN pos = 0 THEN {0} ELSE text END"
+
+
+@query("f08_image_messages", f"WITH {TURNS} SELECT conv_id, 'plain' AS kind, list({_F08.format("'<image>' || chr(10) || trim(replace(text, '<image>', ''))")} ORDER BY pos) AS said FROM t GROUP BY conv_id UNION ALL SELECT conv_id, 'tagged', list_concat(['USER: <Image><image></Image>', 'ASSISTANT: Received.'], list({_F08.format("trim(replace(text, '<image>', ''))")} ORDER BY pos)) FROM t GROUP BY conv_id")
+def f08_messages(d):
+    """All messages after the image is put first, both ways."""
+    rows = chat.messages(chat.usable_turns(d.conversations), ("USER", "ASSISTANT")).where(F.size("messages") > 0)
+    said = lambda t: F.transform(tp.with_image_first(t, F.col("messages")), lambda m: F.concat_ws(": ", m["role"], m["text"]))
+    return rows.select("conv_id", F.lit("plain").alias("kind"), said(tp.TEMPLATES["qwen_2"]).alias("said")).union(rows.select("conv_id", F.lit("tagged"), said(tp.TEMPLATES["v1_mmtag"])))
+
+
 @query("f08_image_first", f"WITH {TURNS}, x AS (SELECT * FROM t WHERE pos = 0) SELECT conv_id, 'plain' AS kind, '<image>' || chr(10) || trim(replace(text, '<image>', '')) AS first_text, CAST(1 AS BIGINT) AS added FROM x UNION ALL SELECT conv_id, 'tagged', '<Image><image></Image>', 3 FROM x")
 def f08(d):
     rows = chat.messages(chat.usable_turns(d.conversations), ("USER", "ASSISTANT")).where(F.size("messages") > 0)
@@ -135,10 +146,28 @@ def f18(d):
     return rows.select("conv_id", F.size(back).cast("long").alias("n"), F.array_join(F.transform(back, lambda m: F.concat(F.lit("["), m[0], F.lit(","), F.length(m[1]).cast("string"), F.lit("]"))), ",").alias("shape"))
 
 
-_Q = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS no, '{k}' AS kind, '<image>' || chr(10) || {quoted(q)} AS question" for i, (k, q) in enumerate(pm.QUESTIONS))
-
-
-@query("f19_questions", f"SELECT c.conv_id, q.kind, q.question FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN ({_Q}) q ON c.conv_id % 16 = q.no")
+# fixed values: the questions, in order
+_Q = """(VALUES
+    (0, 'content', 'Please describe the framing and content of this image.'),
+    (1, 'content', 'Can you provide a description of how this image is composed and what it depicts?'),
+    (2, 'content', 'Could you outline both the structure and the subject matter of the photograph?'),
+    (3, 'content', 'Please give an account of the image’s framing as well as its depicted elements.'),
+    (4, 'content', 'Tell me about the composition and the narrative content captured in this image.'),
+    (5, 'retouch', 'Could you help me to retouch this image?'),
+    (6, 'retouch', 'Can you assist with retouching this image for me?'),
+    (7, 'retouch', 'Would you be able to help retouch this picture?'),
+    (8, 'retouch', 'Could you do me a favor and retouch this image?'),
+    (9, 'retouch', 'Is it possible for you to help with retouching this picture?'),
+    (10, 'retouch', 'Can you lend a hand in retouching this image?'),
+    (11, 'retouch', 'Would you help me out by retouching this picture?'),
+    (12, 'retouch', 'Could you assist me in retouching this image?'),
+    (13, 'retouch', 'Is there a way you could help retouch this picture for me?'),
+    (14, 'retouch', 'Can you help me get this image retouched?'),
+    (15, 'retouch', 'Would you be willing to help with retouching this picture?')
+) v(no, kind, question)"""
+
+
+@query("f19_questions", f"SELECT c.conv_id, v.kind, '<image>' || chr(10) || v.question AS question FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN {_Q} ON c.conv_id % 16 = v.no")
 def f19(d):
     rows = d.spark.createDataFrame([(i, k, "<image>\n" + q) for i, (k, q) in enumerate(pm.QUESTIONS)], "no long, kind string, question string")
     return d.conversations.select("conv_id").distinct().withColumn("no", F.col("conv_id") % 16).join(rows, "no").select("conv_id", "kind", "question")
@@ -230,12 +259,17 @@ def w01(d):
     return d.conversations.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("ordinal"))
 
 
-@query("z08_special_tokens", """SELECT * FROM (VALUES ('retouch', '<retouch_light>'), ('retouch', '<retouch_color&temp>'), ('retouch', '<retouch_colormixer>'),
-('problem', '<problem_light_start>'), ('problem', '<problem_light_end>'), ('problem', '<problem_globalcolor_start>'), ('problem', '<problem_globalcolor_end>'), ('problem', '<problem_specificcolor_start>'), ('problem', '<problem_specificcolor_end>'),
-('plan', '<plan_light_start>'), ('plan', '<plan_light_end>'), ('plan', '<plan_globalcolor_start>'), ('plan', '<plan_globalcolor_end>'), ('plan', '<plan_specificcolor_start>'), ('plan', '<plan_specificcolor_end>'),
-('task', '<Auto_Retouch_Task>'), ('task', '<Style_Retouch_Task>'), ('task', '<Professional_Retouch_Task>')) t(kind, token)""")
+@query("z08_special_tokens", """WITH k AS (SELECT * FROM (VALUES (0, 'retouch', '<retouch_light>'), (1, 'retouch', '<retouch_color&temp>'), (2, 'retouch', '<retouch_colormixer>'),
+(3, 'problem', '<problem_light_start>'), (4, 'problem', '<problem_globalcolor_start>'), (5, 'problem', '<problem_specificcolor_start>'), (6, 'problem', '<problem_light_end>'), (7, 'problem', '<problem_globalcolor_end>'), (8, 'problem', '<problem_specificcolor_end>'),
+(9, 'plan', '<plan_light_start>'), (10, 'plan', '<plan_globalcolor_start>'), (11, 'plan', '<plan_specificcolor_start>'), (12, 'plan', '<plan_light_end>'), (13, 'plan', '<plan_globalcolor_end>'), (14, 'plan', '<plan_specificcolor_end>'),
+(15, 'task', '<Auto_Retouch_Task>'), (16, 'task', '<Style_Retouch_Task>'), (17, 'task', '<Professional_Retouch_Task>')) t(i, kind, token))
+SELECT conv_id, turn, kind, token, CAST(length(token || text) AS BIGINT) AS length FROM conversations JOIN k ON (conv_id + turn) % 18 = k.i""")
 def z08(d):
-    return d.spark.createDataFrame([(k, t) for k, ts in pm.SPECIAL_TOKENS.items() for t in ts], "kind string, token string")
+    """A mark before each turn, all of them in the order in which they are declared."""
+    marks = [(k, t) for k, ts in pm.SPECIAL_TOKENS.items() for t in ts]
+    mark = F.get(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("token")) for k, t in marks)), ((F.col("conv_id") + F.col("turn")) % len(marks)).cast("int"))
+    rows = d.conversations.withColumn("mark", mark)
+    return rows.select("conv_id", "turn", "mark.kind", "mark.token", F.length(F.concat("mark.token", "text")).cast("long").alias("length"))
 
 
 @query("z09_plain_reply", "SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS reply FROM conversations")
@@ -256,6 +290,17 @@ def z10(d):
     return rows.select("conv_id", "turn", F.when(~((F.col("pos") == last) & (F.col("role_no") == 1)), F.col("text")).alias("kept"))
 
 
+@query("z10_cleared_history", f"WITH {TURNS}, c AS (SELECT *, max(CASE WHEN (conv_id + turn) % 5 = 3 THEN pos END) OVER (PARTITION BY conv_id) AS cleared FROM t) SELECT conv_id, turn, CAST(pos - coalesce(cleared + 1, 0) AS BIGINT) AS place, text FROM c WHERE cleared IS NULL OR pos > cleared")
+def z10_cleared(d):
+    """Turns behind the last one at which the history was cleared, counted anew."""
+    from pyspark.sql import Window
+
+    clear = (F.col("conv_id") + F.col("turn")) % 5 == 3
+    rows = chat.usable_turns(d.conversations).withColumn("cleared", F.max(F.when(clear, F.col("pos"))).over(Window.partitionBy("conv_id")))
+    kept = rows.where(F.col("cleared").isNull() | (F.col("pos") > F.col("cleared")))
+    return kept.select("conv_id", "turn", (F.col("pos") - F.coalesce(F.col("cleared") + 1, F.lit(0))).cast("long").alias("place"), "text")
+
+
 @query("z11_first_turn_image", f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN pos = 0 THEN '<image>' || chr(10) || text ELSE text END AS said FROM t WHERE role_no = 0")
 def z11(d):
     return chat.usable_turns(d.conversations).where("role_no = 0").select("conv_id", "turn", F.when(F.col("pos") == 0, F.concat(F.lit("<image>\n"), "text")).otherwise(F.col("text")).alias("said"))

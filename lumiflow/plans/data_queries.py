@@ -262,12 +262,17 @@ def m06(d):
     return rows.select("conv_id", masks.legacy_labels(F.lit("A header."), lines)[1].alias("labels"))
 
 
-@query("m07_mask_router", """SELECT * FROM (VALUES ('default', 'qwen'), ('v0', 'legacy'), ('v1', 'v1'), ('vicuna_v1', 'v1'), ('qwen_2', 'qwen'), ('llama_2', 'llama_2'), ('mistral_instruct', 'llama_2'), ('chatml_direct', 'mpt'), ('mistral_direct', 'mpt'),
-('plain', 'plain'), ('v0_plain', 'plain'), ('llava_v0', 'legacy'), ('v0_mmtag', 'legacy'), ('llava_v1', 'v1'), ('v1_mmtag', 'v1'), ('llava_llama_2', 'llama_2'), ('mpt', 'mpt')) t(name, mask)""")
+@query("m07_mask_router", """WITH m AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS i FROM (VALUES ('default', 'qwen'), ('v0', 'legacy'), ('v1', 'v1'), ('vicuna_v1', 'v1'), ('qwen_2', 'qwen'), ('llama_2', 'llama_2'), ('mistral_instruct', 'llama_2'), ('chatml_direct', 'mpt'), ('mistral_direct', 'mpt'),
+('plain', 'plain'), ('v0_plain', 'plain'), ('llava_v0', 'legacy'), ('v0_mmtag', 'legacy'), ('llava_v1', 'v1'), ('v1_mmtag', 'v1'), ('llava_llama_2', 'llama_2'), ('mpt', 'mpt')) t(name, mask))
+SELECT conv_id, name, mask FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN m ON c.conv_id % 17 = m.i""")
 def m07(d):
+    """The mask of each conversation's template, whose version and style decide."""
+    from pyspark.sql import Window
+
     v = F.col("version")
     mask = F.when(F.col("style") == "PLAIN", "plain").when(F.col("style") == "LLAMA_2", "llama_2").when(v.startswith("v1"), "v1").when(v == "mpt", "mpt").when(v.startswith("qwen_v2"), "qwen").otherwise("legacy")
-    return tp.template_table(d.spark).select("name", mask.alias("mask"))
+    known = tp.template_table(d.spark).select("name", mask.alias("mask"), (F.row_number().over(Window.orderBy("name")) - 1).alias("i"))  # a row a template
+    return d.conversations.select("conv_id").distinct().withColumn("i", F.col("conv_id") % 17).join(known, "i").select("conv_id", "name", "mask")
 
 
 @query("w03_round_pairs", f"WITH {TURNS}, p AS ({_prompt_sql(MASKED['qwen'])}) SELECT conv_id, {_BY_PAIRS} AS rounds FROM p")
@@ -459,7 +464,7 @@ _MASK = f"SELECT p_partkey, {_SL['Exposure2012']} = 0 AS a, ({_SL['Saturation']}
 @query("p06_all_zero", f"SELECT p_partkey, a AS light, b AS color, c AS mixer FROM ({_MASK})")
 def p06(d):
     n = pm.normalised(F.col("params"))
-    return _docs(d).select("p_partkey", *(pm.all_zero(n[grp], pm.GROUPS[grp]).alias(a) for grp, a in zip(pm.GROUPS, ("light", "color", "mixer"), strict=True)))
+    return _docs(d).select("p_partkey", *(pm.all_zero(n[grp]).alias(a) for grp, a in zip(pm.GROUPS, ("light", "color", "mixer"), strict=True)))
 
 
 @query("p07_control_mask", f"SELECT p_partkey, [CASE WHEN a THEN 0.0::DOUBLE ELSE 1.0 END, CASE WHEN b THEN 0.0 ELSE 1.0 END, CASE WHEN c THEN 0.0 ELSE 1.0 END] AS mask FROM ({_MASK})")

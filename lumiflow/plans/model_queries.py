@@ -9,9 +9,10 @@ from ..operators import attention as at
 from ..operators import convolution as cv
 from ..operators import decoding as dc
 from ..operators import lowrank as lr
+from ..operators import registry as rg
 from ..operators import weights as wt
 from ..sources import file_sink as fs
-from ..sources import png
+from ..sources import icc, png
 from ..sources.json_arrays import write_json_array
 from ..sources.readers import corpus_turns, read_corpora
 from ..sources.scratch import scratch_folder
@@ -94,6 +95,34 @@ def s05_pictures(d):
     return _pixel_rows(png.decoded(png.encoded(_pictures(d), "picture", (4, 3, 0)).select("picture", F.base64("content").alias("content")), "picture"))
 
 
+_TO_SRGB = np.linalg.inv(np.array(icc.SRGB)) @ np.round(np.array(icc.ADOBE) * 65536) / 65536
+_CLIPPED = "list_transform([" + ", ".join("least(greatest(" + " + ".join(f"({float(_TO_SRGB[k][i])!r}::DOUBLE) * l[{i + 1}]" for i in range(3)) + ", 0), 1)" for k in range(3)) + "], lambda v: CAST(floor(CASE WHEN v <= 0.0031308 THEN v * 12.92 ELSE 1.055 * pow(v, 1 / 2.4::DOUBLE) - 0.055 END * 255 + 0.5) AS BIGINT))"
+
+
+@query("s06_pictures_in_srgb", f"WITH f AS ({_FILLED}), l AS (SELECT picture, px, list_transform(rgb, lambda c: pow(c / 255.0::DOUBLE, CASE WHEN picture % 2 = 0 THEN 461 / 256.0::DOUBLE ELSE 563 / 256.0::DOUBLE END)) AS l FROM f) SELECT picture, px, {_CLIPPED} AS rgb FROM l")
+def s06(d):
+    """PNGs to sRGB: every second one carries a profile with gamma 1.8, the rest take the fallback."""
+    from pyspark.sql import DataFrame
+
+    fallback = icc.build(icc.ADOBE, [icc.gamma_tag(icc.ADOBE_GAMMA)] * 3)
+    own = icc.build(icc.ADOBE, [icc.gamma_tag(1.8)] * 3)
+
+    def marked(files: DataFrame) -> DataFrame:
+        def mark(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                out = [icc.with_profile(c, own) if n % 2 == 0 else c for n, c in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["picture", "content"])
+
+        return files.mapInArrow(mark, "picture long, content binary")
+
+    files = marked(png.encoded(_pictures(d), "picture").select(F.col("picture").cast("long").alias("picture"), "content"))
+    found = icc.profiles_of(files, "picture")
+    pixels = _pixel_rows(png.decoded(files, "picture")).join(found.select("picture", "profile"), "picture")
+    return icc.to_srgb(pixels, found, fallback).select("picture", "px", "rgb")
+
+
 # ---- low-rank updates and 8-bit weights: a matrix for each label, a row for each vector
 
 _DOUBLES = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -302,3 +331,53 @@ _POOLS = ", ".join(f"avg(v[{c + 1}]) AS a{c}, max(v[{c + 1}]) AS t{c}" for c in
 def n15_module(d):
     """Channels weighed by picture, then pixels by their surroundings."""
     return cv.block_attention_module(_grid(d), _FIRST, _SECOND, _WINDOW, 16).select("image", "y", "x", _round("v").alias("v"))
+
+
+# ---- the pool of workers, read from the state of its stream
+
+_DAYS = 5
+_POOL = f"""e AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS worker, event_type, CAST(floor(value) AS INTEGER) % 20 AS queue_length, CAST(event_id % 5 + 1 AS INTEGER) AS speed, user_id % 4 <> 0 AS checked FROM events),
+f AS (SELECT worker, min(ts) AS registered FROM e WHERE event_type = 'signup' GROUP BY worker), r AS (SELECT worker, arg_max(speed, ts) AS speed, arg_max(checked, ts) AS checked FROM e WHERE event_type = 'signup' GROUP BY worker),
+l AS (SELECT worker, max(ts) AS beat, arg_max(queue_length, e.ts) AS queue_length FROM e GROUP BY worker), p AS (SELECT * FROM f JOIN r USING (worker) JOIN l USING (worker)),
+pool AS (SELECT *, [('m' || CAST(worker AS BIGINT) % 3), 'all'] AS model_names FROM p WHERE NOT checked OR epoch_us(beat) // 1000 + {_DAYS} * 86400000 + 1 > (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM e))"""
+
+
+def _state(d):
+    """Runs the stream over all events, stops it and reads what it knows of each worker."""
+    from ..streaming.workers import PROVIDER, pool_state, worker_stream
+
+    spark, key = d.spark, "spark.sql.streaming.stateStore.providerClass"
+    table = spark.read.parquet(f"{d.folder}/events.parquet")
+    folder, before = scratch_folder(spark), spark.conf.get(key)
+    reader = spark.readStream.schema(table.schema)
+    # a stream reads folders: where the table is one file, the one that holds it
+    alone = all(f.endswith("/events.parquet") for f in table.inputFiles())
+    events = reader.option("pathGlobFilter", "events.parquet").parquet(d.folder) if alone else reader.parquet(f"{d.folder}/events.parquet")
+    user = F.col("user_id")
+    rows = events.select(user.cast("string").alias("worker"), F.when(F.col("event_type") == "signup", "register").otherwise("heartbeat").alias("event"), (F.floor("value").cast("int") % 20).alias("queue_length"), (user % 4 != 0).alias("check_heart_beat"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 5 + 1).cast("int").alias("speed"), F.array(F.concat(F.lit("m"), (user % 3).cast("string")), F.lit("all")).alias("model_names"))
+    spark.conf.set(key, PROVIDER)
+    try:
+        run = worker_stream(rows, _DAYS * 86400).writeStream.format("noop").outputMode("append").option("checkpointLocation", folder).start()
+        run.processAllAvailable()
+        run.stop()
+        run.awaitTermination(60)
+    finally:
+        spark.conf.set(key, before)
+    return pool_state(spark, folder)
+
+
+@query("s10_running_pool", f"WITH {_POOL} SELECT worker, queue_length, speed, checked AS check_heart_beat, CAST(epoch_us(beat) // 1000 AS BIGINT) AS last_beat_ms, CAST(epoch_us(registered) // 1000 AS BIGINT) AS registered_ms, model_names FROM pool")
+def s10_pool(d):
+    """List: every worker that the stopped stream still holds."""
+    return _state(d)
+
+
+@query("s10_address", f"WITH {_POOL}, c AS (SELECT *, unnest(model_names) AS model FROM pool) SELECT model, arg_min(worker, lpad(CAST(CAST(round(queue_length * 1e9 / speed) AS BIGINT) AS VARCHAR), 20, '0') || lpad(CAST(epoch_us(registered) // 1000 AS VARCHAR), 20, '0')) AS worker, CAST(arg_min(queue_length, lpad(CAST(CAST(round(queue_length * 1e9 / speed) AS BIGINT) AS VARCHAR), 20, '0') || lpad(CAST(epoch_us(registered) // 1000 AS VARCHAR), 20, '0')) + 1 AS INTEGER) AS queue_length FROM c GROUP BY model")
+def s10_address(d):
+    """The worker of each model with the shortest queue, the first registered on ties."""
+    return rg.shortest_queue(rg.candidates(_state(d)), order="registered_ms")
+
+
+@query("s10_status", f"WITH {_POOL} SELECT (SELECT list_sort(list(DISTINCT m)) FROM (SELECT unnest(model_names) AS m FROM pool)) AS model_names, CAST(sum(speed) AS BIGINT) AS speed, CAST(sum(queue_length) AS BIGINT) AS queue_length FROM pool")
+def s10_status(d):
+    return rg.status(_state(d))

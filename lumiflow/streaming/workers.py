@@ -2,7 +2,8 @@
 
 One state per worker.  A heartbeat of an unknown worker answers ``exist`` false; a checked
 worker's timer removes it when it has been silent for the expiry.  State is in RocksDB and
-checkpointed, so the pool survives lost executors and restarts.
+checkpointed, so the pool survives lost executors and restarts.  ``pool_state`` reads it between batches or after a stop, so a
+list of models, an address or a status is a plan over the pool as it is.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.registry import EXPIRATION
 
 OUTPUT = "worker string, event string, exist boolean, queue_length int, last_beat_ms long"
-STATE = "queue_length int, check_heart_beat boolean, last_beat_ms long"
+STATE = "queue_length int, check_heart_beat boolean, last_beat_ms long, registered_ms long, speed int, model_names array<string>"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,12 +36,13 @@ class WorkerPool(StatefulProcessor):
         out = []
         known = self.state.get() if self.state.exists() else None
         for part in rows:
-            for r in part.sort_values("ts").itertuples():
-                beat = max(int(r.ts.timestamp() * 1000), known[2] if known is not None else 0)  # a late event doesn't set the clock back
+            for r in part.sort_values(["ts"], kind="stable").itertuples():
+                beat = max(int(r.ts.value // 1_000_000), known[2] if known is not None else 0)  # a late event doesn't set the clock back
                 if r.event == "register":
-                    known = (int(r.queue_length), bool(r.check_heart_beat), beat)
+                    names = [] if r.model_names is None else [str(m) for m in r.model_names]
+                    known = (int(r.queue_length), bool(r.check_heart_beat), beat, beat if known is None else known[3], 0 if pd.isna(r.speed) else int(r.speed), names)
                 elif known is not None:
-                    known = (int(r.queue_length), known[1], beat)
+                    known = (int(r.queue_length), known[1], beat, *known[3:])
                 out.append((key[0], r.event, known is not None, known[0] if known else None, known[2] if known else None))
         if known is not None:
             self.state.update(known)
@@ -60,11 +62,18 @@ class WorkerPool(StatefulProcessor):
 
 
 def worker_stream(events: DataFrame, gap: int = EXPIRATION, delay: str = "1 minute") -> DataFrame:
-    """Answers and removals of a stream of worker events (worker, event, queue_length, check_heart_beat, ts), by event time."""
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    """Answers and removals of a stream of worker events (worker, event, queue_length, check_heart_beat, ts, and if there are speed and model_names), by event time."""
+    missing = {c: F.lit(None).cast(kind) for c, kind in (("speed", "int"), ("model_names", "array<string>")) if c not in events.columns}
+    rows = events.withColumns({"ts": F.col("ts").cast("timestamp"), **missing}).withWatermark("ts", delay)
     return rows.groupBy("worker").transformWithStateInPandas(WorkerPool(gap), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
+def pool_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(worker, queue_length, check_heart_beat, last_beat_ms, registered_ms, speed, model_names): the pool as the stream of ``checkpoint`` last committed it."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "worker").load()
+    return state.select("key.worker", "value.*")
+
+
 def beat_windows(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Added beside the worker pool: beats and mean queue by worker and window, late beats dropped."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))

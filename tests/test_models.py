@@ -16,7 +16,7 @@ from lumiflow.operators import lowrank as lr
 from lumiflow.operators import params as pm
 from lumiflow.operators import render as rn
 from lumiflow.operators import weights as wt
-from lumiflow.sources import png
+from lumiflow.sources import icc, png
 
 
 def matrix(spark, **named):
@@ -201,3 +201,50 @@ def test_shards_hold_all_tensors_in_order(spark, most):
         at_ += n
     numbers = {s: i for i, s in enumerate(sorted({s for s, _ in files}), 1)}
     assert [f for _, f in files] == [f"model-{numbers[s]:05d}-of-{len(numbers):05d}" for s, _ in files] and len(rows) == 50
+
+
+def _converted(spark, rgb, profile):
+    known = spark.createDataFrame([("p", None if profile is None else bytearray(profile))], "profile string, icc binary")
+    pixels = spark.createDataFrame([(i, "p", list(c)) for i, c in enumerate(rgb)], "i long, profile string, rgb array<int>")
+    fallback = icc.build(icc.ADOBE, [icc.gamma_tag(icc.ADOBE_GAMMA)] * 3)
+    return [tuple(r["rgb"]) for r in icc.to_srgb(pixels, known, fallback).orderBy("i").collect()]
+
+
+def _para(form, *values):
+    import struct
+
+    return b"para\0\0\0\0" + struct.pack(">HH", form, 0) + b"".join(struct.pack(">i", round(v * 65536)) for v in values)
+
+
+def test_srgb_profiles_change_nothing(spark):
+    rng = random.Random(8)
+    colours = [(i, i, i) for i in range(256)] + [tuple(rng.randrange(256) for _ in range(3)) for _ in range(300)]
+    assert _converted(spark, colours, icc.build(icc.SRGB, [_para(3, *icc.SRGB_CURVE)] * 3)) == colours
+
+
+def test_adobe_profile_and_fallback(spark):
+    colours = [(255, 255, 255), (0, 0, 0), (255, 0, 0), (0, 255, 0), (128, 128, 128), (200, 100, 50)]
+    m = np.linalg.inv(np.array(icc.SRGB)) @ np.array(icc.ADOBE)
+    want = []
+    for c in colours:
+        v = np.clip(m @ (np.array(c) / 255) ** icc.ADOBE_GAMMA, 0, 1)
+        want.append(tuple(int(x) for x in np.floor(np.where(v <= 0.0031308, v * 12.92, 1.055 * v ** (1 / 2.4) - 0.055) * 255 + 0.5)))
+    assert want[2] == (255, 0, 0) and want[0] == (255, 255, 255) and want[5][0] > 200  # red and orange get stronger
+    adobe = icc.build(icc.ADOBE, [icc.gamma_tag(icc.ADOBE_GAMMA)] * 3)
+    assert _converted(spark, colours, adobe) == want
+    for broken in (None, b"", b"no profile", adobe[:150], adobe.replace(b"acsp", b"xxxx"), adobe.replace(b"gTRC", b"gTRX")):
+        assert _converted(spark, colours, broken) == want
+
+
+def test_curves():
+    import struct
+
+    x = np.arange(256) / 255
+    table = b"curv\0\0\0\0" + struct.pack(">I3H", 3, 0, 16384, 65535)
+    assert np.allclose(icc.curve(table), np.interp(x, [0, 0.5, 1], [0, 16384 / 65535, 1]))
+    assert np.allclose(icc.curve(b"curv\0\0\0\0" + struct.pack(">I", 0)), x)
+    assert np.allclose(icc.curve(_para(0, 2.0)), x**2)
+    assert np.allclose(icc.curve(_para(1, 2.0, 2.0, -1.0)), np.where(x >= 0.5, (2 * x - 1) ** 2, 0))
+    assert np.allclose(icc.curve(_para(4, 2.0, 1.0, 0.0, 0.5, 0.25, 0.125, 0.0625)), np.where(x >= 0.25, x**2 + 0.125, 0.5 * x + 0.0625))
+    with pytest.raises(ValueError):
+        icc.curve(b"mft2")

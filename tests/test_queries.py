@@ -30,7 +30,7 @@ def test_plans_push_down_and_need_no_python(spark, sf):
     """Columns are pruned in the scan and nothing but the wide kernels leaves the JVM."""
     for name, plan in QUERIES.items():
         text = plan(spark, sf)._jdf.queryExecution().toString()
-        assert ("MapInArrow" in text or "Python" in text) == name.startswith(PYTHON), name
+        assert ("InArrow" in text or "Python" in text) == name.startswith(PYTHON), name
     text = QUERIES["a02_modality_lengths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<conv_id:bigint,text:string>" in text
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import PART, inside, parted, upto, with_carry
+
 #: Seconds without a heartbeat before a worker is dropped, and between sweeps.
 EXPIRATION, SWEEP = 30, 30
 #: Seconds between a worker's own heartbeats, and calls that it runs at once.
@@ -25,16 +27,22 @@ def known_beats(beats: DataFrame, registered: DataFrame, key: str = "worker") ->
 
 
 def live_spans(beats: DataFrame, key: str = "worker", ts: str = "ts", gap: int = EXPIRATION) -> DataFrame:
-    """(key, span, first_beat, last_beat, beats, removed_after): runs of beats not more than ``gap`` seconds apart.
+    """(key, span, first_beat, last_beat, beats, removed_after): runs of beats not more than ``gap`` seconds apart, from 1; beats without a time don't count.
 
     A sweep every ``SWEEP`` seconds removes a silent worker, so it goes at the first sweep after
-    the last beat plus the gap.
+    the last beat plus the gap.  A worker's beats are parted by time: runs inside parts are joined where the
+    last beat of a part and the first of the next are near.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    before = F.lag(ts).over(w)
-    starts = F.when(before.isNull() | (F.unix_timestamp(ts) - F.unix_timestamp(before) > gap), 1).otherwise(0)
-    rows = beats.withColumn("__s", starts).withColumn("span", F.sum("__s").over(w))
-    out = rows.groupBy(key, "span").agg(F.min(ts).alias("first_beat"), F.max(ts).alias("last_beat"), F.count("*").alias("beats"))
+    far = lambda a, b: F.unix_timestamp(b) - F.unix_timestamp(a) > gap
+    rows = parted(beats.where(F.col(ts).isNotNull()), key, ts)
+    starts = F.when(far(F.lag(ts).over(inside(ts)), F.col(ts)), 1).otherwise(0)
+    runs = rows.withColumn("__s", starts).withColumn("__run", F.sum("__s").over(upto(ts)))
+    runs = runs.groupBy(PART, "__run").agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"), F.count("*").alias("__n"))
+    ends = [F.min("__first").alias("__from"), F.max("__last").alias("__to"), F.max("__run").alias("__runs")]
+    opens = lambda w: [F.when(~F.coalesce(~far(F.lag("__to").over(w), F.col("__from")), F.lit(False)), 1).otherwise(0).alias("__open")]
+    carried = lambda w: [(F.coalesce(F.sum(F.col("__runs") + F.col("__open")).over(w), F.lit(0)) + F.col("__open")).alias("__before")]
+    spans = with_carry(runs, ends, carried, opens).withColumn("span", F.col("__run") + F.col("__before"))
+    out = spans.groupBy(F.col(f"{PART}.k").alias(key), "span").agg(F.min("__first").alias("first_beat"), F.max("__last").alias("last_beat"), F.sum("__n").alias("beats"))
     return out.withColumn("removed_after", ((F.floor((F.unix_timestamp("last_beat") + gap) / SWEEP) + 1) * SWEEP).cast("long"))
 
 
@@ -96,13 +104,38 @@ def admission(calls: DataFrame, step: Column, order: list[str], limit: int = CON
     At most ``limit`` calls run and the rest wait; giving back with none out changes nothing, so
     what is out is the running sum above its lowest point.  A worker sends its queue with every
     call and every ``BEAT`` seconds from its first; ``timed_beats`` counts the latter since the call before.
+    Parts of a worker's time hand on their sum, lowest point and last call.
+    """
+    w = upto(ts, *order)
+    local = parted(calls, key, ts).withColumn("__s", F.sum(step).over(w)).withColumns({"__low": F.min("__s").over(w), "__prev": F.lag(ts).over(inside(ts, *order))})
+    ends = [F.max_by("__s", F.struct(ts, *order)).alias("__sum"), F.min("__s").alias("__least"), F.min(ts).alias("__from"), F.max(ts).alias("__to")]
+    sums = lambda w: [F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base")]
+    carried = lambda w: [F.col("__base"), F.least(F.lit(0), F.min(F.col("__base") + F.col("__least")).over(w)).alias("__floor"), F.max("__to").over(w).alias("__last"), F.least(F.min("__from").over(w), F.col("__from")).alias("__begin")]
+    rows = with_carry(local, ends, carried, sums)
+    rows = rows.withColumn("queue_length", F.col("__base") + F.col("__s") - F.least(F.col("__floor"), F.col("__base") + F.col("__low")))
+    ticks = lambda at: F.floor((F.unix_timestamp(at) - F.unix_timestamp("__begin")) / BEAT)
+    beats = ticks(F.col(ts)) - F.coalesce(ticks(F.coalesce("__prev", "__last")), F.lit(0))
+    added = {"timed_beats": beats, "running": F.least("queue_length", F.lit(limit)), "waiting": F.greatest(F.col("queue_length") - limit, F.lit(0))}
+    return rows.withColumns(added).drop(PART, "__s", "__low", "__prev", "__base", "__floor", "__last", "__begin")
+
+
+def queue_until_beat(events: DataFrame, dispatch: Column, order: list[str], key: str = "worker", ts: str = "ts", queue: str = "queue_length") -> DataFrame:
+    """Adds ``queue_now``: the queue of a worker's last beat and one for each ``dispatch`` since; without a beat, the dispatches alone.
+
+    Parts of a worker's time hand on their dispatches and the last beat with those before it.
     """
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = calls.withColumn("__s", F.sum(step).over(upto)).withColumn("queue_length", F.col("__s") - F.least(F.lit(0), F.min("__s").over(upto)))
-    ticks = F.floor((F.unix_timestamp(ts) - F.unix_timestamp(F.min(ts).over(upto))) / BEAT)
-    rows = rows.withColumn("__t", ticks).withColumn("timed_beats", F.col("__t") - F.coalesce(F.lag("__t").over(w), F.lit(0)))
-    return rows.withColumns({"running": F.least("queue_length", F.lit(limit)), "waiting": F.greatest(F.col("queue_length") - limit, F.lit(0))}).drop("__s", "__t")
+    w = upto(ts, *order)
+    local = parted(events, key, ts).withColumn("__c", F.sum(F.when(dispatch, 1).otherwise(0)).over(w))
+    local = local.withColumn("__beat", F.last(F.when(~dispatch, F.struct(F.col(queue).alias("q"), F.col("__c").alias("c"))), ignorenulls=True).over(w))
+    newest = F.struct(ts, *order)
+    ends = [F.max_by("__c", newest).alias("__sum"), F.max_by("__beat", newest).alias("__end")]
+    sums = lambda w: [F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base")]
+    shifted = F.when(F.col("__end").isNotNull(), F.struct(F.col("__end.q").alias("q"), (F.col("__end.c") + F.col("__base")).alias("c")))
+    rows = with_carry(local, ends, lambda w: [F.col("__base"), F.last(shifted, ignorenulls=True).over(w).alias("__old")], sums)
+    own = F.coalesce("__beat.q", F.lit(0)) + F.col("__c") - F.col("__beat.c")
+    old = F.coalesce("__old.q", F.lit(0)) + F.col("__base") + F.col("__c") - F.coalesce("__old.c", F.lit(0))
+    now = F.when(F.col("__beat").isNotNull(), own).otherwise(old)
+    return rows.withColumn("queue_now", now.cast("long")).drop(PART, "__c", "__beat", "__base", "__old")
 
 
 def user_text(text: Column, has_image: Column) -> Column:

@@ -111,12 +111,7 @@ def t08(d):
 
 @query("x06_dispatch_until_beat", f"WITH {EVENTS}, d AS (SELECT event_id, worker, queue_length, model, sum(CASE WHEN model <> 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY ts, event_id) AS beat FROM e) SELECT event_id, worker, CAST(coalesce(max(CASE WHEN model <> 'click' THEN queue_length END) OVER w, 0) + count(CASE WHEN model = 'click' THEN 1 END) OVER w AS BIGINT) AS queue_now FROM d WINDOW w AS (PARTITION BY worker, beat ORDER BY event_id)")
 def x06(d):
-    from pyspark.sql import Window
-
-    dispatch = F.col("model") == "click"
-    rows = _events(d).withColumn("beat", F.sum(F.when(dispatch, 0).otherwise(1)).over(Window.partitionBy("worker").orderBy("ts", "event_id")))
-    w = Window.partitionBy("worker", "beat").orderBy("event_id")
-    return rows.select("event_id", "worker", (F.coalesce(F.max(F.when(~dispatch, F.col("queue_length"))).over(w), F.lit(0)) + F.count(F.when(dispatch, 1)).over(w)).cast("long").alias("queue_now"))
+    return rg.queue_until_beat(_events(d), F.col("model") == "click", ["event_id"]).select("event_id", "worker", "queue_now")
 
 
 @query("x08_cumulative_text", "SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations")

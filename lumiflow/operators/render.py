@@ -183,24 +183,74 @@ def pixel_mlp(pixels: DataFrame, layers: Sequence[tuple[Matrix, Sequence[float]]
     return rows.withColumn("out", F.transform(linear(F.col("__x"), *out), final)).drop("__x", "__h")
 
 
+WIDE_ACTIVATIONS = {"none": lambda v: v, "sigmoid": lambda v: 1 / (1 + np.exp(-v)), "hard_sigmoid": lambda v: np.clip(v / 6 + 0.5, 0, 1), "hard_tanh": lambda v: (np.clip(v, -1, 1) * 1.1 + 1) * 0.5}
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rectified rows with mean 0 and variance 1."""
+    x = np.maximum(x, 0)
+    return (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)
+
+
 def wide_pixels(pixels: DataFrame, layers, out, act: str = "sigmoid") -> DataFrame:
     """(image_id, px, out) as ``pixel_mlp`` gives it without conditions, by matrix products over Arrow batches."""
     mats = [(np.asarray(w, dtype=float), np.asarray(b, dtype=float)) for w, b in layers]
     last = tuple(np.asarray(x, dtype=float) for x in out)
-    acts = {"none": lambda v: v, "sigmoid": lambda v: 1 / (1 + np.exp(-v)), "hard_sigmoid": lambda v: np.clip(v / 6 + 0.5, 0, 1), "hard_tanh": lambda v: (np.clip(v, -1, 1) * 1.1 + 1) * 0.5}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             for w, b in mats:
-                x = np.maximum(x @ w.T + b, 0)
-                x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)
-            y = acts[act](x @ last[0].T + last[1])
+                x = _normed(x @ w.T + b)
+            y = WIDE_ACTIVATIONS[act](x @ last[0].T + last[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))], names=["image_id", "px", "out"])
 
     return pixels.select("image_id", "px", "rgb").mapInArrow(run, "image_id long, px long, out array<double>")
 
 
+#: Pixels in a row of a tile, and pixels whose features are in memory at once.
+TILE, AT_ONCE = 256, 32_768
+
+
+def wide_renderer(pixels: DataFrame, latents: DataFrame, layers, conditions, out, act: str = "sigmoid", image: str = "image_id", latent: str = "z") -> DataFrame:
+    """(image_id, px, out) as ``pixel_mlp`` gives it with ``conditions`` at widths of networks in use, by matrix products over Arrow batches.
+
+    ``conditions`` has for each layer the method (``add`` or ``adain``) and the weight and bias that project the rectified ``latent``;
+    ``latents`` has a row an image, and pixels without one are left out.  Up to ``TILE`` neighbouring pixels share a row and its latent, so vectors aren't repeated a pixel
+    and a large picture is spread over tasks; what a tile needs doesn't grow with the picture.
+    """
+    pair = lambda p: tuple(np.asarray(x, dtype=float) for x in p)
+    mats = [(*pair(layer), method, *pair(projection)) for layer, (method, projection) in zip(layers, conditions, strict=True)]
+    if {m for _, _, m, _, _ in mats} - {"add", "adain"}:
+        raise ValueError("conditions are add or adain")
+    last, final = pair(out), WIDE_ACTIVATIONS[act]
+
+    def rendered(x: np.ndarray, z: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        z = np.maximum(z, 0)
+        for w, b, method, wz, bz in mats:
+            x = _normed(x @ w.T + b)
+            k = np.repeat(z @ wz.T + bz, lengths, axis=0)
+            n = x.shape[1]
+            x = x + k if method == "add" else x * (1 + k[:, :n]) + k[:, n:]
+        return final(x @ last[0].T + last[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, AT_ONCE // TILE)
+        for whole in batches:
+            for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                ids, px, rgb, z = (batch.column(i) for i in range(4))
+                lengths = np.diff(px.offsets.to_numpy())
+                x = rgb.flatten().flatten().to_numpy(zero_copy_only=False).reshape(lengths.sum(), -1)
+                y = rendered(x, z.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), lengths)
+                result = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(batch.num_rows), lengths))), px.flatten(), result], names=["image_id", "px", "out"])
+
+    tiles = pixels.groupBy(F.col(image).alias("image_id"), F.floor(F.col("px") / TILE).alias("tile")).agg(F.collect_list(F.struct("px", "rgb")).alias("p"))
+    vectors = latents.select(F.col(image).alias("__image"), F.col(latent).alias("z"))
+    rows = tiles.join(vectors, F.col("image_id") == F.col("__image")).select("image_id", "p.px", "p.rgb", "z")
+    return rows.mapInArrow(run, "image_id long, px long, out array<double>")
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
     """x times the normal distribution function at x, by the series of the error function whose terms are all positive."""
     y = np.minimum(np.abs(x) / np.sqrt(2.0), 6.0)

@@ -95,6 +95,19 @@ def optimizer_groups(params: DataFrame, rates: dict[str, float], decay: float) -
     return params.where("requires_grad").select("name", key.alias("rate_key"), F.when(decays, F.lit(decay)).otherwise(0.0).alias("weight_decay"))
 
 
+def skipped_parameters(tensors: DataFrame, order: str = "module") -> DataFrame:
+    """(module, parameters, skipped): values of each module, those that share a storage counted once in it, and the sum up to the module.
+
+    ``tensors`` has module, storage and values (a count).  A storage that two modules share counts in each, as each reports its own.
+    """
+    from .batching import running_sum
+
+    once = tensors.groupBy("module", "storage").agg(F.max("values").alias("__n"))
+    modules = once.groupBy("module").agg(F.sum("__n").cast("long").alias("parameters"))
+    rows = running_sum(modules, [order], F.col("parameters"), "skipped")
+    return rows.withColumn("skipped", F.col("skipped") + F.col("parameters"))
+
+
 def mean_rows(rows: DataFrame, values: str = "embedding") -> DataFrame:
     """(dim, mean): the value that new rows of an embedding take, by dimension."""
     return rows.select(F.posexplode(values).alias("dim", "v")).groupBy("dim").agg(F.avg(F.col("v").cast("double")).alias("mean"))

@@ -98,6 +98,37 @@ def n03_cross(d):
 _Z = "z AS (SELECT vec_id, " + ", ".join(f"{e} AS k{i}" for i, e in enumerate(_lin(WZ, [0.0] * 4, [f"greatest({_E.format(j + 1)} * {'(vec_id % 2)' if 2 <= j < 4 else '1'}, 0.0::DOUBLE)" for j in range(6)]))) + " FROM embeddings)"
 
 
+def _dense(name, x, rows, cols, a, b, m, c, unit=10):
+    """SQL of a linear map whose weights follow from their places; ``c`` bounds the bias."""
+    w = f"((i * {a} + j * {b}) % {m} - {m // 2}) / {unit}.0::DOUBLE"
+    return f"list_transform(range({rows}), lambda i: list_sum(list_transform(range({cols}), lambda j: {w} * {x}[j + 1])) + (i % {c} - {c // 2}) / {unit}.0::DOUBLE) AS {name}"
+
+
+def _made(rows, cols, a, b, m, c, unit=10):
+    return [[((i * a + j * b) % m - m // 2) / unit for j in range(cols)] for i in range(rows)], [(i % c - c // 2) / unit for i in range(rows)]
+
+
+_UNIT = "list_transform({0}, lambda v: (v - list_avg({0})) / sqrt(list_var_pop({0}) + 1e-5::DOUBLE)) AS n"
+_RECTIFIED = "list_transform({0}, lambda v: greatest(v, 0.0::DOUBLE)) AS h"
+
+
+@query("n01_wide_conditions", f"""WITH z AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(CAST(v AS DOUBLE), 0.0::DOUBLE)) AS z FROM embeddings),
+k AS (SELECT vec_id, {_dense("k1", "z", 128, 64, 3, 5, 11, 3)}, {_dense("k2", "z", 64, 64, 2, 7, 13, 5)} FROM z),
+p AS (SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) AS px, [(l_orderkey % 256) / 255.0::DOUBLE, (l_partkey % 256) / 255.0::DOUBLE, (l_suppkey % 256) / 255.0::DOUBLE] AS x FROM lineitem),
+a1 AS (SELECT image_id, px, {_dense("a", "x", 64, 3, 7, 3, 11, 5)} FROM p), h1 AS (SELECT image_id, px, {_RECTIFIED.format("a")} FROM a1), n1 AS (SELECT image_id, px, {_UNIT.format("h")} FROM h1),
+x1 AS (SELECT image_id, px, k2, list_transform(range(64), lambda i: n[i + 1] * (1 + k1[i + 1]) + k1[i + 65]) AS x FROM n1 JOIN k ON image_id % 500 = vec_id),
+a2 AS (SELECT image_id, px, k2, {_dense("a", "x", 64, 64, 5, 2, 13, 3)} FROM x1), h2 AS (SELECT image_id, px, k2, {_RECTIFIED.format("a")} FROM a2), n2 AS (SELECT image_id, px, k2, {_UNIT.format("h")} FROM h2),
+x2 AS (SELECT image_id, px, list_transform(range(64), lambda i: n[i + 1] + k2[i + 1]) AS x FROM n2), o AS (SELECT image_id, px, {_dense("o", "x", 3, 64, 3, 1, 7, 3, 50)} FROM x2)
+SELECT image_id, px, list_transform(o, lambda v: round(1 / (1 + exp(-v)), 6)) AS out FROM o""")
+def n01_wide(d):
+    """The renderer at width 64 with a scale and shift in the first layer and a sum in the second; a latent for each image."""
+    images = d.lineitem.select(F.col("l_orderkey").alias("image_id")).distinct().withColumn("vec_id", F.col("image_id") % 500)
+    latents = images.join(d.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("z")), "vec_id")
+    layers = [_made(64, 3, 7, 3, 11, 5), _made(64, 64, 5, 2, 13, 3)]
+    conditions = [("adain", _made(128, 64, 3, 5, 11, 3)), ("add", _made(64, 64, 2, 7, 13, 5))]
+    return rn.wide_renderer(_pixels(d), latents, layers, conditions, _made(3, 64, 3, 1, 7, 3, 50)).select("image_id", "px", _round("out").alias("out"))
+
+
 @query("n09_retouch_renderer", f"WITH {_H}, {_Z} SELECT image_id, px, {_out_sql(' + k{0}')} FROM n JOIN z ON n.image_id % 500 = z.vec_id")
 def n09(d):
     mask = F.array(F.lit(1.0), (F.col("vec_id") % 2).cast("double"), F.lit(1.0))
@@ -205,6 +236,14 @@ def x04(d):
     return rg.admission(_events(d), step, ["event_id"]).select("event_id", "worker", F.col("queue_length").cast("long").alias("queue_length"), F.col("timed_beats").cast("long").alias("timed_beats"))
 
 
+@query("a14_skipped_parameters", """WITH t AS (SELECT label AS module, md5(CAST(round(CAST(embedding[1] AS DOUBLE) * 8) AS INTEGER)::VARCHAR) AS storage, max(len(embedding)) AS n FROM embeddings GROUP BY ALL),
+m AS (SELECT module, CAST(sum(n) AS BIGINT) AS parameters FROM t GROUP BY module) SELECT module, parameters, CAST(sum(parameters) OVER (ORDER BY module) AS BIGINT) AS skipped FROM m""")
+def a14(d):
+    """Labels are modules; vectors whose first value is about the same share a storage."""
+    storage = F.md5(F.rint(F.element_at("embedding", 1).cast("double") * 8).cast("int").cast("string").cast("binary"))
+    return wt.skipped_parameters(d.embeddings.select(F.col("label").alias("module"), storage.alias("storage"), F.size("embedding").alias("values")))
+
+
 @query("k07_weight_sinks", f"""WITH w AS (SELECT {NAMED} AS name, vec_id FROM embeddings), s AS (SELECT DISTINCT string_split(name, 'lora_')[1] || 'bias' AS b FROM w WHERE contains(name, 'lora_'))
 SELECT vec_id, 'mm_projector' AS sink FROM w WHERE contains(name, 'mm_projector') UNION ALL SELECT vec_id, 'adapter_model' FROM w WHERE contains(name, 'lora_') OR name IN (SELECT b FROM s) UNION ALL SELECT vec_id, 'non_lora_trainables' FROM w WHERE NOT contains(name, 'lora_') AND vec_id % 13 <> 0""")
 def k07(d):

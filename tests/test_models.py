@@ -248,3 +248,30 @@ def test_curves():
     assert np.allclose(icc.curve(_para(4, 2.0, 1.0, 0.0, 0.5, 0.25, 0.125, 0.0625)), np.where(x >= 0.25, x**2 + 0.125, 0.5 * x + 0.0625))
     with pytest.raises(ValueError):
         icc.curve(b"mft2")
+
+
+def test_wide_renderer_equals_the_narrow_one(spark):
+    """Tiles of a picture of 700 pixels, one of 3, one without a latent, conditions of both kinds."""
+    rng = np.random.default_rng(4)
+    m = lambda r, c: (rng.normal(size=(r, c)).tolist(), rng.normal(size=r).tolist())
+    layers, conditions, out = [m(6, 3), m(6, 6)], [("adain", m(12, 5)), ("add", m(6, 5))], m(3, 6)
+    latents = {7: rng.normal(size=5).tolist(), 9: rng.normal(size=5).tolist(), 11: [0.0] * 5}
+    places = [(7, i) for i in rng.permutation(700).tolist()] + [(9, i) for i in (0, 255, 256)] + [(8, 0)]
+    pixels = spark.createDataFrame([(i, p, rng.random(3).tolist()) for i, p in places], "image_id long, px long, rgb array<double>").repartition(5)
+    z = spark.createDataFrame(list(latents.items()), "image_id long, z array<double>")
+    ks = z.select("image_id", *(rn.linear(rn.relu(F.col("z")), *p).alias(f"k{i}") for i, (_, p) in enumerate(conditions)))
+    want = rn.pixel_mlp(pixels.join(ks, "image_id"), layers, out, conditions=[("adain", "k0"), ("add", "k1")])
+    want = {(r["image_id"], r["px"]): r["out"] for r in want.collect()}
+    rows = rn.wide_renderer(pixels, z, layers, conditions, out).collect()
+    assert len(rows) == len(want) == 703
+    for r in rows:
+        assert np.allclose(r["out"], want[r["image_id"], r["px"]], atol=1e-12)
+    assert rn.wide_renderer(pixels.where("false"), z, layers, conditions, out).count() == 0
+    with pytest.raises(ValueError, match="add or adain"):
+        rn.wide_renderer(pixels, z, layers, [("cat", m(6, 5)), conditions[1]], out)
+
+
+def test_storages_are_counted_once_a_module(spark):
+    rows = [("b", "x", 10), ("b", "x", 10), ("b", "y", 4), ("a", "x", 10), ("c", None, 3), ("c", None, 3)]
+    got = wt.skipped_parameters(spark.createDataFrame(rows, "module string, storage string, values int")).orderBy("module").collect()
+    assert [tuple(r) for r in got] == [("a", 10, 10), ("b", 14, 24), ("c", 3, 27)]

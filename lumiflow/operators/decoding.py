@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def bigram_logits(texts: DataFrame, text: str) -> DataFrame:
     """(context, token, logit): logarithms of how often a character follows another in whole texts."""
@@ -69,3 +71,22 @@ def beams(starts: DataFrame, steps: DataFrame, width: int, length: int, end: str
         moved = at.where(F.col("last") != end).join(steps, F.col("last") == F.col("context")).select("start", F.concat("sequence", "token").alias("sequence"), F.col("token").alias("last"), (F.col("score") + F.col("step")).alias("score"))
         at = moved.union(at.where(F.col("last") == end)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width).drop("rank")
     return at.select("start", "sequence", "score", F.row_number().over(best).cast("long").alias("rank"))
+
+
+#: Parts over which the rows of one frequent id are dealt.
+SALT = 16
+
+
+def decoded_text(generated: DataFrame, vocabulary: DataFrame, special: list[int], key: list[str], ids: str = "ids") -> DataFrame:
+    """(key, text): the pieces of generated ids without ``special`` ones, joined and stripped. ``vocabulary``: id, piece.
+
+    Ids meet their pieces in a join; a frequent id is dealt over ``SALT`` parts, in each of which the vocabulary stands once.  A reply is one row, as its length has a budget.
+    Unknown ids give nothing; null or empty ids give an empty text; keys are unique.
+    """
+    tokens = generated.select(*key, F.posexplode(ids).alias("__pos", "id")).where(~F.col("id").isin(*special))
+    tokens = tokens.withColumn("__salt", F.pmod(F.xxhash64(*key, "__pos"), F.lit(SALT)))
+    pieces = vocabulary.select("id", "piece", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALT)))).alias("__salt"))
+    found = tokens.join(pieces, ["id", "__salt"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__pos", "piece"))).alias("__p"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    rows = generated.select(*key).join(found.select(*(F.col(k).alias(f"__{k}") for k in key), "__p"), same, "left")
+    return rows.select(*key, strip(F.coalesce(F.array_join(F.transform("__p", lambda p: p["piece"]), ""), F.lit(""))).alias("text"))

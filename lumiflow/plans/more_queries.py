@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from ..functions import templates as tp
 from ..functions import tokens as tk
 from ..operators import chat
+from ..operators import decoding as dc
 from ..operators import registry as rg
 from ..operators import render as rn
 from ..operators import weights as wt
@@ -219,6 +220,18 @@ def n25(d):
     return rn.pixel_mlp(rows, [(W1, B1)], (W2, B2), conditions=[("add", "k")]).select("image_id", "px", _round("out").alias("out"))
 
 
+@query("n25_replies", "SELECT conv_id, turn, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS reply FROM conversations")
+def n25_replies(d):
+    """The text beside a generated picture: words of a turn as ids, with the marks of the three latents among them, and back."""
+    words = F.transform(F.split("text", " "), lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)))
+    rows = d.conversations.select("conv_id", "turn", words.alias("w"))
+    vocabulary = rows.select(F.explode("w").alias("piece")).distinct().select(F.xxhash64("piece").alias("id"), "piece")
+    ids = F.transform("w", lambda w: F.xxhash64(w))
+    marks = lambda *m: F.array(*(F.lit(i).cast("long") for i in m))
+    marked = F.concat(marks(900), F.slice(ids, 1, 2), marks(901, 902), F.slice(ids, F.lit(3), F.greatest(F.size(ids), F.lit(0))), marks(900))
+    return dc.decoded_text(rows.select("conv_id", "turn", marked.alias("ids")), vocabulary, [900, 901, 902], ["conv_id", "turn"]).withColumnRenamed("text", "reply")
+
+
 # ---- the worker's side of the pool, and what a trainer saves
 
 

@@ -275,3 +275,11 @@ def test_storages_are_counted_once_a_module(spark):
     rows = [("b", "x", 10), ("b", "x", 10), ("b", "y", 4), ("a", "x", 10), ("c", None, 3), ("c", None, 3)]
     got = wt.skipped_parameters(spark.createDataFrame(rows, "module string, storage string, values int")).orderBy("module").collect()
     assert [tuple(r) for r in got] == [("a", 10, 10), ("b", 14, 24), ("c", 3, 27)]
+
+
+def test_decoded_text(spark):
+    """A frequent id, unknown and special ones, nothing at all, a null key."""
+    rows = [(1, [5] * 300 + [6]), (2, [900, 6, 77, 5, 901]), (3, []), (4, None), (None, [7, 5, 7])]
+    words = spark.createDataFrame([(5, " a"), (6, "b "), (7, "\n")], "id int, piece string")
+    got = dc.decoded_text(spark.createDataFrame(rows, "k int, ids array<int>"), words, [900, 901], ["k"]).collect()
+    assert {r["k"]: r["text"] for r in got} == {1: (" a" * 300 + "b").strip(), 2: "b  a", 3: "", 4: "", None: "a"} and len(got) == 5

@@ -8,7 +8,7 @@ from lumiflow.plans.catalog import ORACLE, QUERIES
 
 
 #: Queries with kernels, formats or block products over Arrow batches.
-PYTHON = ("k03_", "n01_wide_", "n12_", "n15_", "n25_", "n26_", "s01_", "s05_base64_pictures", "s06_", "s09_lora_")
+PYTHON = ("k03_", "n01_wide_", "n12_", "n15_", "n25_generated_", "n26_", "s01_", "s05_base64_pictures", "s06_", "s09_lora_")
 
 
 @pytest.fixture(scope="module")

@@ -73,6 +73,20 @@ def test_attention_in_blocks(spark, block, scale):
         assert np.allclose(got[i], w @ v[group(i) :: 2] / w.sum())
 
 
+@pytest.mark.parametrize("part", [4, 11, 2048])
+def test_states_of_small_blocks_are_merged_where_they_are_made(spark, part):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(60, 3))
+    rows = spark.createDataFrame([(0, i, x.tolist(), x.tolist()) for i, x in enumerate(v)], "grp int, kid long, k array<double>, v array<double>")
+    queries = rows.select("grp", F.col("kid").alias("qid"), F.col("k").alias("q"))
+    assert at.attention_states(queries, rows, 700.0, 2, part).groupBy("qid").count().agg(F.max("count")).first()[0] <= -(-60 // part)
+    got = {r["qid"]: r["out"] for r in at.block_attention(queries, rows, 700.0, 2, part).collect()}
+    for i in range(60):
+        s = v @ v[i] * 700.0
+        w = np.exp(s - s.max())
+        assert np.allclose(got[i], w @ v / w.sum())
+
+
 LOGITS = [("a", "x", 2.0), ("a", "y", 2.0), ("a", "z", 0.0), ("b", "x", -700.0), ("b", "y", 700.0), ("x", ".", 1.0), ("y", "a", 1.0)]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import templates as tp
+from ..functions.numbers import rounded_binary
 from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import batching as bt
@@ -376,7 +377,7 @@ def g09(d):
 
 @query("g10_normalise", "SELECT l_orderkey, l_linenumber, round((CAST(l_partkey % 256 AS DOUBLE) / 255.0::DOUBLE - 0.5) * 2, 6) AS v FROM lineitem")
 def g10(d):
-    return d.lineitem.select("l_orderkey", "l_linenumber", F.round(g.normalised(F.col("l_partkey") % 256), 6).alias("v"))
+    return d.lineitem.select("l_orderkey", "l_linenumber", rounded_binary(g.normalised(F.col("l_partkey") % 256), 6).alias("v"))
 
 
 @query("g11_to_byte", "SELECT l_orderkey, l_linenumber, CAST(round_even(least(greatest(l_discount * 20 - 0.5, 0), 1) * 255, 0) AS INTEGER) AS v FROM lineitem")

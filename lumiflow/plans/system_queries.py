@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.numbers import rounded_binary
 from ..operators import registry as rg
 from ..operators import render as rn
 from ..operators import weights as wt
@@ -195,6 +196,9 @@ def _weights(d):
     return d.embeddings.withColumn("name", F.expr("CASE WHEN vec_id % 50 = 0 THEN concat('model.mm_projector.w', vec_id) WHEN vec_id % 7 = 0 THEN concat('layers.', vec_id, '.lora_A.weight') WHEN vec_id % 5 = 0 THEN concat('layers.', vec_id + 2, '.bias') WHEN vec_id % 11 = 0 THEN concat('vision_tower.b', vec_id, '.norm') ELSE concat('layers.', vec_id, '.proj') END")).withColumn("requires_grad", v % 13 != 0)
 
 
+_round = lambda c: F.transform(c, lambda x: rounded_binary(x, 6))
+
+
 def _tensor(d, cond, shape, scale):
     size = shape[0] * shape[1]
     return d.embeddings.where(cond).select(F.concat(F.lit("t"), "vec_id").alias("name"), F.array(*(F.lit(x) for x in shape)).alias("shape"), F.transform(F.slice("embedding", 1, size), lambda x: x.cast("double") * scale).alias("data"))
@@ -204,14 +208,14 @@ def _tensor(d, cond, shape, scale):
 def j06(d):
     base = _tensor(d, "vec_id % 9 <> 0 and vec_id % 2 = 0", (8, 8), 0.5).unionByName(_tensor(d, "vec_id % 9 <> 0 and vec_id % 2 = 1", (4, 8), 0.5))
     out = wt.weight_delta(_tensor(d, "true", (8, 8), 1.0), base)
-    return out.select("name", F.transform("data", lambda x: F.round(x, 6)).alias("data"), "problem")
+    return out.select("name", _round("data").alias("data"), "problem")
 
 
 @query("k08_delta_round_trip", "SELECT 't' || vec_id AS name, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS data FROM embeddings")
 def k08(d):
     full, base = _tensor(d, "true", (8, 8), 1.0), _tensor(d, "true", (8, 8), 0.5)
     delta = wt.weight_delta(full, base).select("name", F.array(F.lit(8), F.lit(8)).alias("shape"), "data")
-    return wt.weight_delta(delta, base, 1).select("name", F.transform("data", lambda x: F.round(x, 6)).alias("data"))
+    return wt.weight_delta(delta, base, 1).select("name", _round("data").alias("data"))
 
 
 @query("p15_adapter_targets", f"WITH w AS (SELECT {NAMED} AS name, vec_id FROM embeddings) SELECT DISTINCT string_split(name, '.')[-1] AS module FROM w WHERE vec_id % 3 <> 0 AND NOT contains(name, 'mm_projector') AND NOT contains(name, 'vision_tower') AND NOT contains(name, 'vision_resampler') AND string_split(name, '.')[-1] <> 'lm_head'")
@@ -245,7 +249,7 @@ def z18(d):
 
 @query("a11_embedding_mean", "SELECT CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY i")
 def a11(d):
-    return wt.mean_rows(d.embeddings).select("dim", F.round("mean", 6).alias("mean"))
+    return wt.mean_rows(d.embeddings).select("dim", rounded_binary(F.col("mean"), 6).alias("mean"))
 
 
 # ---- pixel kernels, at eight values of a vector
@@ -275,9 +279,6 @@ def _out_sql(add="", act="1 / (1 + exp(-({0})))"):
     return "[" + ", ".join(f"round({act.format(e)}, 6)" for e in _lin(W2, B2, xs)) + "] AS out"
 
 
-_round = lambda c: F.transform(c, lambda x: F.round(x, 6))
-
-
 @query("n07_pixel_mlp", f"WITH {_H} SELECT image_id, px, {_out_sql()} FROM n")
 def n07(d):
     return rn.pixel_mlp(_pixels(d), [(W1, B1)], (W2, B2)).select("image_id", "px", _round("out").alias("out"))
@@ -370,14 +371,14 @@ def n23(d):
 @query("g13_activations", "SELECT l_orderkey, l_linenumber, greatest(x, 0) AS relu, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(least(greatest(x / 6 + 0.5, 0), 1), 6) AS hard_sigmoid, round((least(greatest(x, -1), 1) * 1.1 + 1) * 0.5, 6) AS hard_tanh FROM (SELECT *, l_quantity / 5.0::DOUBLE - 5 AS x FROM lineitem)")
 def g13(d):
     x = F.col("l_quantity") / 5.0 - 5
-    return d.lineitem.select("l_orderkey", "l_linenumber", F.greatest(x, F.lit(0.0)).alias("relu"), *(F.round(rn.ACTIVATIONS[a](x), 6).alias(a) for a in ("sigmoid", "hard_sigmoid", "hard_tanh")))
+    return d.lineitem.select("l_orderkey", "l_linenumber", F.greatest(x, F.lit(0.0)).alias("relu"), *(rounded_binary(rn.ACTIVATIONS[a](x), 6).alias(a) for a in ("sigmoid", "hard_sigmoid", "hard_tanh")))
 
 
 @query("g14_delta_features", "SELECT vec_id, list_transform(range(1, 4), lambda i: round(CAST(embedding[i + 3] AS DOUBLE) - CAST(embedding[i] AS DOUBLE), 6)) AS diff, list_transform(range(1, 4), lambda i: round(CAST(embedding[i + 3] AS DOUBLE) / (CAST(embedding[i] AS DOUBLE) + 1e-6::DOUBLE), 6) + 0.0::DOUBLE) AS ratio FROM embeddings")
 def g14(d):
     e = F.transform("embedding", lambda x: x.cast("double"))
     diff, ratio = rn.delta_features(F.slice(e, 1, 3), F.slice(e, 4, 3))
-    return d.embeddings.select("vec_id", _round(diff).alias("diff"), F.transform(ratio, lambda x: F.round(x, 6) + 0.0).alias("ratio"))
+    return d.embeddings.select("vec_id", _round(diff).alias("diff"), F.transform(ratio, lambda x: rounded_binary(x, 6) + 0.0).alias("ratio"))
 
 
 @query("r06_masked_latent", "SELECT vec_id, list_transform(range(1, 64), lambda i: round(CAST(embedding[i] AS DOUBLE) * CASE WHEN (i - 1) // 21 = 0 THEN 1 WHEN (i - 1) // 21 = 1 THEN vec_id % 2 ELSE 1 END, 6) + 0.0::DOUBLE) AS latent FROM embeddings")
@@ -390,7 +391,7 @@ def r06(d):
 @query("a12_channel_pools", "SELECT vec_id, CAST((i - 1) % 4 AS INTEGER) AS channel, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, round(max(CAST(embedding[i] AS DOUBLE)), 6) AS max FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2")
 def a12(d):
     rows = d.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return rows.groupBy("vec_id", (F.col("i") % 4).alias("channel")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"), F.round(F.max(F.col("v").cast("double")), 6).alias("max"))
+    return rows.groupBy("vec_id", (F.col("i") % 4).alias("channel")).agg(rounded_binary(F.avg(F.col("v").cast("double")), 6).alias("mean"), rounded_binary(F.max(F.col("v").cast("double")), 6).alias("max"))
 
 
 @query("a13_layer_norm", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), m AS (SELECT *, list_avg(x) AS mean, list_var_pop(x) AS var FROM e) SELECT vec_id, list_transform(x, lambda v: round((v - mean) / sqrt(var + 1e-5::DOUBLE), 6)) AS x FROM m")

@@ -86,3 +86,24 @@ def test_an_unknown_mode_fails(spark):
 
     with pytest.raises(PySparkException, match="no such mode"):
         spark.range(1).select(params.checked_mode(F.lit("other"))).collect()
+
+
+def test_rounded_as_c_does(spark):
+    from lumiflow.functions.numbers import rounded_binary
+
+    wanted = {-1e-7: -0.0, 1e-7: 0.0, -0.0: -0.0, -2.5e-7: -0.0, 0.0078125: 0.007813, -0.0078125: -0.007813, 1.0000005: 1.0 if 1.0000005 * 1e6 < 1000000.5 else 1.000001, 1e305: 1e305, float("inf"): float("inf"), 4503599627.370497: 4503599627.370497}
+    df = spark.createDataFrame([(v,) for v in wanted] + [(float("nan"),), (None,)], "v double")
+    got = [r["r"] for r in df.select(rounded_binary(F.col("v"), 6).alias("r")).collect()]
+    assert [repr(g) for g in got] == [*(repr(w) for w in wanted.values()), "nan", "None"]
+
+
+@pytest.mark.parametrize("name", ["g14_delta_features", "n05_dual_condition", "j06_weight_delta", "k08_delta_round_trip", "a12_channel_pools"])
+def test_small_negative_values_are_as_in_sql(spark, tmp_path, name):
+    from oracle import connection, difference, pandas_of
+
+    from lumiflow.plans import data_queries, more_queries, system_queries  # noqa: F401
+    from lumiflow.plans.catalog import ORACLE, QUERIES
+
+    v = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.when(i % 3 == 0, -1e-7).otherwise(-2e-7) * (F.col("id") + 1)).cast("float"))
+    spark.range(4).select(F.col("id").alias("vec_id"), v.alias("embedding"), F.lit(1).alias("label")).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert difference(pandas_of(QUERIES[name](spark, str(tmp_path))), connection(str(tmp_path)).execute(ORACLE[name]).df()) == ""

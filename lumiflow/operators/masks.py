@@ -105,7 +105,8 @@ def plain_labels(caption: Column, sep: str = "\n") -> tuple[Column, Column]:
 
 def legacy_labels(header: Column, lines: Column) -> tuple[Column, Column]:
     """(ids, labels) of the oldest format; ``lines`` is an array<struct<human, text>>: the header, and human lines but for their first two ids, are ignored."""
-    ids = F.concat(char_ids(header), F.flatten(F.transform(lines, lambda m: char_ids(m["text"]))))
-    start = F.struct(F.length(header).cast("long").alias("at"), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.length(header).cast("long").alias("hi"))).alias("spans"))
-    end = F.aggregate(lines, start, lambda a, m: F.struct((a["at"] + F.length(m["text"])).alias("at"), F.when(m["human"], F.concat(a["spans"], F.array(F.struct((a["at"] + 2).alias("lo"), (a["at"] + F.length(m["text"])).alias("hi"))))).otherwise(a["spans"]).alias("spans")))
-    return ids, F.transform(ids, lambda x, i: F.when(F.exists(end["spans"], lambda s: (i >= s["lo"]) & (i < s["hi"])), F.lit(IGNORE).cast("long")).otherwise(x))
+    each = F.transform(lines, lambda m: char_ids(m["text"]))
+    ignored = lambda ids, first: F.transform(ids, lambda x, i: F.when(i >= first, F.lit(IGNORE).cast("long")).otherwise(x))
+    # labels are made line by line, so that no id looks at other lines
+    labels = F.transform(lines, lambda m: ignored(char_ids(m["text"]), F.when(m["human"], 2).otherwise(F.length(m["text"]))))
+    return F.concat(char_ids(header), F.flatten(each)), F.concat(ignored(char_ids(header), 0), F.flatten(labels))

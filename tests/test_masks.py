@@ -63,3 +63,17 @@ def test_user_text_is_never_learned(spark, sf):
 def test_templates_without_rounds(name):
     with pytest.raises(ValueError):
         masks.rule_of(tp.TEMPLATES[name])
+
+
+def test_legacy_labels_of_a_long_conversation(spark):
+    """No id looks at all lines: 3000 lines took minutes when each did."""
+    import time
+
+    text = [("abcdefghij" * 3)[: i % 31] for i in range(3000)]
+    lines = F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda i: F.struct((i % 2 == 0).alias("human"), F.substr(F.lit("abcdefghij" * 3), F.lit(1), (i % 31).cast("int")).alias("text")))
+    df = spark.range(1).select(lines.alias("lines"))
+    began = time.perf_counter()
+    ids, labels = df.select(*(c.alias(n) for n, c in zip(("ids", "labels"), masks.legacy_labels(F.lit("A header."), F.col("lines")), strict=True))).first()
+    assert time.perf_counter() - began < 30
+    assert ids == [ord(c) for c in "A header." + "".join(text)]
+    assert labels == [tk.IGNORE] * 9 + [ord(c) if i % 2 or k < 2 else tk.IGNORE for i, line in enumerate(text) for k, c in enumerate(line)]

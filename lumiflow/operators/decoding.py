@@ -17,8 +17,11 @@ from ..functions.text import strip
 
 def bigram_logits(texts: DataFrame, text: str) -> DataFrame:
     """(context, token, logit): logarithms of how often a character follows another in whole texts."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))
-    counts = texts.where(F.length(text) > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    # a text is cut into its characters once: a place in UTF-8 is found by walking there from the start
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    cut = texts.where(F.length(text) > 1).select(chars.alias("c"), F.length(text).alias("n"))
+    pairs = F.zip_with(F.slice("c", F.lit(1), F.col("n") - 1), F.slice("c", F.lit(2), F.col("n") - 1), lambda a, b: F.concat(a, b))
+    counts = cut.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     return counts.select(F.substring("pair", 1, 1).alias("context"), F.substring("pair", 2, 1).alias("token"), F.log("n").alias("logit"))
 
 

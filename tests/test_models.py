@@ -94,6 +94,19 @@ def logits(spark):
     return spark.createDataFrame(LOGITS, "context string, token string, logit double")
 
 
+def test_pairs_of_characters_in_long_texts(spark):
+    """Each place was once found by walking from the start of the text, which took minutes here."""
+    import time
+    from collections import Counter
+
+    text = "aé漢😀b c" * 60_000
+    df = spark.createDataFrame([(text,), ("x",), ("",), (None,), ("ab",)], "text string")
+    began = time.perf_counter()
+    got = {(r["context"], r["token"]): round(math.exp(r["logit"])) for r in dc.bigram_logits(df, "text").collect()}
+    assert time.perf_counter() - began < 30
+    assert got == Counter(zip(text, text[1:], strict=False)) + Counter([("a", "b")])
+
+
 def test_nucleus_edges(spark):
     kept = lambda t, p: {(r["context"], r["token"]): r["p"] for r in dc.nucleus(logits(spark), t, p).collect()}
     assert kept(0, 0.9) == {("a", "x"): 1.0, ("b", "y"): 1.0, ("x", "."): 1.0, ("y", "a"): 1.0}  # ties: the smallest token

@@ -107,3 +107,18 @@ def test_small_negative_values_are_as_in_sql(spark, tmp_path, name):
     v = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.when(i % 3 == 0, -1e-7).otherwise(-2e-7) * (F.col("id") + 1)).cast("float"))
     spark.range(4).select(F.col("id").alias("vec_id"), v.alias("embedding"), F.lit(1).alias("label")).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert difference(pandas_of(QUERIES[name](spark, str(tmp_path))), connection(str(tmp_path)).execute(ORACLE[name]).df()) == ""
+
+
+def test_best_by_join_ranks_bounded_parts_without_a_sort(spark, tmp_path, monkeypatch):
+    from oracle import connection, difference, pandas_of
+
+    from lumiflow.plans import data_queries
+    from lumiflow.plans.catalog import ORACLE, QUERIES
+
+    monkeypatch.setattr(data_queries, "PARTS_A_TASK", 100)
+    keys = spark.range(1, 1000).select(F.col("id").alias("p_partkey"))
+    keys.union(keys.limit(5)).union(spark.sql("select cast(null as bigint)")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["j03_best_by_join"](spark, str(tmp_path))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert difference(pandas_of(got), connection(str(tmp_path)).execute(ORACLE["j03_best_by_join"]).df()) == ""
+    assert got.rdd.getNumPartitions() == 11

@@ -12,7 +12,7 @@ a branch as it is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,37 +63,65 @@ def channel_gates(pixels: DataFrame, first: Sequence[Sequence[float]], second: S
     return pools.select("image", F.array(*(1 / (1 + F.exp(-(a + b))) for a, b in zip(network("m"), network("t"), strict=True))).alias("gates"))
 
 
-def stencil(maps: DataFrame, kernel: np.ndarray, tile: int = TILE) -> DataFrame:
-    """(image, y, x, s): windows of ``kernel`` (planes, k, k) over (image, y, x, planes array), zeros outside."""
+def stencil(maps: DataFrame, kernel: np.ndarray, tile: int = TILE, keep: Sequence[str] = ()) -> DataFrame:
+    """(image, y, x, s, columns of ``keep``): windows of ``kernel`` (planes, k, k) over (image, y, x, planes array), zeros outside.
+
+    Rows come in order of their tiles, so a task takes many tiles at a time and holds no more than a batch and one tile.
+    """
     planes, size, _ = kernel.shape
     reach = size // 2
-    kind = maps.schema["image"].dataType.simpleString()
+    side = tile + 2 * reach
+    most = max(1, (1 << 20) // (side * side * planes))
+    kinds = {c: maps.schema[c].dataType.simpleString() for c in ("image", *keep)}
     tiles = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + o) / tile) for o in ((-reach, 0, reach) if tile >= reach else range(-reach, reach + 1)))))
     rows = maps.withColumn("ty", F.explode(tiles("y"))).withColumn("tx", F.explode(tiles("x")))
-
-    def windows(t: pa.Table) -> pa.Table:
-        ty, tx = t["ty"][0].as_py(), t["tx"][0].as_py()
-        y, x = (np.asarray(t[c].combine_chunks()) for c in ("y", "x"))
-        grid = np.zeros((planes, tile + 2 * reach, tile + 2 * reach))
-        gy, gx = y - ty * tile + reach, x - tx * tile + reach
-        grid[:, gy, gx] = np.asarray(t["planes"].combine_chunks().flatten()).reshape(-1, planes).T
-        out = np.zeros((tile, tile))
-        for dy in range(size):
-            for dx in range(size):
-                out += np.tensordot(kernel[:, dy, dx], grid[:, dy : dy + tile, dx : dx + tile], axes=1)
-        own = np.flatnonzero((y // tile == ty) & (x // tile == tx))
-        take = pa.array(own)
-        return pa.table({"image": t["image"].take(take), "y": t["y"].take(take), "x": t["x"].take(take), "s": pa.array(out[gy[own] - reach, gx[own] - reach])})
-
-    return rows.groupBy("image", "ty", "tx").applyInArrow(windows, f"image {kind}, y long, x long, s double")
+    own = (F.floor(F.col("y") / tile) == F.col("ty")) & (F.floor(F.col("x") / tile) == F.col("tx"))
+    rows = rows.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "planes", "ty", "tx", *(F.when(own, F.col(c)).alias(c) for c in keep))
+    dealt = rows.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx")
+
+    def starts(t: pa.Table) -> np.ndarray:
+        """Places at which a tile begins, and the number of rows."""
+        image = t["image"].combine_chunks().dictionary_encode(null_encoding="encode").indices
+        keys = [np.asarray(image), np.asarray(t["ty"].combine_chunks()), np.asarray(t["tx"].combine_chunks())]
+        return np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, t.num_rows]
+
+    def windows(t: pa.Table, at: np.ndarray) -> pa.Table:
+        y, x, ty, tx = (np.asarray(t[c].combine_chunks()) for c in ("y", "x", "ty", "tx"))
+        group, gy, gx = np.repeat(np.arange(len(at) - 1), np.diff(at)), y - ty * tile + reach, x - tx * tile + reach
+        grid = np.zeros((planes, len(at) - 1, side, side))
+        grid[:, group, gy, gx] = np.asarray(t["planes"].combine_chunks().flatten()).reshape(-1, planes).T
+        out = np.zeros((len(at) - 1, tile, tile))
+        for plane in range(planes):
+            for dy in range(size):
+                for dx in range(size):
+                    out += kernel[plane, dy, dx] * grid[plane, :, dy : dy + tile, dx : dx + tile]
+        mine = np.flatnonzero((y // tile == ty) & (x // tile == tx))
+        sums = pa.array(out[group[mine], gy[mine] - reach, gx[mine] - reach])
+        return t.select(["image", "y", "x", *keep]).take(pa.array(mine)).add_column(3, "s", sums)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            at = starts(t)
+            for i in range(0, len(at) - 2, most):  # the last tile may go on
+                part = at[i : min(i + most, len(at) - 2) + 1]
+                yield from windows(t.slice(part[0], part[-1] - part[0]), part - part[0]).to_batches()
+            rest = t.slice(at[-2])
+        if rest is not None and rest.num_rows:
+            yield from windows(rest, np.array([0, rest.num_rows])).to_batches()
+
+    return dealt.mapInArrow(walk, f"image {kinds['image']}, y long, x long, s double" + "".join(f", {c} {kinds[c]}" for c in keep))
 
 
 def spatial_attention(pixels: DataFrame, kernel: np.ndarray, tile: int = TILE) -> DataFrame:
     """(image, y, x, v): pixels times the sigmoid of a window over their channels' mean and maximum."""
     n = F.size("v")
-    maps = pixels.select("image", "y", "x", F.array(F.aggregate("v", F.lit(0.0), lambda s, v: s + v) / n, F.array_max("v")).alias("planes"))
-    gates = stencil(maps, kernel, tile)
-    return pixels.join(gates, ["image", "y", "x"]).select("image", "y", "x", F.transform("v", lambda v: v / (1 + F.exp(-F.col("s")))).alias("v"))
+    maps = pixels.select("image", "y", "x", F.array(F.aggregate("v", F.lit(0.0), lambda s, v: s + v) / n, F.array_max("v")).alias("planes"), "v")
+    return stencil(maps, kernel, tile, ["v"]).select("image", "y", "x", F.transform("v", lambda v: v / (1 + F.exp(-F.col("s")))).alias("v"))
 
 
 def block_attention_module(pixels: DataFrame, first: Sequence[Sequence[float]], second: Sequence[Sequence[float]], kernel: np.ndarray, tile: int = TILE) -> DataFrame:

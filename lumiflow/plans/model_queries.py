@@ -69,13 +69,6 @@ def _pictures(d):
     return rows.select("picture", F.lit(8).alias("width"), height.alias("height"), F.unhex(F.rpad(F.array_join(F.transform("p", lambda x: x["px"]), ""), height * 48, F.lit("0"))).alias("rgb"))
 
 
-def _pixel_rows(decoded):
-    """(picture, px, rgb) of decoded pictures, without their fill."""
-    each = decoded.select("picture", F.hex("rgb").alias("h"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("px"))
-    part = lambda i: F.conv(F.substr("h", F.col("px") * 6 + 1 + 2 * i, F.lit(2)), 16, 10).cast("long")
-    return each.select("picture", F.col("px").cast("long").alias("px"), F.array(*(part(i) for i in range(3))).alias("rgb"))
-
-
 _FILLED = f"WITH {_PICTURES}, n AS (SELECT picture, (count(*) + 7) // 8 * 8 AS n FROM p GROUP BY picture) SELECT n.picture, CAST(i AS BIGINT) AS px, coalesce(p.rgb, [CAST(0 AS BIGINT), 0, 0]) AS rgb FROM n, unnest(range(n.n)) u(i) LEFT JOIN p ON p.picture = n.picture AND p.px = i"
 
 
@@ -86,13 +79,13 @@ def k03(d):
     files = png.encoded(_pictures(d), "picture")
     fs.save_files(files.select(F.concat(F.col("picture").cast("string"), F.lit(".png")).alias("name"), "content"), folder)
     read = fs.read_files(d.spark, folder).select(F.regexp_extract("name", r"^\d+", 0).cast("long").alias("picture"), "content")
-    return _pixel_rows(png.decoded(read, "picture"))
+    return png.pixel_rows(png.decoded(read, "picture"), "picture")
 
 
 @query("s05_base64_pictures", _FILLED)
 def s05_pictures(d):
     """Pictures in base64, decoded to pixels."""
-    return _pixel_rows(png.decoded(png.encoded(_pictures(d), "picture", (4, 3, 0)).select("picture", F.base64("content").alias("content")), "picture"))
+    return png.pixel_rows(png.decoded(png.encoded(_pictures(d), "picture", (4, 3, 0)).select("picture", F.base64("content").alias("content")), "picture"), "picture")
 
 
 _TO_SRGB = np.linalg.inv(np.array(icc.SRGB)) @ np.round(np.array(icc.ADOBE) * 65536) / 65536
@@ -118,8 +111,11 @@ def s06(d):
         return files.mapInArrow(mark, "picture long, content binary")
 
     files = marked(png.encoded(_pictures(d), "picture").select(F.col("picture").cast("long").alias("picture"), "content"))
+    folder = scratch_folder(d.spark)  # pictures are made once
+    files.write.parquet(folder)
+    files = d.spark.read.parquet(folder)
     found = icc.profiles_of(files, "picture")
-    pixels = _pixel_rows(png.decoded(files, "picture")).join(found.select("picture", "profile"), "picture")
+    pixels = png.pixel_rows(png.decoded(files, "picture").join(found.select("picture", "profile"), "picture"), "picture", ["profile"])
     return icc.to_srgb(pixels, found, fallback).select("picture", "px", "rgb")
 
 

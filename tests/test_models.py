@@ -189,6 +189,40 @@ def test_stencil_is_the_same_for_any_tile(spark):
         assert math.isclose(got[2, 0, 0], kernel[0, 3, 3] + 2 * kernel[1, 3, 3])
 
 
+def test_spatial_attention_in_one_pass_over_sorted_tiles(spark):
+    """Tiles end anywhere in a batch; pixels are not joined to their windows, and no tile is a call of its own."""
+    rng = np.random.default_rng(8)
+    pictures, kernel = {i: rng.normal(size=(h, w, 3)) for i, (h, w) in enumerate(((11, 17), (1, 1), (23, 8)))}, rng.normal(size=(2, 7, 7))
+    rows = [(i, y, x, v[y, x].tolist()) for i, v in pictures.items() for y in range(v.shape[0]) for x in range(v.shape[1])]
+    pixels = spark.createDataFrame(rows, "image int, y long, x long, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = cv.spatial_attention(pixels, kernel, 5)
+        got = {(r["image"], r["y"], r["x"]): r["v"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroups" not in plan
+    assert len(got) == len(rows)
+    for i, v in pictures.items():
+        padded = np.pad(np.stack([v.mean(axis=2), v.max(axis=2)]), ((0, 0), (3, 3), (3, 3)))
+        s = sum(np.tensordot(kernel[:, dy, dx], padded[:, dy : dy + v.shape[0], dx : dx + v.shape[1]], axes=1) for dy in range(7) for dx in range(7))
+        assert all(np.allclose(got[i, y, x], v[y, x] / (1 + np.exp(-s[y, x]))) for y in range(v.shape[0]) for x in range(v.shape[1]))
+
+
+def test_pixels_of_pictures_larger_than_a_batch(spark):
+    """Each pixel once walked through its whole picture in hexadecimal digits."""
+    rng = np.random.default_rng(9)
+    pictures = {"large": rng.integers(0, 256, size=(300, 500, 3)).astype(np.uint8), "small": rng.integers(0, 256, size=(2, 3, 3)).astype(np.uint8)}
+    rows = spark.createDataFrame([(n, n + "!", p.shape[1], p.shape[0], bytearray(p.tobytes())) for n, p in pictures.items()] + [("null", "", None, None, None)], "name string, more string, width int, height int, rgb binary")
+    got = png.pixel_rows(rows, "name", ["more"]).toPandas()
+    for n, p in pictures.items():
+        own = got[got["name"] == n].sort_values("px")
+        assert list(own["px"]) == list(range(p.size // 3)) and set(own["more"]) == {n + "!"}
+        assert (np.array(own["rgb"].tolist()) == p.reshape(-1, 3)).all()
+    assert len(got) == 150_006
+
+
 def test_rounding_is_pythons(spark):
     rng = random.Random(7)
     values = [rng.randint(-2_000_000, 2_000_000) / 2000 for _ in range(30_000)] + [rng.uniform(-200, 200) for _ in range(30_000)] + [rng.randint(-100_000, 100_000) / 1000 / 100 for _ in range(30_000)] + [(2 * rng.randint(-50_000, 50_000) + 1) / 16 for _ in range(10_000)]

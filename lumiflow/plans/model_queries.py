@@ -114,8 +114,8 @@ def s06(d):
     folder = scratch_folder(d.spark)  # pictures are made once
     files.write.parquet(folder)
     files = d.spark.read.parquet(folder)
-    found = icc.profiles_of(files, "picture")
-    pixels = png.pixel_rows(png.decoded(files, "picture").join(found.select("picture", "profile"), "picture"), "picture", ["profile"])
+    found = icc.profiles_of(files, "picture", keep=["content"])
+    pixels = png.pixel_rows(png.decoded(found, "picture", keep=["profile"]), "picture", ["profile"])
     return icc.to_srgb(pixels, found, fallback).select("picture", "px", "rgb")
 
 

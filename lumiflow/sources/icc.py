@@ -137,9 +137,11 @@ def to_srgb(pixels: DataFrame, profiles: DataFrame, fallback: bytes, rgb: str =
     return rows.withColumn(rgb, F.when(F.col(rgb).isNotNull(), F.array(*out))).drop("__profile", "curves", "m", "__l")
 
 
-def profiles_of(pictures: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
-    """(name, profile, icc) of PNGs: the profile's md5, '' where there is none."""
+def profiles_of(pictures: DataFrame, name: str = "name", content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """(name, profile, icc, columns of ``keep``) of PNGs: the profile's md5, '' where there is none."""
     kind = pictures.schema[name].dataType.simpleString()
+    kept = [f"__{c}" for c in keep]
+    more = "".join(f", __{c} {pictures.schema[c].dataType.simpleString()}" for c in keep)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +151,7 @@ def profiles_of(pictures: DataFrame, name: str = "name", content: str = "content
                     found.append(None if data is None else profile_of_png(data))
                 except (ValueError, zlib.error, struct.error):
                     found.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[name, "icc"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], names=[name, "icc", *kept])
 
-    own = pictures.select(name, content).mapInArrow(read, f"{name} {kind}, icc binary")
-    return own.select(name, F.coalesce(F.md5("icc"), F.lit("")).alias("profile"), "icc")
+    own = pictures.select(name, content, *(F.col(c).alias(f"__{c}") for c in keep)).mapInArrow(read, f"{name} {kind}, icc binary{more}")
+    return own.select(name, F.coalesce(F.md5("icc"), F.lit("")).alias("profile"), "icc", *(F.col(f"__{c}").alias(c) for c in keep))

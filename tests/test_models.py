@@ -223,6 +223,21 @@ def test_pixels_of_pictures_larger_than_a_batch(spark):
     assert len(got) == 150_006
 
 
+def test_profiles_go_along_with_their_pictures(spark):
+    """No join of pictures or pixels with their own profiles."""
+    from lumiflow.sources import icc
+
+    own = icc.build(icc.ADOBE, [icc.gamma_tag(1.8)] * 3)
+    data = png.encode(np.arange(18, dtype=np.uint8).reshape(2, 3, 3), (4, 3))
+    rows = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(icc.with_profile(data, own)))], "picture long, content binary")
+    found = icc.profiles_of(rows, "picture", keep=["content"])
+    pixels = png.pixel_rows(png.decoded(found, "picture", keep=["profile"]), "picture", ["profile"])
+    assert "Join" not in pixels._jdf.queryExecution().executedPlan().toString()
+    got = pixels.orderBy("picture", "px").collect()
+    assert [tuple(r["rgb"]) for r in got] == [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(6)] * 2
+    assert {r["picture"]: r["profile"] == "" for r in got} == {1: True, 2: False}
+
+
 def test_rounding_is_pythons(spark):
     rng = random.Random(7)
     values = [rng.randint(-2_000_000, 2_000_000) / 2000 for _ in range(30_000)] + [rng.uniform(-200, 200) for _ in range(30_000)] + [rng.randint(-100_000, 100_000) / 1000 / 100 for _ in range(30_000)] + [(2 * rng.randint(-50_000, 50_000) + 1) / 16 for _ in range(10_000)]

@@ -53,8 +53,8 @@ def k02_files(d):
     """A text file for each document, written and read back (without empty ones)."""
     folder = scratch_folder(d.spark)
     named = d.documents.where("doc_id is not null").select(F.concat(F.lit("img-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
-    fs.save_files(named, folder)
-    return fs.read_files(d.spark, folder).select("name", F.decode("content", "UTF-8").alias("text"))
+    names = fs.save_files(named, folder)
+    return fs.read_files(d.spark, folder, names).select("name", F.decode("content", "UTF-8").alias("text"))
 
 
 _PICTURES = "p AS (SELECT l_suppkey AS picture, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey % 256) - 1 AS px, [l_orderkey % 256, l_partkey % 256, l_suppkey % 256] AS rgb FROM lineitem)"
@@ -77,8 +77,8 @@ def k03(d):
     """Pictures written as PNG files under their names, read back and decoded; all five filters occur."""
     folder = scratch_folder(d.spark)
     files = png.encoded(_pictures(d), "picture")
-    fs.save_files(files.select(F.concat(F.col("picture").cast("string"), F.lit(".png")).alias("name"), "content"), folder)
-    read = fs.read_files(d.spark, folder).select(F.regexp_extract("name", r"^\d+", 0).cast("long").alias("picture"), "content")
+    names = fs.save_files(files.select(F.concat(F.col("picture").cast("string"), F.lit(".png")).alias("name"), "content"), folder)
+    read = fs.read_files(d.spark, folder, names).select(F.regexp_extract("name", r"^\d+", 0).cast("long").alias("picture"), "content")
     return png.pixel_rows(png.decoded(read, "picture"), "picture")
 
 

@@ -1,8 +1,10 @@
-"""A sink of files with names of their own, which appear only when the whole write is done.
+"""A sink of files with names of their own, which appear only when the whole write is done, and their source.
 
-``df.write.format("lumiflow_files").mode("append").save(folder)`` takes (name, content binary).  A task writes its files under a folder of its own attempt inside a hidden folder of
-this write, and gives the names to the driver as its commit message.  When all tasks are done the driver moves the files of the attempts that count; what failed or doubled
-attempts left goes with the hidden folder.  A write that fails leaves the target as it was.
+``save_files`` takes (name, content binary).  A task writes its files under a folder of its own attempt inside a hidden folder of this write, and gives their names as rows of a
+Parquet table, in which Spark's committer keeps those of the attempts that count.  When all tasks are done, tasks over that table move the files to their place; what failed or
+doubled attempts left goes with the hidden folder.  So neither names nor files pass through the driver.  A write that fails before its files are moved leaves the target as it was.
+
+The table of names is given back: ``read_files`` opens the files by it, in as many tasks as wrote them, where a listing would pass all of them through the driver.
 
 Rows of one name are parts of one file: they must meet in one task and follow each other (``files_of`` sees to that), and are appended in order.
 
@@ -14,13 +16,16 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from .scratch import scratch_folder
+
+#: Bytes of contents in a batch that is read.
+BATCH = 4 << 20
 
 
 def file_system(uri: str):
@@ -32,87 +37,57 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{posixpath.abspath(uri)}")
 
 
-@dataclass
-class Attempt(WriterCommitMessage):
-    """Folder and file names of a task's attempt that counts."""
-
-    folder: str
-    names: list[str]
-
-
-class FileWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, overwrite: bool) -> None:
-        self.folder, self.overwrite = folder.rstrip("/"), overwrite
-        self.hidden = f"_writing-{uuid.uuid4().hex}"
+def _writer(folder: str, hidden: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes (name, content) below ``hidden``; gives (name, place), each name when its file is closed."""
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        system, base = file_system(self.folder)
-        mine = f"{base}/{self.hidden}/{TaskContext.get().taskAttemptId()}"
-        system.create_dir(mine, recursive=True)
-        names: list[str] = []
-        stream = None
+        system, base = file_system(folder)
+        place = f"{hidden}/{TaskContext.get().taskAttemptId()}"
+        system.create_dir(f"{base}/{place}", recursive=True)
+        given = lambda names: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([place] * len(names), pa.string())], names=["name", "place"])
+        last = stream = None
         try:
-            for batch in iterator:
-                for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for batch in batches:
+                closed = []
+                for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if name is None or "/" in name or name.startswith(("_", ".")) or not name:
                         raise ValueError(f"not a file name: {name!r}")
-                    if not names or names[-1] != name:
+                    if name != last:
                         if stream is not None:
                             stream.close()
-                        names.append(name)
-                        stream = system.open_output_stream(f"{mine}/{name}")
+                            closed.append(last)
+                        last, stream = name, system.open_output_stream(f"{base}/{place}/{name}")
                     stream.write(content or b"")
+                yield given(closed)
+            if stream is not None:
+                stream.close()
+                yield given([last])
         finally:
             if stream is not None:
                 stream.close()
-        if len(set(names)) != len(names):
-            raise ValueError("rows of one name don't follow each other")
-        return Attempt(mine, names)
 
-    def commit(self, messages: list[Attempt | None]) -> None:
-        from pyarrow import fs
+    return write
 
-        system, base = file_system(self.folder)
-        done = [m for m in messages if m is not None]
-        names = [n for m in done for n in m.names]
-        if len(set(names)) != len(names):
-            self.abort(messages)
-            raise ValueError("two tasks wrote files of one name")
-        system.create_dir(base, recursive=True)
-        if self.overwrite:
-            for old in system.get_file_info(fs.FileSelector(base)):
-                if old.type == fs.FileType.File and not old.base_name.startswith(("_", ".")):
-                    system.delete_file(old.path)
-        for m in done:
-            for name in m.names:
-                system.move(f"{m.folder}/{name}", f"{base}/{name}")
-        self._clear(system, base)
 
-    def abort(self, messages: list[Attempt | None]) -> None:
-        self._clear(*file_system(self.folder))
+def _mover(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Moves the files of (name, place) into the folder; a task that is run again passes over those that are there."""
 
-    def _clear(self, system, base: str) -> None:
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        path = f"{base}/{self.hidden}"
-        if system.get_file_info(path).type == fs.FileType.Directory:
-            system.delete_dir(path)
-
-
-class FileSink(DataSource):
-    """Format ``lumiflow_files``; the path is the folder."""
+        system, base = file_system(folder)
+        for batch in batches:
+            for name, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    system.move(f"{base}/{place}/{name}", f"{base}/{name}")
+                except FileNotFoundError:
+                    if system.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                        raise
+            yield batch.slice(0, 0)
 
-    @classmethod
-    def name(cls) -> str:
-        return "lumiflow_files"
-
-    def schema(self) -> str:
-        return "name string, content binary"
-
-    def writer(self, schema, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["path"], overwrite)
+    return move
 
 
 def files_of(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -120,12 +95,53 @@ def files_of(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.repartition("name").sortWithinPartitions("name", *order).select("name", "content")
 
 
-def save_files(rows: DataFrame, folder: str, order: list[str] | None = None, mode: str = "append") -> None:
-    """Write (name, content); ``order`` are the columns by which parts of one file follow each other."""
-    rows.sparkSession.dataSource.register(FileSink)
-    (files_of(rows, order) if order is not None else rows.select("name", "content")).write.format("lumiflow_files").mode(mode).save(folder)
-
+def save_files(rows: DataFrame, folder: str, order: list[str] | None = None, mode: str = "append") -> DataFrame:
+    """Write (name, content); ``order`` are the columns by which parts of one file follow each other.  Gives the names of the files."""
+    from pyarrow import fs
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, content) of a folder's files, empty ones left out, as Spark's source does."""
-    return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    spark, folder, schema = rows.sparkSession, folder.rstrip("/"), "name string, place string"
+    table, hidden = scratch_folder(spark), f"_writing-{uuid.uuid4().hex}"
+    parts = files_of(rows, order) if order is not None else rows.select("name", "content")
+    system, base = file_system(folder)
+    try:
+        parts.mapInArrow(_writer(folder, hidden), schema).write.parquet(table)
+        written = spark.read.schema(schema).parquet(table)
+        written = written.repartition(max(1, len(written.inputFiles())), "name")  # as many tasks as wrote: its bytes are few, its files are not
+        if twice := written.groupBy("name").count().where("count > 1").select("name").head(1):
+            raise ValueError(f"two tasks wrote files of one name, or its rows don't follow each other: {twice[0][0]!r}")
+        system.create_dir(base, recursive=True)
+        if mode == "overwrite":
+            for old in system.get_file_info(fs.FileSelector(base)):
+                if old.type == fs.FileType.File and not old.base_name.startswith(("_", ".")):
+                    system.delete_file(old.path)
+        written.mapInArrow(_mover(folder), schema).write.format("noop").mode("overwrite").save()
+    finally:
+        if system.get_file_info(f"{base}/{hidden}").type == fs.FileType.Directory:
+            system.delete_dir(f"{base}/{hidden}")
+    return written.select("name")
+
+
+def read_files(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
+    """(name, content) of the files of ``names``, as ``save_files`` gives them; one that is missing fails the read.  Without names those of the folder, which Spark's source
+    lists in the driver.  Empty files are left out, as that source does."""
+    if names is None:
+        return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(folder)
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+        for batch in batches:
+            found, contents, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with system.open_input_file(f"{base}/{name}") as file:
+                    content = file.read()
+                if content:
+                    found.append(name)
+                    contents.append(content)
+                    size += len(content)
+                if size >= BATCH:
+                    yield given()
+                    found, contents, size = [], [], 0
+            yield given()
+
+    return names.select("name").mapInArrow(read, "name string, content binary")

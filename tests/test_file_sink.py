@@ -89,3 +89,37 @@ def test_a_task_that_fails_once_leaves_nothing_more(tmp_path):
     assert (tmp_path / "failed").exists()
     assert visible(tmp_path / "out") == {f"f{i}": str(i).encode() for i in range(40)}
     assert not [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
+
+
+def test_files_are_read_by_their_names(spark, tmp_path):
+    out, odd = str(tmp_path / "out"), {"a b%20.txt": b"1", "\u00e9+\u732b.txt": b"2", "none": b""}
+    want = odd | {f"f{i}.bin": b"x" * (i % 5) for i in range(400)}
+    names = fs.save_files(rows(spark, want.items()).repartition(3), out)
+    assert sorted(r["name"] for r in names.collect()) == sorted(want)
+    read = fs.read_files(spark, out, names)
+    assert read.rdd.getNumPartitions() == 3  # as many as wrote; Spark's source opens some 32 files a task
+    assert sorted((r["name"], bytes(r["content"])) for r in read.collect()) == sorted((n, c) for n, c in want.items() if c)
+    os.remove(tmp_path / "out" / "f1.bin")
+    with pytest.raises(Exception, match="f1.bin"):
+        read.collect()
+
+
+def test_the_tasks_of_a_query_do_not_grow_with_its_files(spark):
+    import __spark_entry__ as entry
+
+    read = entry.queries()["k02_text_files"](spark, "/root/testdata/sf0.01")  # 1000 files
+    assert read.rdd.getNumPartitions() <= 4
+    assert read.count() == 1000
+
+
+def test_a_move_that_runs_again_passes_over_what_is_there(spark, tmp_path):
+    (tmp_path / "_w" / "1").mkdir(parents=True)
+    for name in ("a", "b"):
+        (tmp_path / "_w" / "1" / name).write_bytes(name.encode())
+    schema, move = "name string, place string", fs._mover(str(tmp_path))
+    moved = spark.createDataFrame([("a", "_w/1"), ("b", "_w/1")], schema).mapInArrow(move, schema)
+    for _ in range(2):
+        assert moved.collect() == []
+        assert {n: c for n, c in visible(tmp_path).items()} == {"a": b"a", "b": b"b"}
+    with pytest.raises(Exception, match="lost"):
+        spark.createDataFrame([("lost", "_w/1")], schema).mapInArrow(move, schema).collect()
